@@ -4,7 +4,10 @@ Everything runs as DataFrame functions. A document's character-class histogram
 and its histogram over the most common words of its language are compared with
 the language's own reference histograms by Jensen-Shannon distance (base 2, so
 0 to 1). The references are counted over all documents; only they, at most
-max_languages x (common_words + classes) numbers, come to the driver.
+max_languages x (common_words + classes) numbers, come to the driver. Which
+words to count is known for some languages and found in the corpus for others.
+Each text is read once for all its counts, which are written to the shared
+folder; references and verdicts come from these few numbers a document.
 
 Defined results: a null or empty text has no words, fails the base rules
 (n_words < 20) and isn't kept. A null lang, or one without a reference, is
@@ -19,6 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import stored
+
+#: Frequent function words, whose shares make up the word histogram.
+KNOWN_WORDS = {
+    "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "was", "on", "with"],
+    "de": ["der", "die", "und", "das", "den", "in", "von", "zu", "mit", "ist", "nicht", "ein"],
+    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "que", "pour", "qui"],
+    "es": ["de", "la", "que", "el", "en", "y", "los", "del", "se", "las", "por", "con"],
+}
 SYMBOLS = r"[#*$%&|<>]"
 COMMON = r"[a-z\x20\u00C0-\u024F]+"
 CLASSES = ("common", "upper", "digit", "mark", "symbol", "other")
@@ -34,7 +46,7 @@ def word_array(text: Column) -> Column:
 
 
 def _tagged(hashes: Column) -> Column:
-    """Window fingerprints with their places, sorted; empty if none occurs twice."""
+    """Window fingerprints with their places, sorted; null if none occurs twice."""
     tagged = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), tagged)
 
@@ -49,22 +61,30 @@ def _repeated_words(tagged: Column) -> Column:
     return F.coalesce(total, F.lit(0))
 
 
-def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per input row: id, lang, words, histogram of character classes, and the base counts."""
+def base_counts(docs: DataFrame, leads: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per input row: id, lang, the base counts, and counts for both histograms.
+
+    _words counts the lead words of the document's language; _every, only where
+    that has none, those of each language in leads.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("_lang"), text.alias("_t"), word_array(F.col(text_col)).alias("_w"))
-    d = d.withColumn("_1", F.transform("_w", lambda w: F.xxhash64(w)))
-    # Fingerprints of 2, 4 and then 8 words; those that would pass the end are null and are cut off.
-    for k in (1, 2, 4):
-        d = d.withColumn(f"_{2 * k}", _paired(f"_{k}", k))
-    whole = F.slice("_8", 1, F.greatest(F.size("_w") - (SPAN - 1), F.lit(0)))
-    d = d.withColumn("_h", whole).withColumn("_h", _tagged(F.col("_h")))
+    # Fingerprints of 2 and 4 words. Only a document in which 4 words come twice can have 8 that do.
+    d = d.withColumn("_2", _paired("_w", 1)).withColumn("_4", _paired("_2", 2))
+    cut = lambda c, k: F.slice(c, 1, F.greatest(F.size("_w") - (k - 1), F.lit(0)))
+    d = d.withColumn("_4", cut("_4", 4))
+    d = d.withColumn("_8", F.when(F.size(F.array_distinct("_4")) < F.size("_4"), cut(_paired("_4", 4), SPAN)))
+    d = d.withColumn("_h", _tagged(F.col("_8")))
     d = d.withColumn("_rare", F.regexp_replace("_t", COMMON, "")).withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    word_chars = F.length(F.array_join("_w", "")).cast("long")
+    known, own = F.coalesce(F.col("_lang").isin(*leads), F.lit(False)) if leads else F.lit(False), F.lit(None).cast("array<double>")
+    for lang, names in leads.items():
+        own = F.when(F.col("_lang") == lang, _word_counts(F.col("_w"), names)).otherwise(own)
+    every = F.array(*[_word_counts(F.col("_w"), names) for names in leads.values()]) if leads else F.array().cast("array<array<double>>")
     out = d.select(
-        "doc_id", "_lang", "_w", _class_counts(F.length("_t"), F.col("_rare")).alias("_chars"),
+        "doc_id", "_lang", own.alias("_words"), F.when(~known, every).alias("_every"),
+        _class_counts(F.length("_t"), F.col("_rare")).alias("_chars"),
         F.size("_w").cast("long").alias("n_words"),
-        word_chars.alias("word_chars"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_rare", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _repeated_words(F.col("_h")).cast("long").alias("n_repeat_words"),
@@ -101,9 +121,16 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 def _word_counts(words: Column, names: list[str]) -> Column:
     """How often each of names occurs and, last, how many words are none of them."""
     listed = F.filter(words, lambda w: w.isin(*names))
-    # The one-element array binds the filtered words, so that they are made once for each document.
-    count = lambda c: F.array(*[(F.size(c) - F.size(F.array_remove(c, w))).cast("double") for w in names], (F.size(words) - F.size(c)).cast("double"))
-    return F.transform(F.array(listed), count)[0]
+    # Two spaces between words, so that each has its own on either side.
+    text = F.concat(F.lit(" "), F.array_join(listed, "  "), F.lit(" "))
+    count = lambda t, w: (F.length(t) - F.length(F.replace(t, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)
+
+    def counts(t: Column) -> Column:
+        each = [count(t, w) for w in names]
+        return F.array(*each, F.size(words) - sum(each[1:], each[0]))
+
+    # The one-element array binds the text, so that it is made once for each document.
+    return F.transform(F.array(text), lambda t: counts(t))[0]
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -118,45 +145,37 @@ def _scaled(counts: Column) -> Column:
     return F.transform(counts, lambda x: x / whole)
 
 
-def _profiles(docs: DataFrame, leads: dict[str, list[str]], id_col: str, text_col: str, lang_col: str) -> dict[str, tuple[list[float], list[float]]]:
+def _profiles(counts: DataFrame, leads: dict[str, list[str]]) -> dict[str, tuple[list[float], list[float]]]:
     """For each language, shares of its common words and of the character classes, over all its documents."""
-    d = docs.select(F.col(lang_col).alias("_lang"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), word_array(F.col(text_col)).alias("_w"))
-    d = d.withColumn("_rare", F.regexp_replace("_t", COMMON, ""))
     width = max(map(len, leads.values())) + 1
-    words = F.lit(None).cast("array<double>")
-    case = None
-    for lang, names in leads.items():
-        counts = _word_counts(F.col("_w"), names)
-        case = F.when(F.col("_lang") == lang, counts) if case is None else case.when(F.col("_lang") == lang, counts)
-    d = d.where(F.col("_lang").isin(*leads)).select("_lang", case.otherwise(words).alias("_words"), _class_counts(F.length("_t"), F.col("_rare")).alias("_chars"))
-    sums = d.groupBy("_lang").agg(*[F.sum(F.get("_words", F.lit(i))).alias(f"w{i}") for i in range(width)], *[F.sum(F.col("_chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))])
+    sums = counts.where(F.col("_words").isNotNull()).groupBy("_lang").agg(*[F.sum(F.get("_words", F.lit(i))).alias(f"w{i}") for i in range(width)], *[F.sum(F.col("_chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))])
     share = lambda xs: [x / (sum(xs) or 1.0) for x in xs]
     return {r["_lang"]: (share([r[f"w{i}"] for i in range(len(leads[r["_lang"]]) + 1)]), share([r[f"c{i}"] for i in range(len(CLASSES))])) for r in sums.collect()}
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common_words: int = 24, common_length: int = 4, max_languages: int = 256, min_words: int = 40, max_class_distance: float = 0.28, max_word_distance: float = 0.42) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", known_words: dict[str, list[str]] | None = None, common_words: int = 12, common_length: int = 4, max_languages: int = 256, min_words: int = 40, max_class_distance: float = 0.28, max_word_distance: float = 0.31) -> DataFrame:
     """Judge every row. Returns doc_id, the base counts, class_distance, word_distance, base_failed, kept.
 
     A document of at least min_words words is rejected when either distance to
     its language's reference exceeds its limit; a distance is null without
     references (an empty table, or none with a lang).
     """
-    leads = {r["lang"]: r["words"] for r in references(docs, text_col, lang_col, common_words, common_length, max_languages).collect()}
-    profiles = _profiles(docs, leads, id_col, text_col, lang_col) if leads else {}
-    counts = base_counts(docs, id_col, text_col, lang_col)
+    leads = dict(KNOWN_WORDS if known_words is None else known_words)
+    other = docs.where(~F.col(lang_col).isin(*leads)) if leads else docs
+    leads |= {r["lang"]: r["words"] for r in references(other, text_col, lang_col, common_words, common_length, max_languages).collect()}
+    counts = stored(base_counts(docs, leads, id_col, text_col, lang_col), "counts")
+    profiles = _profiles(counts, leads) if leads else {}
     lits = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    both = {}
-    for lang, (words, chars) in profiles.items():
-        far = [_distance(_scaled(_word_counts(F.col("_w"), leads[lang])), lits(words)), _distance(_scaled(F.col("_chars")), lits(chars))]
-        both[lang] = F.struct(far[0].alias("w"), far[1].alias("c"))
+    far = lambda lang, c: F.struct(_distance(_scaled(c), lits(profiles[lang][0])).alias("w"), _distance(_scaled(F.col("_chars")), lits(profiles[lang][1])).alias("c"))
     none = F.lit(None).cast("struct<w:double,c:double>")
+    near = F.array_min(F.array(*[far(lang, F.col("_every")[i]) for i, lang in enumerate(leads) if lang in profiles])) if profiles else none
     case = F.when(F.col("n_words") < min_words, none)
-    for lang, b in both.items():
-        case = case.when(F.col("_lang") == lang, b)
-    d = counts.withColumn("_d", case.otherwise(F.array_min(F.array(*both.values())) if both else none))
-    far = (F.col("_d")["w"] > max_word_distance) | (F.col("_d")["c"] > max_class_distance)
+    for lang in profiles:
+        case = case.when(F.col("_lang") == lang, far(lang, F.col("_words")))
+    d = counts.withColumn("_d", case.when(F.col("_every").isNotNull(), near))
+    over = (F.col("_d")["w"] > max_word_distance) | (F.col("_d")["c"] > max_class_distance)
     return d.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.col("_d")["c"].alias("class_distance"), F.col("_d")["w"].alias("word_distance"), "base_failed",
-        (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"),
+        (~F.col("base_failed") & ~F.coalesce(over, F.lit(False))).alias("kept"),
     )
