@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, quality_model, quality_rules, secrets, url_filter
+from . import bpe, decontamination, language_id, quality_model, quality_rules, secrets, substring_dedup, url_filter
 from .shared import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -27,6 +27,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality_model.held_out(F.col("doc_id"), 4, 2)
@@ -54,7 +58,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe, op4_quality_model, op5_decontamination, op6_language_id, op7_secrets, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe, op3_substring_dedup, op4_quality_model, op5_decontamination, op6_language_id, op7_secrets, op8_quality_rules)}
 
 _URL = r"""
 WITH parts AS (
