@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, language_model, quality_model, quality_rules, secrets, substring_dedup, url_filter
+from . import bpe, decontamination, jaccard_join, language_id, language_model, quality_model, quality_rules, secrets, substring_dedup, url_filter
 from .shared import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -58,13 +58,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_model.held_out(F.col("doc_id"), 10, 0)
     scored = language_model.score(table(spark, sf_dir, "documents"), ~out)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe, op3_substring_dedup, op4_quality_model, op5_decontamination, op6_language_id, op7_secrets, op8_quality_rules, op10_language_model)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe, op3_substring_dedup, op4_quality_model, op5_decontamination, op6_language_id, op7_secrets, op8_quality_rules, op9_jaccard_join, op10_language_model)}
 
 _URL = r"""
 WITH parts AS (
