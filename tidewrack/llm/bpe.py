@@ -322,22 +322,24 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return map_texts(encoded.withColumn("_none", F.lit("")), id_col, "_none", make, fields, (ids_col,))
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids and of the decoded text, without the ids leaving the worker."""
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 of the ids and of the decoded text; with_ids also the ids."""
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])]
 
     def make():
         t = tokenizer(path)
         numbers = {i: str(i) for i in t.names}
 
         def f(texts: list[str]) -> list[list]:
-            n, a, b = [], [], []
+            n, a, b, every = [], [], [], []
             for text in texts:
                 ids = t.encode(text)
                 n.append(len(ids))
+                if with_ids:
+                    every.append(ids)
                 a.append(hashlib.sha256(" ".join(map(numbers.__getitem__, ids)).encode()).hexdigest())
                 b.append(hashlib.sha256(t.decode(ids).encode("utf-8")).hexdigest())
-            return [n, a, b]
+            return [n, a, b, every] if with_ids else [n, a, b]
 
         return f
 

@@ -16,11 +16,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .batches import map_texts
+from .batches import map_texts, pieces
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -119,3 +121,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow:
         return f
 
     return map_texts(docs, id_col, text_col, make, fields)
+
+
+def redacted(text: str, mark: str = "[SECRET]", allow: tuple[re.Pattern, ...] = ALLOW) -> str:
+    """The text with a mark in place of every span; spans that overlap give one mark."""
+    out, at = [], 0
+    for a, _, b in all_spans(text, allow)[1]:
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", allow: tuple[re.Pattern, ...] = ALLOW) -> DataFrame:
+    """All rows and columns, with a mark in place of every secret; a null text stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for piece in pieces(batch, text_col):
+                column = piece.column(at)
+                clean = pa.array([redacted(x, mark, allow) if x else x for x in column.to_pylist()], column.type)
+                yield piece.set_column(at, batch.schema.field(at), clean)
+
+    return docs.mapInArrow(run, docs.schema)
