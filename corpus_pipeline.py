@@ -1,11 +1,18 @@
-"""A training-data pipeline over documents, made of operators of tidewrack.llm."""
+"""A training-data pipeline over documents, made of operators of tidewrack.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame that is written to
+the shared folder and read again. All but the last return the columns of
+documents. A row without a doc_id can't be referred to and leaves with the
+first stage; null, empty and very short texts fail the quality rules.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import quality_rules
+from tidewrack.llm import bpe, decontamination, jaccard_join, quality_rules, secrets
+from tidewrack.llm.queries import word_bpe
 from tidewrack.llm.shared import stored, table
 
 
@@ -19,7 +26,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _kept(docs, quality_rules.judge(docs).where("kept"))
 
 
-STAGES = [("quality", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group, the document with the least id stays."""
+    return _kept(docs, jaccard_join.join(docs).where("doc_id = component_id")).dropDuplicates(["doc_id"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents with a benchmark window go."""
+    return _kept(docs, decontamination.scan(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scans: a mark takes the place of each secret, and n_chars follows."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE encoding and decoding: ids, their number, and digests of the ids and of what they decode to."""
+    return bpe.digests(docs, word_bpe(), with_ids=True)
+
+
+STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminate), ("secret_scan", redact_secrets), ("bpe", encode)]
+
+#: SQL can't express these stages; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
