@@ -105,7 +105,7 @@ def size_classes(percent: int, most: int) -> list[tuple[int, int, int, int]]:
 
 def signatures(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Document and signature; linked documents with different sets have one in common."""
-    classes = size_classes(percent, int(size.max(initial=0)))
+    classes = size_classes(percent, 1 << int(size.max(initial=1)).bit_length())
     lows = np.array([c[0] for c in classes])
     low_class = np.searchsorted(lows, -(-percent * size // 100), side="right") - 1
     high_class = np.searchsorted(lows, size, side="right") - 1
@@ -113,8 +113,8 @@ def signatures(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent: in
     for step in range(int((high_class - low_class).max(initial=-1)) + 1):
         kind = low_class + step
         use = (kind <= high_class) & (size > 0)
-        groups = np.where(use, np.array([c[2] for c in classes] or [0])[np.clip(kind, 0, None)], 0)
-        allowed = np.array([c[3] for c in classes] or [0])[np.clip(kind, 0, None)]
+        groups = np.where(use, np.array([c[2] for c in classes])[np.clip(kind, 0, len(classes) - 1)], 0)
+        allowed = np.array([c[3] for c in classes])[np.clip(kind, 0, len(classes) - 1)]
         need = use & (groups > 0)
         for family in range(FAMILIES):
             mine = need[doc]
