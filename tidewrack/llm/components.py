@@ -16,8 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder. Labels are combined before they are shuffled, so a node with
     very many edges is no hot spot.
     """
-    both = edges.where("a <> b").select("a", "b")
-    both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    ways = F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    both = stored(edges.where("a <> b").select(ways).select("e.a", "e.b").distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
