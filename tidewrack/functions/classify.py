@@ -40,7 +40,9 @@ def tag_item(text: Column, categories: Column, scope: Column, country: Column, t
 def primary_theme(tags: Column, order: list[str] | None = None) -> Column:
     """The first theme, in the given order, among the tags; else other."""
     order = order or [t for t in vocab.THEME_LABELS if t != "other"]
-    return F.coalesce(F.try_element_at(F.filter(F.array(*map(F.lit, order)), lambda t: F.array_contains(F.coalesce(tags, F.array().cast("array<string>")), t)), F.lit(1)), F.lit("other"))
+    # The one-element array binds the tags, so that they are made once and not for each theme.
+    first = lambda x: F.try_element_at(F.filter(F.array(*map(F.lit, order)), lambda t: F.array_contains(x, t)), F.lit(1))
+    return F.coalesce(F.transform(F.array(F.coalesce(tags, F.array().cast("array<string>"))), first)[0], F.lit("other"))
 
 
 def theme_label(theme: Column, labels: dict[str, str] = vocab.THEME_LABELS) -> Column:
