@@ -1,0 +1,304 @@
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidewrack.llm import bpe, components, decontamination, jaccard_join, language_id, language_model, quality_model, quality_rules, queries, secrets, substring_dedup, url_filter, words
+
+from . import brute
+
+SYL = "the of and to in is that for it was on with ther ing ent ion ara mel tor vin sul dak".split()
+CLASHING = ["k", "node", "name", "label", "start", "block", "a", "b", "shard", "doc", "sig", "_w", "lo", "filter", "rule_"]
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def prose(r, n):
+    return " ".join(r.choice(SYL[:12]) if r.random() < 0.5 else "".join(r.choice(SYL[12:]) for _ in range(r.randint(2, 4))) for _ in range(n))
+
+
+def corpus():
+    r = random.Random(5)
+    shared, rows = prose(r, 60), []
+    for i in range(60):
+        rows.append([i, prose(r, r.randint(25, 300))])
+    for i in range(60, 80):  # near copies: chains of small edits
+        w = rows[i - 1][1].split() if i > 60 else rows[3][1].split()
+        w[r.randrange(len(w))] = "edited%d" % i
+        rows.append([i, " ".join(w)])
+    rows += [[80, rows[7][1]], [81, rows[7][1].upper()], [82, rows[7][1]], [83, shared + " " + rows[9][1]], [84, prose(r, 30) + "\n" + shared], [85, ""], [86, " \t\n"], [87, None], [88, "one two three"], [89, "One  two three"], [90, "x " * 50], [91, ("same line\n" * 20)], [92, prose(r, 20_000)], [93, "é" * 5000 + " ñ"], [94, "the the"], [95, "one two three four five six"], [96, "one two three four five six"]]
+    return [tuple(x) for x in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(d, t, "en", "s", len(t or "")) for d, t in corpus()]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).withColumns({c: F.lit(c) for c in CLASHING}).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, and repeated ids with equal and with other texts."""
+    return spark.createDataFrame([(None, "a " * 30, None, None, None), (1, None, None, None, None), (1, "b c d e f g", "en", None, 1), (1, "b c d e f g", "en", None, 1), (2, "b c d e f g", "xx", "s", 2)], SCHEMA)
+
+
+def table(df):
+    return {r[0]: tuple(r[1:]) for r in df.collect()}
+
+
+def test_words_kernel():
+    texts = ["A b\x0bc", None, "", "  ", "é\xa0x y", "z" * 9000]
+    w = words.split(pa.array(texts), lower=True)
+    found = [[bytes(w.data[a:b]).decode() for a, b in zip(w.start[i:j], w.end[i:j])] for i, j in zip(w.first[:-1], w.first[1:])]
+    assert found == [brute.words(brute.low(t)) for t in texts]
+    h = w.hashes()
+    assert len(set(h.tolist())) == len({x for f in found for x in f})
+
+
+def test_url_filter(spark):
+    urls = ["http://a.net/x", "http://net", "http://net/", "https://Sub.Example.NET/en/1?q=1", "http://example.net/e", "x", None, "", "http://example.com/de/1", "http://example.com/de", "http://a.org/fr/", "http://borg/fr/", "a://b://c.net/", "http://e.net?x=/en/", "http://a.net/x", "http://xnet/", "://net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumns({c: F.lit(1) for c in CLASHING + ["rule", "host", "path"]})
+    rules = spark.createDataFrame(queries.URL_RULES + [("c.net", "/x", "allow"), (None, "/", "block")], "host string, path string, verdict string")
+    want = {i: brute.url(u, queries.URL_RULES) for i, u in enumerate(urls)}
+    for limit in (50_000, 0):
+        assert table(url_filter.judge(pages, rules, broadcast_rules=limit)) == want
+    twice = pages.where("page_id = 0").select("page_id", "url")
+    assert url_filter.judge(twice.union(twice), rules).count() == 2
+    assert url_filter.judge(pages.limit(0), rules).count() == 0 and url_filter.judge(pages, rules.limit(0)).where("verdict = 'allow'").count() == len(urls)
+
+
+def test_url_filter_has_no_python(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/")], "page_id bigint, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    plan = url_filter.judge(pages, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_bpe_matches_library(docs, empty, odd):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.word_bpe())
+    t.no_padding()
+    t.no_truncation()
+    want = {}
+    for d, x in corpus():
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        want[d] = (len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(t.decode(ids, skip_special_tokens=False)))
+    assert table(bpe.digests(docs, queries.word_bpe())) == want
+    assert bpe.digests(empty, queries.word_bpe()).count() == 0 and bpe.digests(odd, queries.word_bpe()).count() == 5
+
+
+def test_bpe_streams():
+    from tokenizers import Tokenizer
+
+    mine, lib = bpe.tokenizer(queries.word_bpe()), Tokenizer.from_file(queries.word_bpe())
+    r = random.Random(3)
+    letters = "abcdefehtoin  '\n\t\x1cÀéßΣςσ日本語😀İ́.,!#0123٣ \u0085<|>ſ"
+    for k in range(300):
+        s = "".join(r.choice(letters) for _ in range(r.randint(0, 80))) + "<|endoftext|>" * (k % 5 == 0) + "".join(r.choice("theinganorst") for _ in range(2000 * (k % 30 == 0)))
+        ids = lib.encode(s, add_special_tokens=False).ids
+        assert mine.encode(s) == ids and mine.decode(ids) == lib.decode(ids, skip_special_tokens=False)
+    word = ["a"] * 20_000
+    stream = mine.merges.stream(iter(word))
+    first = next(stream)
+    assert first and sum(len(x) for x in [first, *stream]) == 20_000
+    assert "".join(mine.text(mine.encode("Hello wörld 日本 <|endoftext|>"))) == "hello wörld 日本 <|endoftext|>"
+
+
+def test_bpe_round_trip(docs):
+    ids = bpe.encode(docs.where("doc_id < 5"), queries.word_bpe())
+    back = table(bpe.decode(ids, queries.word_bpe()))
+    assert all(back[d][0].split() == t.split() for d, t in corpus()[:5])
+
+
+def test_substring_dedup(docs, empty, odd):
+    assert table(substring_dedup.dedup(docs)) == brute.dedup([(d, t) for d, t in corpus()])
+    assert substring_dedup.dedup(empty).count() == 0
+    rows = substring_dedup.dedup(odd, width=5).collect()
+    assert len(rows) == 5
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_removed) for r in rows)
+    assert got == [(-1, 30, 29), (1, 0, 0), (1, 6, 0), (1, 6, 0), (2, 6, 6)]
+    kept = substring_dedup.dedup(docs.where("doc_id IN (7, 80)"), with_text=True).where("doc_id = 80").first()
+    assert kept.kept == "" and kept.n_removed == kept.n_words
+
+
+def test_decontamination(spark, docs, empty, odd):
+    rows = corpus()
+    items = [("i2", " ".join(rows[4][1].split()[5:22]).upper()), ("i10", "one, two... THREE"), ("i1", " ".join(rows[4][1].split()[5:22])), (None, rows[5][1]), ("i4", None), ("i5", "!!"), ("i6", "é" * 5000)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = brute.contaminated(rows, items)
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    for shard in (8 << 20, 200):
+        got = decontamination.scan(docs, bench, shard_bytes=shard)
+        assert table(got.select(columns)) == want
+    spans = got.where("doc_id = 88").first().spans
+    assert [(s.start, s.end) for s in spans] == [(0, 13)]
+    assert decontamination.scan(empty, bench).count() == 0 and decontamination.scan(odd, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_quality_model(spark, docs, empty):
+    r = random.Random(1)
+    rows = [(i, prose(r, r.randint(30, 200)) if i % 3 else " ".join(w + "###" for w in prose(r, 80).split())) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)] + [(None, 1), (1, None), (9999, 0)], "doc_id bigint, quality int")
+    model = quality_model.train(d, labels.where(~quality_model.held_out(F.col("doc_id"), 4, 2)))
+    score = table(quality_model.score(d, model))
+    assert all((score[i][0] >= 0.7) == (i % 3 > 0) for i in range(400))
+    edge = table(quality_model.score(docs, model))
+    assert len(edge) == len(corpus()) and all(0 <= s[0] <= 1 for s in edge.values()) and edge[85] == edge[87]
+    assert set(table(quality_model.score(docs, quality_model.train(docs, labels.limit(0)))).values()) == {(0.5,)}
+    assert quality_model.score(empty, model).count() == 0
+    assert zlib.crc32(b"17") % 4 == spark.range(17, 18).select(F.crc32(F.col("id").cast("string").cast("binary")) % 4).first()[0]
+
+
+def test_language_id(spark, docs, empty):
+    r = random.Random(2)
+    kinds = {"aa": "abc", "bb": "xyz", "cc": "éöß"}
+    rows = [(i, "".join(r.choice(v + " ") for _ in range(200)), k) for i, (k, v) in enumerate(list(kinds.items()) * 20)]
+    d = spark.createDataFrame([*rows, (900, None, "aa"), (901, "12 !", "bb"), (902, "", None)], "doc_id bigint, text string, lang string")
+    got = table(language_id.predict(d, F.col("doc_id") % 2 == 0))
+    assert all(got[i][0] == k for i, _, k in rows) and [got[i] for i in (900, 901, 902)] == [("und", 0.0)] * 3
+    assert all(0 <= s <= 1 for _, s in got.values())
+    assert language_id.predict(empty, F.lit(True)).count() == 0
+    assert {x[0] for x in table(language_id.predict(docs, F.lit(False))).values()} == {"und"}
+
+
+def test_secrets(docs, empty):
+    text = 'é password = "hunter2hunter2" token:abc TOKEN:Abcdef AKIA' + "A1" * 9 + " " + "0f" * 12 + " key kJ8s7Gq2LmN5xPz9RtVw3YbC and thisisaverylongplainword 123e4567-e89b-12d3-a456-426614174000"
+    base, every = secrets.all_spans(text)
+    kinds = Counter(secrets.KINDS[k] for _, k, _ in base)
+    assert kinds == {"assign": 2, "access": 1, "hex": 1}
+    added = [text[a:b] for a, k, b in every if k >= 3]
+    assert added == ["kJ8s7Gq2LmN5xPz9RtVw3YbC"]
+    assert secrets.redacted(text).count("[SECRET]") == 5 and "thisisaverylongplainword" in secrets.redacted(text)
+    exact = lambda s, n: max(-sum(c / n * math.log2(c / n) for c in Counter(s[i : i + n]).values()) for i in range(len(s) - n + 1))
+    for s in ("aabbccddeeff00112233" * 3, "kJ8s7Gq2LmN5xPz9RtVw3YbC"):
+        assert abs(secrets.peak_entropy(s, 20) - exact(s, 20)) < 1e-9
+    got = table(secrets.scan(docs).drop("found"))
+    assert got[87] == got[85] == (0, 0, 0, hashlib.sha256(b"").hexdigest(), "")
+    assert secrets.scan(empty).count() == 0 and secrets.redact(docs).columns == docs.columns
+
+
+def test_quality_rules(spark, docs, empty, odd):
+    rows = [(d, t, "en") for d, t in corpus()]
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in quality_rules.judge(docs).collect()}
+    assert got == brute.quality(rows)
+    assert quality_rules.judge(empty).count() == 0
+    rows = quality_rules.judge(odd).collect()
+    assert len(rows) == 5 and not any(r.kept for r in rows)
+    assert quality_rules.judge(docs.withColumn("lang", F.lit(None).cast("string"))).where("class_distance IS NULL").count() == len(corpus())
+    other = quality_rules.judge(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "zz").otherwise("en")))
+    assert other.where("n_words >= 40 AND word_distance IS NULL").count() == 0
+
+
+def test_jaccard_join(spark, docs, empty, odd):
+    want = brute.components(corpus())
+    assert table(jaccard_join.join(docs)) == want
+    assert table(jaccard_join.join(docs, block_bytes=4000)) == want
+    assert jaccard_join.join(empty).count() == 0
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.join(odd).collect()) == [(-1, 1, -1), (1, 0, 1), (1, 3, 1), (1, 3, 1), (2, 3, 1)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_linked_pair_without_common_signature(seed):
+    r = np.random.default_rng(seed)
+    sets = []
+    for _ in range(300):
+        n = int(r.integers(1, 90))
+        a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        b = a[r.random(len(a)) > r.random() * 0.2]
+        b = np.unique(np.r_[b, r.integers(0, 2**63, int(r.integers(0, 4)), dtype=np.uint64)])
+        sets += [a, b]
+    size = np.array([len(s) for s in sets])
+    doc = np.repeat(np.arange(len(sets)), size)
+    d, sig = jaccard_join.signatures(doc, np.concatenate(sets), size, 85)
+    mine = defaultdict(set)
+    for x, s in zip(d.tolist(), sig.tolist(), strict=True):
+        mine[x].add(s)
+    linked = 0
+    for i in range(0, len(sets), 2):
+        common = len(np.intersect1d(sets[i], sets[i + 1]))
+        if 100 * common >= 85 * (size[i] + size[i + 1] - common) and not np.array_equal(sets[i], sets[i + 1]):
+            linked += 1
+            assert mine[i] & mine[i + 1]
+    assert linked > 20
+    pairs = jaccard_join.links(sets, 85)
+    assert all(185 * jaccard_join.overlap(sets[i], sets[j]) >= 85 * (size[i] + size[j]) for i, j in pairs) and len(pairs) >= linked
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7), (50, 51), (51, 50)]
+    got = table(components.components(spark.createDataFrame(edges, "a bigint, b bigint")))
+    assert got == {**{i: (0,) for i in range(31)}, **{i: (100,) for i in range(100, 140)}, 50: (50,), 51: (50,)}
+
+
+def test_language_model(docs, empty, odd):
+    rows = corpus()
+    token = lambda t: [*brute.words(brute.low(t)), "\0end"]
+    pairs = Counter()
+    for d, t in rows:
+        if d % 3:
+            x = ["\0start", *token(t)]
+            pairs.update(zip(x[:-1], x[1:], strict=True))
+    one, kinds, after, many = Counter(), Counter(), Counter(), defaultdict(lambda: [0, 0, 0])
+    for (v, w), c in pairs.items():
+        one[w] += c
+        kinds[w] += 1
+        after[v] += c
+        many[v][min(c, 3) - 1] += 1
+    disc = lambda cs: language_model.discounts([sum(c == k for c in cs) for k in (1, 2, 3, 4)])
+    a, b, types, v_, n = disc(list(pairs.values())), disc(list(kinds.values())), sum(kinds.values()), len(one), sum(one.values())
+    spare = sum(b[min(c, 3) - 1] for c in kinds.values()) / types
+    lower = lambda w: (max(kinds[w] - b[min(kinds[w], 3) - 1], 0) if w in kinds else 0) / types + spare / (v_ + 1)
+
+    def p(v, w):
+        if v not in after:
+            return lower(w)
+        c = pairs.get((v, w), 0)
+        return (max(c - a[min(c, 3) - 1], 0) if c else 0) / after[v] + sum(x * y for x, y in zip(a, many[v], strict=True)) / after[v] * lower(w)
+
+    assert abs(sum(lower(w) for w in one) + lower("\0new") - 1) < 1e-9
+    got = {r.doc_id: r for r in language_model.score(docs, F.col("doc_id") % 3 != 0).collect()}
+    for d, t in rows:
+        x = ["\0start", *token(t)]
+        r = got[d]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x) - 1, sum(w in one for w in x[1:]), n)
+        assert math.isclose(r.base_score, sum(math.log10((one[w] + 0.1) / (n + 0.1 * (v_ + 1))) for w in x[1:]), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p(i, j)) for i, j in zip(x[:-1], x[1:], strict=True)), rel_tol=1e-7)
+    assert language_model.score(empty, F.lit(True)).count() == 0
+    assert {(r.base_score, r.score) for r in language_model.score(odd, F.lit(False)).collect()} == {(0.0, 0.0)}
+
+
+def test_pipeline(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    r = random.Random(9)
+    rows = [(d, t) for d, t in corpus() if d != 92] + [(200, prose(r, 80) + " password=hunter2hunter2 end"), (201, " ".join(w + "###" for w in prose(r, 80).split())), (202, prose(r, 80))]
+    spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    items = [("i", " ".join(dict(rows)[202].split()[4:30]))]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    judged = brute.quality([(d, t, "en") for d, t in rows])
+    left = [(d, t) for d, t in rows if judged[d][-1]]
+    group = brute.components(left)
+    left = [(d, t) for d, t in left if group[d][1] == d]
+    bad = brute.contaminated(left, items)
+    left = [(d, secrets.redacted(t)) for d, t in left if not bad[d][-1]]
+    lib = Tokenizer.from_file(queries.word_bpe())
+    want = {d: lib.encode(t, add_special_tokens=False).ids for d, t in left}
+    got = {x.doc_id: x.ids for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want and 200 in got and 201 not in got and 202 not in got
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
