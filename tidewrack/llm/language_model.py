@@ -19,9 +19,12 @@ token has probability 1 / (V + 1) = 1.
 
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +40,10 @@ from .words import mix, split
 _BATCH = 8 << 20
 START, STOP = np.uint64(0x5354415254), np.uint64(0x53544F50)
 _CLIP = 255
-_OPEN: dict[str, dict[str, np.ndarray]] = {}
+#: Maps can outlive their file descriptors from Python 3.13 on; before that each open array takes one.
+_FREE = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+MAX_OPEN = 3000 if _FREE else 50
+_OPEN: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
 
 
 def _filesystem(path: str):
@@ -58,9 +64,14 @@ def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def open_arrays(folder: str, name: str, kinds: dict[str, str]) -> dict[str, np.ndarray]:
-    """Memory-map folder/name.<key>. From a remote store a file is fetched first and has no name once it is open."""
+    """Memory-map folder/name.<key>. From a remote store a file is fetched first and has no name once it is open.
+
+    At most MAX_OPEN shards stay open, those used last.
+    """
     key = f"{folder}/{name}"
-    if key not in _OPEN:
+    if key in _OPEN:
+        _OPEN.move_to_end(key)
+    else:
         files, at = _filesystem(folder)
         out = {}
         for k, kind in kinds.items():
@@ -70,10 +81,15 @@ def open_arrays(folder: str, name: str, kinds: dict[str, str]) -> dict[str, np.n
                     while block := source.read(8 << 20):
                         copy.write(block)
                 path = copy.name
-            out[k] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+            out[k] = np.zeros(0, kind)
+            if os.path.getsize(path):
+                with open(path, "rb") as f:
+                    out[k] = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_FREE), kind)
             if not local:
                 os.unlink(path)
         _OPEN[key] = out
+        if len(_OPEN) > MAX_OPEN:
+            _OPEN.popitem(last=False)
     return _OPEN[key]
 
 
