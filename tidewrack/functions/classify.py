@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .text import WS, literal_map, trim
+from .text import WS, let, literal_map, trim
 
 
 def norm(text: Column) -> Column:
@@ -23,13 +23,12 @@ def any_term(text: Column, terms: list[str]) -> Column:
 
 
 def is_relevant(text: Column, specialist: Column, terms: list[str] = vocab.GATE_TERMS) -> Column:
-    return F.coalesce(specialist, F.lit(False)) | any_term(norm(text), terms)
+    return F.coalesce(specialist, F.lit(False)) | let(norm(text), lambda t: any_term(t, terms))
 
 
 def tag_item(text: Column, categories: Column, scope: Column, country: Column, themes: dict[str, list[str]] = vocab.THEMES, most: int = 12) -> Column:
     """Themes in their order, up to four categories as slugs, and the region of a regional source; at most 12 tags."""
-    t = norm(text)
-    found = F.array_compact(F.array(*[F.when(any_term(t, words), F.lit(name)) for name, words in themes.items()]))
+    found = let(norm(text), lambda t: F.array_compact(F.array(*[F.when(any_term(t, words), F.lit(name)) for name, words in themes.items()])))
     slug = lambda c: F.regexp_replace(F.regexp_replace(trim(F.lower(c)), f"{WS}+", "-"), "[^a-z0-9-]", "")
     cats = F.transform(F.slice(F.coalesce(categories, F.array().cast("array<string>")), 1, 4), slug)
     cats = F.filter(cats, lambda c: (c != "") & (F.length(c) <= 30))
@@ -40,9 +39,8 @@ def tag_item(text: Column, categories: Column, scope: Column, country: Column, t
 def primary_theme(tags: Column, order: list[str] | None = None) -> Column:
     """The first theme, in the given order, among the tags; else other."""
     order = order or [t for t in vocab.THEME_LABELS if t != "other"]
-    # The one-element array binds the tags, so that they are made once and not for each theme.
     first = lambda x: F.try_element_at(F.filter(F.array(*map(F.lit, order)), lambda t: F.array_contains(x, t)), F.lit(1))
-    return F.coalesce(F.transform(F.array(F.coalesce(tags, F.array().cast("array<string>"))), first)[0], F.lit("other"))
+    return F.coalesce(let(F.coalesce(tags, F.array().cast("array<string>")), first), F.lit("other"))
 
 
 def theme_label(theme: Column, labels: dict[str, str] = vocab.THEME_LABELS) -> Column:
