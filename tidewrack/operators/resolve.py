@@ -1,8 +1,9 @@
-"""Entity resolution: free-text mentions to a catalogue, by stages of joins; a stage sees only what those before left over.
+"""Entity resolution: free-text mentions to a catalogue, by stages of joins of which the first that matches counts.
 
 Every stage joins on a key that its rule implies (a name, a normal form, the
-first two words, the first word), so no mention meets the whole catalogue.
-Ties go to the earlier catalogue entry (ord).
+first two words, the first word), so no mention meets the whole catalogue. The
+stages' matches are ranked together in one window, so none waits for another
+and nothing is worked out twice. Ties go to the earlier catalogue entry (ord).
 """
 
 from __future__ import annotations
@@ -39,38 +40,33 @@ def company_keys(companies: DataFrame, aliases: DataFrame) -> tuple[DataFrame, D
 
 def match_companies(tags: DataFrame, exact: DataFrame, normed: DataFrame) -> DataFrame:
     """lo, id, reason for the tags (lo, tag) that match: exact, normalized, prefix or fuzzy:<score>."""
-    left = tags.select("lo", "tag").dropDuplicates(["lo"])
-    hit = left.join(exact, "lo").select("lo", "id", F.lit("exact").alias("reason"))
-    left = left.join(hit, "lo", "left_anti").withColumn("key", N.norm_company(F.col("tag")))
-
-    same = left.where(N.norm_key_ok(F.col("tag"), F.col("key"))).join(normed, "key").withColumn("d", N.dice(F.col("lo"), F.lower("name")))
-    normal = first_by(same, ["lo"], [F.desc("d"), "part", "ord", "id"]).select("lo", "id", F.lit("normalized").alias("reason"))
-    left = left.join(normal, "lo", "left_anti")
+    t = tags.select("lo", "tag").dropDuplicates(["lo"]).withColumn("key", N.norm_company(F.col("tag")))
+    row = lambda stage, score, reason: ("lo", "id", F.lit(stage).alias("stage"), score.cast("double").alias("score"), "part", "ord", reason.alias("reason"))
+    s1 = t.join(exact, "lo").withColumns({"part": F.lit(0), "ord": F.lit(0)}).select(*row(1, F.lit(0), F.lit("exact")))
+    same = t.where(N.norm_key_ok(F.col("tag"), F.col("key"))).join(normed, "key").withColumn("d", N.dice(F.col("lo"), F.lower("name")))
+    s2 = same.select(*row(2, F.col("d"), F.lit("normalized")))
 
     heads = first_by(normed, ["key"], ["part", "ord", "id"]).select(F.col("key").alias("k"), "id", "part", "ord")
     two = lambda c: F.array_join(F.slice(_words(F.col(c)), 1, 2), " ")
     longer = F.contains(F.col("key"), F.lit(" ")) & F.contains(F.col("k"), F.lit(" "))
     starts = F.startswith(F.concat("key", F.lit(" ")), F.concat("k", F.lit(" "))) | F.startswith(F.concat("k", F.lit(" ")), F.concat("key", F.lit(" ")))
-    pairs = left.withColumn("two", two("key")).join(heads.withColumn("two", two("k")), "two").where(longer & starts)
-    prefix = first_by(pairs, ["lo"], [F.desc(F.length("k")), "part", "ord", "id"]).select("lo", "id", F.lit("prefix").alias("reason"))
-    left = left.join(prefix, "lo", "left_anti")
+    s3 = t.withColumn("two", two("key")).join(heads.withColumn("two", two("k")), "two").where(longer & starts).select(*row(3, F.length("k"), F.lit("prefix")))
 
     # Letter pairs can't agree to 0.9 when the lengths differ by more than this, so dice() is worked out for few.
     near = F.abs(F.length("key") - F.length("k")) <= 0.11 * (F.length("key") + F.length("k"))
-    pairs = left.withColumn("one", _words(F.col("key"))[0]).join(heads.withColumn("one", _words(F.col("k"))[0]), "one").where(near).withColumn("d", N.dice(F.col("key"), F.col("k"))).where(F.col("d") >= FUZZY)
-    fuzzy = first_by(pairs, ["lo"], [F.desc("d"), "part", "ord", "id"]).select("lo", "id", F.concat(F.lit("fuzzy:"), F.format_string("%.2f", "d")).alias("reason"))
-    return hit.unionByName(normal).unionByName(prefix).unionByName(fuzzy)
+    close = t.withColumn("one", _words(F.col("key"))[0]).join(heads.withColumn("one", _words(F.col("k"))[0]), "one").where(near).withColumn("d", N.dice(F.col("key"), F.col("k"))).where(F.col("d") >= FUZZY)
+    s4 = close.select(*row(4, F.col("d"), F.concat(F.lit("fuzzy:"), F.format_string("%.2f", "d"))))
+    every = s1.unionByName(s2).unionByName(s3).unionByName(s4)
+    return first_by(every, ["lo"], ["stage", F.desc("score"), "part", "ord", "id"]).select("lo", "id", "reason")
 
 
 def match_products(tags: DataFrame, products: DataFrame) -> DataFrame:
     """lo, id, reason by name, then by name without spaces and signs. products: ord, id, name."""
-    left = tags.select("lo", "tag").dropDuplicates(["lo"])
-    names = products.withColumn("lo", F.lower("name"))
-    hit = left.join(first_by(names, ["lo"], ["ord", "id"]).select("lo", "id"), "lo").select("lo", "id", F.lit("exact").alias("reason"))
-    left = left.join(hit, "lo", "left_anti").withColumn("key", N.norm_product(F.col("tag")))
+    t = tags.select("lo", "tag").dropDuplicates(["lo"]).withColumn("key", N.norm_product(F.col("tag")))
+    row = lambda stage, reason: ("lo", "id", F.lit(stage).alias("stage"), "ord", F.lit(reason).alias("reason"))
+    exact = t.join(products.withColumn("lo", F.lower("name")), "lo").select(*row(1, "exact"))
     keys = products.withColumn("key", N.norm_product(F.col("name"))).where("key IS NOT NULL")
-    other = left.join(first_by(keys, ["key"], ["ord", "id"]).select("key", "id"), "key").select("lo", "id", F.lit("normalized").alias("reason"))
-    return hit.unionByName(other)
+    return first_by(exact.unionByName(t.join(keys, "key").select(*row(2, "normalized"))), ["lo"], ["stage", "ord", "id"]).select("lo", "id", "reason")
 
 
 def mentions(articles: DataFrame, kind: str) -> DataFrame:
