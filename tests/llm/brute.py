@@ -64,11 +64,11 @@ def contaminated(rows, items, width=10):
     return out
 
 
-def components(rows, percent=85):
+def components(rows, width=4, percent=85):
     sets = {}
     for d, t in rows:
         w = words(low(t))
-        sets[d] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set())
+        sets[d] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
     parent = {d: d for d in sets}
 
     def find(x):

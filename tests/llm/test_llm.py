@@ -204,10 +204,11 @@ def test_quality_rules(spark, docs, empty, odd):
 
 def test_jaccard_join(spark, docs, empty, odd):
     want = brute.components(corpus())
-    assert table(jaccard_join.join(docs)) == want
-    assert table(jaccard_join.join(docs, block_bytes=4000)) == want
+    assert table(jaccard_join.join(docs, width=4, percent=85)) == want
+    assert table(jaccard_join.join(docs, width=4, percent=85, block_bytes=4000)) == want
+    assert table(jaccard_join.join(docs)) == brute.components(corpus(), 5, 80)
     assert jaccard_join.join(empty).count() == 0
-    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.join(odd).collect()) == [(-1, 1, -1), (1, 0, 1), (1, 3, 1), (1, 3, 1), (2, 3, 1)]
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.join(odd).collect()) == [(-1, 1, -1), (1, 0, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -290,7 +291,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     judged = brute.quality([(d, t, "en") for d, t in rows])
     left = [(d, t) for d, t in rows if judged[d][-1]]
-    group = brute.components(left)
+    group = brute.components(left, 5, 80)
     left = [(d, t) for d, t in left if group[d][1] == d]
     bad = brute.contaminated(left, items)
     left = [(d, secrets.redacted(t)) for d, t in left if not bad[d][-1]]

@@ -341,7 +341,7 @@ def _packed(schema: T.StructType):
     return run
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, block_bytes: int = 16 << 20) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id. Sets link when 100 * intersection >= percent * union."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     head, long = id_field(d, "doc_id"), T.LongType()

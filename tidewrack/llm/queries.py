@@ -59,7 +59,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents"))
+    return jaccard_join.join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
