@@ -10,7 +10,7 @@ the original text worked out.
 Memory: the windows of a shard of at most shard_bytes of benchmark text are
 broadcast, and a worker keeps one automaton for each. A larger benchmark is
 read in several shards, one pass over the documents for each; nothing is
-dropped. A shard's items are chosen by hash, and its size is checked.
+dropped. A shard's items are chosen by hash, for half of that on average.
 
 Defined results: a null text has no words and no hits. Items with a null id,
 or without words, match nothing. Items with one text all count. Repeated
