@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.classify import primary_theme, theme_label
 
-NEWEST = [F.desc_nulls_last, F.asc]
-
 
 def newest(time: str = "published_at", tie: str = "url") -> list[Column]:
     """A total order: time descending, without one last, then the tie-breaker."""
@@ -50,19 +48,23 @@ def fresh(items: DataFrame, now: dt.datetime, days: int = 14) -> DataFrame:
     return items.where(F.col("published_at").isNull() | (F.col("published_at") >= F.lit(now - dt.timedelta(days=days))))
 
 
-def for_recipients(items: DataFrame, recipients: DataFrame, key: str = "url", max_broadcast: int = 100_000) -> DataFrame:
+def for_recipients(items: DataFrame, recipients: DataFrame, key: str = "url", block: int = 1000, spread: int = 32) -> DataFrame:
     """Every recipient with the items that have one of its tags, or all items if it has none.
 
-    Tags are joined as rows, so no pair is made that doesn't match; only those
-    who want everything meet every item, which is their result.
+    Tags are joined as rows, so no pair is made that doesn't match. Only those
+    who want everything meet every item, which is their result: in blocks of
+    about so many recipients, and with the items of each block spread over tasks.
     """
+    none = F.array().cast("array<string>")
     wants = recipients.select("email", F.explode("tags").alias("_tag")).distinct()
-    tagged = items.select(key, F.explode(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))).alias("_tag"))
+    tagged = items.select(key, F.explode(F.array_distinct(F.coalesce("tags", none))).alias("_tag"))
     some = tagged.join(wants, "_tag").select("email", key).distinct()
-    everything = recipients.where((F.size(F.coalesce("tags", F.array().cast("array<string>"))) == 0)).select("email").distinct()
-    on = F.lit(1)
-    every = items.select(key, on.alias("_one")).join(everything.withColumn("_one", on), "_one").select("email", key)
-    return some.unionByName(every).join(items, key)
+    everything = recipients.where(F.size(F.coalesce("tags", none)) == 0).select("email").distinct()
+    blocks = everything.count() // block + 1
+    salts = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    who = everything.select("email", F.pmod(F.xxhash64("email"), F.lit(blocks)).cast("int").alias("_b"), salts(spread).alias("_s"))
+    what = items.select(key, salts(blocks).alias("_b"), F.pmod(F.xxhash64(key), F.lit(spread)).cast("int").alias("_s"))
+    return some.unionByName(what.join(who, ["_b", "_s"]).select("email", key)).join(items, key)
 
 
 def digest(items: DataFrame, by: list[str] | None = None, order: list[str] | None = None, key: str = "url") -> DataFrame:
