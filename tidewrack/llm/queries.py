@@ -55,7 +55,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,4 +121,30 @@ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_url_filter": _URL, "op3_substring_dedup": _DEDUP, "op5_decontamination": _CONTAMINATED, "op9_jaccard_join": _JOIN}
+_LEADS = ", ".join(f"('{lang}', '{w}', {k})" for lang, names in quality_rules.KNOWN_WORDS.items() for k, w in enumerate(names))
+_PARTS = [f"len(regexp_extract_all(rare, '{p}'))" for p in ("[A-Z]", "[0-9]", "[.,;:!?''\"()-]", "[#*$%&|<>]")]
+_QUALITY = rf"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws, regexp_replace(coalesce(text, ''), '[a-z\x20\x{{00C0}}-\x{{024F}}]+', '', 'g') AS rare FROM documents),
+wins AS (SELECT doc_id, i, CASE WHEN i + 7 <= len(ws) THEN array_to_string(ws[i:i + 7], ' ') END AS win FROM w, unnest(range(1, len(ws) + 1)) AS u(i)),
+twice AS (SELECT doc_id, i, win IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, win) > 1 AS t FROM wins),
+covered AS (SELECT doc_id, bool_or(t) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c FROM twice),
+rep AS (SELECT doc_id, count(*) FILTER (c) AS n FROM covered GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, {_WORDS}) GROUP BY doc_id),
+lead(lang, word, k) AS (VALUES {_LEADS}),
+listed AS (SELECT doc_id, k, count(*) AS c FROM (SELECT doc_id, lang, unnest(ws) AS word FROM w) JOIN lead USING (lang, word) GROUP BY ALL),
+cells AS (
+  SELECT doc_id, lang, 'w' AS kind, k, coalesce(c, 0) AS c FROM w JOIN lead USING (lang) LEFT JOIN listed USING (doc_id, k)
+  UNION ALL SELECT doc_id, lang, 'w', 99, len(ws) - coalesce(n, 0) FROM w LEFT JOIN (SELECT doc_id, sum(c) AS n FROM listed GROUP BY doc_id) USING (doc_id)
+  UNION ALL SELECT doc_id, lang, 'c', k, c FROM (SELECT doc_id, lang, unnest([length(t) - length(rare), {', '.join(_PARTS)}, length(rare) - {' - '.join(_PARTS)}]) AS c, unnest([0, 1, 2, 3, 4, 5]) AS k FROM w)),
+shares AS (SELECT doc_id, lang, kind, k, c / greatest(sum(c) OVER (PARTITION BY doc_id, kind), 1) AS p FROM cells),
+refs AS (SELECT lang, kind, k, sum(c) / sum(sum(c)) OVER (PARTITION BY lang, kind) AS q FROM cells GROUP BY lang, kind, k),
+far AS (SELECT doc_id, kind, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2), 0)) AS d FROM shares JOIN refs USING (lang, kind, k) GROUP BY doc_id, kind),
+over AS (SELECT doc_id, bool_or(d > CASE kind WHEN 'w' THEN 0.31 ELSE 0.28 END) AS o FROM far GROUP BY doc_id),
+base AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(rare, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, o FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN over USING (doc_id)),
+failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (n_words < 40 OR NOT coalesce(o, false)) AS kept FROM failed
+"""
+
+ORACLE_SQL = {"op1_url_filter": _URL, "op3_substring_dedup": _DEDUP, "op5_decontamination": _CONTAMINATED, "op8_quality_rules": _QUALITY, "op9_jaccard_join": _JOIN}
