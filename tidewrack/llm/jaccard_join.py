@@ -9,10 +9,10 @@ suffices are verified on the sets themselves.
 One tree over all documents fits nowhere, so the forest is cut where no link
 crosses. Two linked sets differ in at most d shingles, d following from their
 sizes. With more than d groups, some group holds the same shingles in both. A
-set gives a signature for each of its groups that isn't empty; sets that share
-a signature, directly or through others, form a cluster, and each cluster gets
-its own tree. The number of groups leaves room for some empty ones. A set with
-more empty groups than that ("poor") also gives signatures in a second hash
+set gives a signature for each of its groups that isn't weak (empty, or of one
+shingle); sets that share a signature, directly or through others, form a
+cluster, and each cluster gets its own tree. The number of groups leaves room
+for some weak ones. A set with more of them ("poor") also gives signatures in a second hash
 family, and so on; one that is poor in all families meets the others of its
 size class. So no linked pair is missed.
 
@@ -88,17 +88,35 @@ def set_names(doc: np.ndarray, value: np.ndarray, size: np.ndarray) -> tuple[np.
         return mix(_sums(doc, mix(value), n) + size.astype(_U)), mix(_sums(doc, mix(value ^ _U(0xA5A5A5A5)), n) ^ size.astype(_U))
 
 
+def _few(mean: float, least: int) -> float:
+    """The share of groups with under least shingles, at a mean of so many."""
+    return math.exp(-mean) * sum(mean**k / math.factorial(k) for k in range(least))
+
+
 @cache
 def size_classes(percent: int, most: int) -> list[tuple[int, int, int, int]]:
-    """(least size, next least size, groups, empty groups allowed) of the classes up to sizes of most."""
+    """(least size, groups, weak groups allowed, shingles without which a group is weak) of the classes up to sizes of most.
+
+    Weak groups give no signature, as one frequent shingle alone in its group
+    would bring many unlike sets together. Two shingles are asked for where
+    that takes few more groups.
+    """
     out, low = [], 1
     while low <= most:
         high = max(low + 1, int(low * RATIO))
         a = high - 1
         differ = (100 - percent) * (a + 100 * a // percent) // (100 + percent)
-        empty = (differ + 1) * math.exp(-low / (differ + 1))
-        spare = int(empty + 2 * math.sqrt(empty)) if differ > 8 else 0
-        out.append((low, high, differ + 1 + spare, spare) if differ else (low, high, 0, 0))
+        choice = (0, 0, 1)
+        for least in (2, 1) if differ else ():
+            groups = differ + 1
+            for _ in range(20):
+                weak = groups * _few(low / groups, least)
+                spare = int(weak + 2 * math.sqrt(weak)) if differ > 8 else 0
+                groups = differ + 1 + spare
+            choice = (groups, spare, least)
+            if differ > 8 and groups <= 1.4 * (differ + 1):
+                break
+        out.append((low, *choice))
         low = high
     return out
 
@@ -113,8 +131,8 @@ def signatures(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent: in
     for step in range(int((high_class - low_class).max(initial=-1)) + 1):
         kind = low_class + step
         use = (kind <= high_class) & (size > 0)
-        groups = np.where(use, np.array([c[2] for c in classes])[np.clip(kind, 0, len(classes) - 1)], 0)
-        allowed = np.array([c[3] for c in classes])[np.clip(kind, 0, len(classes) - 1)]
+        _, of_class, spare, least = np.array(classes)[np.clip(kind, 0, len(classes) - 1)].T
+        groups, allowed = np.where(use, of_class, 0), spare
         need = use & (groups > 0)
         for family in range(FAMILIES):
             mine = need[doc]
@@ -127,14 +145,14 @@ def signatures(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent: in
                 salted = mix(v + _U(family * 7919 + 1))
                 at = first[d] + ((salted >> _U(32)) % groups[d].astype(_U)).astype(np.int64)
                 held = _sums(at, mix(v), total)
-                filled = np.bincount(at, minlength=total) > 0
                 owner = np.repeat(np.arange(len(size)), np.where(need, groups, 0))
+                filled = np.bincount(at, minlength=total) >= least[owner]
                 inner = np.arange(total) - first[owner]
                 sig = mix(held + mix((kind[owner] * FAMILIES + family).astype(_U) * _U(1 << 32) + inner.astype(_U)))
             docs.append(owner[filled])
             sigs.append(sig[filled])
-            empty = np.bincount(owner[~filled], minlength=len(size))
-            need = need & (empty > allowed)
+            weak = np.bincount(owner[~filled], minlength=len(size))
+            need = need & (weak > allowed)
         rest = np.flatnonzero(need)
         docs.append(rest)
         sigs.append(mix(kind[rest].astype(_U) + _U(1 << 60)))
