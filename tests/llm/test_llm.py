@@ -206,6 +206,7 @@ def test_jaccard_join(spark, docs, empty, odd):
     want = brute.components(corpus())
     assert table(jaccard_join.join(docs, width=4, percent=85)) == want
     assert table(jaccard_join.join(docs, width=4, percent=85, block_bytes=4000)) == want
+    assert table(jaccard_join.join(docs, width=4, percent=85, block_bytes=40_000, rounds=2)) == want
     assert table(jaccard_join.join(docs)) == brute.components(corpus(), 5, 80)
     assert jaccard_join.join(empty).count() == 0
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.join(odd).collect()) == [(-1, 1, -1), (1, 0, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1)]

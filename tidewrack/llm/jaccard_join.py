@@ -18,7 +18,8 @@ size class. So no linked pair is missed.
 
 Scale: equal sets are one node throughout. A batch of documents combines its
 own equal signatures first, and the rest of a signature's rows are streamed,
-each linked with the least node only. A cluster of more than block_bytes is cut
+each linked with the least node only. A large cluster is taken apart by the
+signatures of other hash families. One still of more than block_bytes is cut
 into blocks, and each pair of blocks is a task of its own. Inside a task, pairs
 that are connected already aren't verified.
 
@@ -121,7 +122,7 @@ def size_classes(percent: int, most: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def signatures(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Document and signature; linked documents with different sets have one in common."""
     classes = size_classes(percent, 1 << int(size.max(initial=1)).bit_length())
     lows = np.array([c[0] for c in classes])
@@ -142,7 +143,7 @@ def signatures(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent: in
             first = np.cumsum(np.where(need, groups, 0)) - np.where(need, groups, 0)
             total = int(np.where(need, groups, 0).sum())
             with np.errstate(over="ignore"):
-                salted = mix(v + _U(family * 7919 + 1))
+                salted = mix(v + _U((salt * FAMILIES + family) * 7919 + 1))
                 at = first[d] + ((salted >> _U(32)) % groups[d].astype(_U)).astype(np.int64)
                 held = _sums(at, mix(v), total)
                 owner = np.repeat(np.arange(len(size)), np.where(need, groups, 0))
@@ -153,6 +154,7 @@ def signatures(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent: in
             sigs.append(sig[filled])
             weak = np.bincount(owner[~filled], minlength=len(size))
             need = need & (weak > allowed)
+        # Families are used up: these meet all others of their class.
         rest = np.flatnonzero(need)
         docs.append(rest)
         sigs.append(mix(kind[rest].astype(_U) + _U(1 << 60)))
@@ -212,6 +214,23 @@ def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _signed_again(width: int, percent: int, salt: int):
+    """Signatures of other hash families for packed texts of clusters; they only bring documents of one cluster together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            for piece in pieces(batch, "z", _BATCH // 4):
+                texts = [codec.decompress(z, n, asbytes=True) for z, n in zip(piece.column("z").to_pylist(), piece.column("size").to_pylist(), strict=True)]
+                doc, value, size = shingle_sets(pa.array(texts, pa.large_binary()), width)
+                d, sig = signatures(doc, value, size, percent, salt)
+                label = piece.column("label").to_numpy().view(_U)
+                node, _ = set_names(doc, value, size)
+                yield pa.RecordBatch.from_arrays([pa.array(mix(sig ^ mix(label[d])).view(np.int64)), pa.array(node[d].view(np.int64)), pa.nulls(len(d), pa.int64())], names=["sig", "node", "hub"])
+
+    return run
+
+
 class Tree:
     """An R-tree over count vectors, packed from the leaves up in the order of size and counts."""
 
@@ -359,7 +378,7 @@ def _packed(schema: T.StructType):
     return run
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block_bytes: int = 16 << 20) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block_bytes: int = 16 << 20, rounds: int = 4) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id. Sets link when 100 * intersection >= percent * union."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     head, long = id_field(d, "doc_id"), T.LongType()
@@ -369,17 +388,34 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     signed = d.mapInArrow(_signed(width, percent), _SIGNED).repartition(parts, "sig").sortWithinPartitions("sig", "node")
     clusters = components(signed.mapInArrow(_hubs, "a bigint, b bigint"))
 
-    # One document of each set; clusters of many bytes are cut into blocks.
-    chosen = named.where("name IS NOT NULL AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("v"), F.first("n_shingles").alias("n"))
-    members = chosen.join(clusters, "v")
-    sizes = members.groupBy("label").agg(F.ceil(F.sum(F.col("n") * 24) / block_bytes).cast("int").alias("blocks"), F.count("*").alias("all")).where("all > 1")
-    members = members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    members = members.select("doc_id", "label", "name", "block", other.alias("o")).select("doc_id", "label", "name", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    # One document of each set that is in a cluster, with its text.
+    chosen = named.where("name IS NOT NULL AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("node"), F.first("n_shingles").alias("n"))
+    members = chosen.join(clusters.withColumnRenamed("v", "node"), "node")
     pack = T.StructType([head, T.StructField("size", long), T.StructField("z", T.BinaryType())])
-    texts = d.mapInArrow(_packed(pack), pack).join(stored(members, "members"), "doc_id")
-    texts = texts.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j", "name")
-    found = components(texts.mapInArrow(_linked(width, percent), "a string, b string"))
+    texts = stored(d.mapInArrow(_packed(pack), pack).join(members, "doc_id").select("name", "node", "n", "label", "size", "z"), "texts")
+
+    # A large cluster is often made of small ones that few common shingles tie together.
+    # Linked sets have a signature in common in every family, so others take it apart.
+    labels = texts.select("name", "node", "n", "label")
+    large = lambda x: x.groupBy("label").agg((F.sum(F.col("n") * 24) > block_bytes // 8).alias("large"))
+    for salt in range(1, rounds + 1):
+        sizes = large(labels)
+        again = stored(texts.drop("label").join(labels.select("name", "label"), "name").join(sizes.where("large"), "label").select("label", "node", "size", "z"), "large")
+        if again.isEmpty():
+            break
+        parted = again.mapInArrow(_signed_again(width, percent, salt), _SIGNED).repartition(parts, "sig").sortWithinPartitions("sig", "node")
+        parted = components(parted.mapInArrow(_hubs, "a bigint, b bigint")).select(F.col("v").alias("node"), F.col("label").alias("next"))
+        both = labels.join(sizes, "label").join(parted, "node", "left").where("NOT large OR next IS NOT NULL")
+        # What comes from a large cluster gets a label of both, as nodes of others could have the same.
+        labels = stored(both.select("name", "node", "n", F.when(F.col("large"), F.xxhash64("label", "next")).otherwise(F.col("label")).alias("label")), "labels")
+
+    # Clusters of many bytes are cut into blocks.
+    sizes = labels.groupBy("label").agg(F.ceil(F.sum(F.col("n") * 24) / block_bytes).cast("int").alias("blocks"), F.count("*").alias("all")).where("all > 1")
+    members = labels.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    members = members.select("label", "name", "block", other.alias("o")).select("label", "name", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    blocks = texts.select("name", "size", "z").join(members, "name").repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j", "name")
+    found = components(blocks.mapInArrow(_linked(width, percent), "a string, b string"))
 
     labelled = named.join(found.withColumnRenamed("v", "name"), "name", "left").select("doc_id", "n_shingles", F.coalesce("label", "name").alias("label"))
     least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
