@@ -362,8 +362,7 @@ def name_page(spark, d):
 
 @query("SELECT doc_id, text, lang FROM documents WHERE n_chars >= 200 AND n_chars <= 260")
 def usable_bodies(spark, d):
-    body = X.usable_body(F.col("text"))
-    return t(spark, d, "documents").where((body != "") & (F.col("n_chars") <= 260)).select("doc_id", "text", "lang")
+    return t(spark, d, "documents").where(X.usable_body(F.col("text")) != "").select("doc_id", "text", "lang")
 
 
 # ---- names and entity resolution ----
