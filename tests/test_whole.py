@@ -14,3 +14,9 @@ def test_usable_bodies_keep_long_texts(spark, tmp_path):
     d = saved(spark, tmp_path, ["a" * 199, "b" * 200, "c" * 261, "d" * 5000])
     got = {r.doc_id: (r.text, r.lang) for r in plans.usable_bodies(spark, d).collect()}
     assert got == {1: ("b" * 200, "en"), 2: ("c" * 261, "en"), 3: ("d" * 5000, "en")}
+
+
+def test_feed_search_reads_whole_texts(spark, tmp_path):
+    texts = ["x" * 55 + "station there" + "y" * 10, "z" * 900 + " nation that", "station there", "w" * 400]
+    got = [r.doc_id for r in plans.feed_search(spark, saved(spark, tmp_path, texts)).collect()]
+    assert got == [1, 0, 2]

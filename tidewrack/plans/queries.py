@@ -221,7 +221,7 @@ def feed_page(spark, d):
 
 @query("SELECT doc_id, title FROM (SELECT doc_id, substring(text, 1, 60) AS title, substring(text, 61, 200) AS summary, n_chars FROM documents) WHERE title ILIKE '%tion th%' OR summary ILIKE '%tion th%' ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 24")
 def feed_search(spark, d):
-    a = t(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.substring("text", 61, 200).alias("summary"), "n_chars")
+    a = t(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.col("text").alias("summary"), "n_chars")
     return serving.feed_page(a, query=" tion th ", order=serving.newest("n_chars", "doc_id")).select("doc_id", "title")
 
 
