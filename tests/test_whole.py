@@ -1,5 +1,6 @@
 """Queries and operators do the whole job: nothing is left out for size."""
 
+from tidewrack.llm import quality_rules
 from tidewrack.plans import queries as plans
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -20,3 +21,14 @@ def test_feed_search_reads_whole_texts(spark, tmp_path):
     texts = ["x" * 55 + "station there" + "y" * 10, "z" * 900 + " nation that", "station there", "w" * 400]
     got = [r.doc_id for r in plans.feed_search(spark, saved(spark, tmp_path, texts)).collect()]
     assert got == [1, 0, 2]
+
+
+def test_quality_rules_count_common_words_of_every_language(spark):
+    # 'velorum', of 7 letters, is the commonest word of both languages; a text without it is far from them.
+    usual, odd = "velorum tas " * 30, "brask olt " * 30
+    rows = [(i, usual, lang) for i, lang in enumerate(["en", "qq"] * 20)] + [(100, odd, "en"), (101, odd, "qq")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    lead = {r.lang: r.words for r in quality_rules.references(d, common_words=2).collect()}
+    assert lead == {"en": ["tas", "velorum"], "qq": ["tas", "velorum"]}
+    far = {r.doc_id: r.word_distance for r in quality_rules.judge(d, common_words=2).collect()}
+    assert far[0] == far[1] < 0.31 < far[100] == far[101]

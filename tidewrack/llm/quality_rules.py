@@ -5,7 +5,7 @@ and its histogram over the most common words of its language are compared with
 the language's own reference histograms by Jensen-Shannon distance (base 2, so
 0 to 1). The references are counted over all documents; only they, at most
 max_languages x (common_words + classes) numbers, come to the driver. Which
-words to count is known for some languages and found in the corpus for others.
+words to count is found in the corpus, by a count over all documents.
 Each text is read once for all its counts, which are written to the shared
 folder; references and verdicts come from these few numbers a document.
 
@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from .shared import stored
 
-#: Frequent function words, whose shares make up the word histogram.
+#: Frequent function words, for callers that give known_words instead of having them counted.
 KNOWN_WORDS = {
     "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "was", "on", "with"],
     "de": ["der", "die", "und", "das", "den", "in", "von", "zu", "mit", "ist", "nicht", "ein"],
@@ -103,15 +103,14 @@ def _class_counts(length: Column, rare: Column) -> Column:
     return F.array(*[c.cast("double") for c in every])
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common_words: int = 24, common_length: int = 4, max_languages: int = 256) -> DataFrame:
-    """One row per language: the words of at most common_length characters that are most frequent in it.
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common_words: int = 24, max_languages: int = 256) -> DataFrame:
+    """One row per language: the words that are most frequent in it, of any length.
 
     All documents are counted. Words are combined in each task before they are
     shuffled, and so is each task's list of leaders. At most max_languages
     languages, those with most such words, get a reference.
     """
-    short = F.filter(word_array(F.col(text_col)), lambda w: F.length(w) <= common_length)
-    words = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(short).alias("word"))
+    words = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(word_array(F.col(text_col))).alias("word"))
     counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     lead = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= common_words)
     lead = lead.groupBy("lang").agg(F.sum("n").alias("all"), F.array_sort(F.collect_list("word")).alias("words"))
@@ -153,16 +152,17 @@ def _profiles(counts: DataFrame, leads: dict[str, list[str]]) -> dict[str, tuple
     return {r["_lang"]: (share([r[f"w{i}"] for i in range(len(leads[r["_lang"]]) + 1)]), share([r[f"c{i}"] for i in range(len(CLASSES))])) for r in sums.collect()}
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", known_words: dict[str, list[str]] | None = None, common_words: int = 12, common_length: int = 4, max_languages: int = 256, min_words: int = 40, max_class_distance: float = 0.28, max_word_distance: float = 0.31) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", known_words: dict[str, list[str]] | None = None, common_words: int = 12, max_languages: int = 256, min_words: int = 40, max_class_distance: float = 0.28, max_word_distance: float = 0.31) -> DataFrame:
     """Judge every row. Returns doc_id, the base counts, class_distance, word_distance, base_failed, kept.
 
     A document of at least min_words words is rejected when either distance to
     its language's reference exceeds its limit; a distance is null without
-    references (an empty table, or none with a lang).
+    references (an empty table, or none with a lang). For languages in
+    known_words these words are counted, for all others the corpus's own.
     """
-    leads = dict(KNOWN_WORDS if known_words is None else known_words)
+    leads = dict(known_words or {})
     other = docs.where(~F.col(lang_col).isin(*leads)) if leads else docs
-    leads |= {r["lang"]: r["words"] for r in references(other, text_col, lang_col, common_words, common_length, max_languages).collect()}
+    leads |= {r["lang"]: r["words"] for r in references(other, text_col, lang_col, common_words, max_languages).collect()}
     counts = stored(base_counts(docs, leads, id_col, text_col, lang_col), "counts")
     profiles = _profiles(counts, leads) if leads else {}
     lits = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
