@@ -4,11 +4,13 @@ For each character class, candidates are its maximal runs of at least the
 class's window. A window slides over a candidate; the sum of c*log2(c) over its
 character counts changes by one entering and one leaving character, so each
 step costs the same whatever the window. A candidate is a secret when some
-window reaches the class's entropy and the allow list doesn't suppress it.
+window reaches the class's entropy and the allow list doesn't suppress it. A
+placeholder's name in it suppresses only itself: the parts beside it are judged.
 
 Defined results: a null or empty text has no spans. Spans are code points, end
-exclusive. Entropy spans that overlap a span of a pattern are left out, as that
-one stays. Repeated rows are scanned alike.
+exclusive. An entropy span is left out if no window that reaches the entropy
+extends beyond earlier spans; otherwise it stays whole, so spans may overlap.
+Repeated rows are scanned alike.
 """
 
 from __future__ import annotations
@@ -34,12 +36,33 @@ CLASSES = (("entropy_hex", re.compile(r"[0-9A-Fa-f]{24,}"), 24, 3.0), ("entropy_
 
 #: Candidates that match one of these are never secrets.
 ALLOW = (
-    re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)*=*"),  # words, also joined ones and paths of words
     re.compile(r"[0-9]+(?:[-_/][0-9]+)*"),  # numbers and dates
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # UUIDs
-    re.compile(r".*(?i:example|placeholder|xxxx|changeme).*"),
-    re.compile(r"[-_=+/]*(?:[A-Za-z0-9]{0,6}[-_=+/]+)+[A-Za-z0-9]{0,6}"),  # rules and short parts between separators
+    re.compile(r"[A-Za-z0-9]{0,6}(?:[-_=+/][A-Za-z0-9]{0,6})+"),  # rules and short parts between separators
 )
+PLACEHOLDER = re.compile(r"(?i:example|placeholder|x{4,}|changeme)")
+
+#: Words, also joined ones and paths of words; judged by pairs of letters too, as random letters look the same.
+LETTERS = re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)*=*")
+#: Pairs of letters that are common in words; random letters have about a quarter of their pairs here.
+PAIRS = frozenset(
+    "th he in er re an on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op sa ay ke fr av ag ap gr bo sp do uc ei ov ep da cu sc gi ga qu ue ff va um up lu ru eg ck br ki ei au zu mm nn ub in".split()
+)
+PAIR_WINDOW, PAIR_LEAST = 19, 9
+
+
+def wordlike(s: str) -> bool:
+    """Whether a run of letters reads as words: of the pairs in every window at least PAIR_LEAST of PAIR_WINDOW are common ones."""
+    low = s.lower()
+    seen = [low[i : i + 2] in PAIRS for i in range(len(low) - 1) if low[i].isalpha() and low[i + 1].isalpha()]
+    n = sum(seen[:PAIR_WINDOW])
+    if n * PAIR_WINDOW < PAIR_LEAST * min(len(seen), PAIR_WINDOW):
+        return False
+    for i in range(PAIR_WINDOW, len(seen)):
+        n += seen[i] - seen[i - PAIR_WINDOW]
+        if n < PAIR_LEAST:
+            return False
+    return True
 
 _CLOG = [0.0, *(c * math.log2(c) for c in range(1, 257))]
 
@@ -75,27 +98,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 
-def entropy_spans(text: str, allow: tuple[re.Pattern, ...] = ALLOW) -> list[tuple[int, int, int]]:
-    found = []
+def _parts(s: str, allow: tuple[re.Pattern, ...]) -> Iterator[tuple[int, str]]:
+    """What is left to judge of a candidate: its parts beside placeholders, with their places."""
+    at = 0
+    for end, after in [*((m.start(), m.end()) for m in PLACEHOLDER.finditer(s)), (len(s), len(s))]:
+        part = s[at:end]
+        if part and not any(x.fullmatch(part) for x in allow) and not (LETTERS.fullmatch(part) and wordlike(part)):
+            yield at, part
+        at = after
+
+
+def entropy_spans(text: str, allow: tuple[re.Pattern, ...] = ALLOW, taken: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
+    """Candidates with a window that reaches the entropy and isn't within the spans taken or the candidates found before."""
+    found, taken = [], sorted(taken or [])
     for kind, run, window, least in CLASSES:
         for m in run.finditer(text):
-            s = m[0]
-            if any(x.fullmatch(s) for x in allow):
-                continue
-            if peak_entropy(s, window) >= least:
-                found.append((m.start(), KINDS.index(kind), m.end()))
+            a = m.start()
+            if any(_beyond(part, a + at, window, least, taken) for at, part in _parts(m[0], allow)):
+                found.append((a, KINDS.index(kind), m.end()))
+        taken = sorted([*taken, *((a, b) for a, _, b in found)])
     return found
 
 
+def _beyond(part: str, start: int, window: int, least: float, taken: list[tuple[int, int]]) -> bool:
+    """Whether a window of the part at start reaches the entropy and extends beyond the spans taken."""
+    if peak_entropy(part, window) < least:
+        return False
+    end, free, at = start + len(part), [], start
+    for x, y in taken:
+        if x < end and start < y:
+            if at < x:
+                free.append((at, x))
+            at = max(at, y)
+    if at < end:
+        free.append((at, end))
+    # All windows that touch a free stretch lie within window - 1 characters of it.
+    return any(peak_entropy(part[max(0, x - start - window + 1) : y - start + window - 1], window) >= least for x, y in free)
+
+
 def all_spans(text: str, allow: tuple[re.Pattern, ...] = ALLOW) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Spans of the patterns, and these with the added ones."""
     base = base_spans(text)
-    out, taken = list(base), [(a, b) for a, _, b in base]
-    for a, k, b in entropy_spans(text, allow):
-        if not any(x < b and a < y for x, y in taken):
-            out.append((a, k, b))
-            taken.append((a, b))
-    return base, sorted(out)
+    return base, sorted([*base, *entropy_spans(text, allow, [(a, b) for a, _, b in base])])
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
