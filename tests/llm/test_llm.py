@@ -206,43 +206,85 @@ def test_jaccard_join(spark, docs, empty, odd):
     want = brute.components(corpus())
     assert table(jaccard_join.join(docs, width=4, percent=85)) == want
     assert table(jaccard_join.join(docs, width=4, percent=85, block_bytes=4000)) == want
-    assert table(jaccard_join.join(docs, width=4, percent=85, block_bytes=40_000, rounds=2)) == want
+    assert table(jaccard_join.join(docs, width=4, percent=85, block_bytes=40_000)) == want
     assert table(jaccard_join.join(docs)) == brute.components(corpus(), 5, 80)
     assert jaccard_join.join(empty).count() == 0
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.join(odd).collect()) == [(-1, 1, -1), (1, 0, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
+    w = prose(random.Random(4), 60).split()
+    chain = [(1, " ".join(w)), (None, " ".join([*w[1:], "x"])), (2, " ".join([*w[4:], *"xyzuv"]))]
+    got = [(r.doc_id, r.component_id) for r in jaccard_join.join(spark.createDataFrame(chain, "doc_id bigint, text string"), width=4, percent=85).collect()]
+    assert sorted(got, key=str) == [(1, 1), (2, 1), (None, 1)]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_no_linked_pair_without_common_signature(seed):
-    r = np.random.default_rng(seed)
+def random_sets(r, most, n):
     sets = []
-    for _ in range(300):
-        n = int(r.integers(1, 90))
-        a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
-        b = a[r.random(len(a)) > r.random() * 0.2]
-        b = np.unique(np.r_[b, r.integers(0, 2**63, int(r.integers(0, 4)), dtype=np.uint64)])
-        sets += [a, b]
+    for _ in range(n):
+        a = np.unique(r.integers(0, 2**jaccard_join.VALUE_BITS, int(r.integers(1, most)), dtype=np.uint64))
+        for _ in range(2):
+            b = a[r.random(len(a)) > r.random() * 0.12]
+            sets.append(np.unique(np.r_[b, r.integers(0, 2**jaccard_join.VALUE_BITS, int(r.integers(0, 4)), dtype=np.uint64)]))
+    return [s for s in sets if len(s)]
+
+
+def linked(a, b, percent):
+    common = len(np.intersect1d(a, b))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+@pytest.mark.parametrize("seed,percent", [(0, 85), (1, 80), (2, 95), (3, 60)])
+def test_linked_sets_have_a_subtree_in_common(seed, percent):
+    sets = random_sets(np.random.default_rng(seed), 90, 300)
     size = np.array([len(s) for s in sets])
     doc = np.repeat(np.arange(len(sets)), size)
-    d, sig = jaccard_join.signatures(doc, np.concatenate(sets), size, 85)
+    value = np.concatenate(sets)
+    at = jaccard_join.first_coordinates(doc, value, size, percent)
     mine = defaultdict(set)
-    for x, s in zip(d.tolist(), sig.tolist(), strict=True):
-        mine[x].add(s)
-    linked = 0
-    for i in range(0, len(sets), 2):
-        common = len(np.intersect1d(sets[i], sets[i + 1]))
-        if 100 * common >= 85 * (size[i] + size[i + 1] - common) and not np.array_equal(sets[i], sets[i + 1]):
-            linked += 1
-            assert mine[i] & mine[i + 1]
-    assert linked > 20
-    pairs = jaccard_join.links(sets, 85)
-    assert all(185 * jaccard_join.overlap(sets[i], sets[j]) >= 85 * (size[i] + size[j]) for i, j in pairs) and len(pairs) >= linked
+    for d, v in zip(doc[at].tolist(), value[at].tolist(), strict=True):
+        mine[d].add(v)
+    pairs = [(i, i + 1) for i in range(len(sets) - 1) if linked(sets[i], sets[i + 1], percent)]
+    assert len(pairs) > 8 and all(mine[i] & mine[j] for i, j in pairs)
+    packed, kind = jaccard_join.points(doc, value, size), jaccard_join.size_class(size)
+    for i, j in pairs:
+        k = min(kind[i], kind[j])
+        assert max(kind[i], kind[j]) - k <= 1
+        x, y = jaccard_join.unpacked([packed[i], packed[j]], kind[[i, j]], int(k))
+        assert x.sum() == size[i] and y.sum() == size[j]
+        assert np.minimum(x, y).sum() >= len(np.intersect1d(sets[i], sets[j]))
+    found = jaccard_join.links(sets, percent)
+    assert all(linked(sets[i], sets[j], percent) for i, j in found)
+
+
+@pytest.mark.parametrize("seed,percent", [(0, 85), (1, 80), (2, 60)])
+def test_hubs_lose_no_link(seed, percent):
+    r = np.random.default_rng(seed)
+    base = np.unique(r.integers(0, 2**jaccard_join.VALUE_BITS, 120, dtype=np.uint64))
+    sets = random_sets(r, 140, 60)
+    for _ in range(200):  # copies at all distances round the limit
+        kept = base[r.random(len(base)) > r.random() * 0.25]
+        sets.append(np.unique(np.r_[kept, r.integers(0, 2**jaccard_join.VALUE_BITS, int(r.integers(0, 20)), dtype=np.uint64)]))
+    size = np.array([len(s) for s in sets])
+    vectors = np.stack([np.bincount((s % np.uint64(64)).astype(int), minlength=64) for s in sets])
+    comp = jaccard_join.connected(vectors, size, percent)
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if linked(sets[i], sets[j], percent):
+                assert comp[i] == comp[j]
+                a, b = want[i], want[j]
+                want = [min(a, b) if x in (a, b) else x for x in want]
+    got = list(range(len(sets)))
+    for i, j in jaccard_join.links(sets, percent):
+        a, b = got[i], got[j]
+        got = [min(a, b) if x in (a, b) else x for x in got]
+    assert len({*zip(got, want)}) == len(set(got)) == len(set(want))
 
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7), (50, 51), (51, 50)]
     got = table(components.components(spark.createDataFrame(edges, "a bigint, b bigint")))
     assert got == {**{i: (0,) for i in range(31)}, **{i: (100,) for i in range(100, 140)}, 50: (50,), 51: (50,)}
+    assert components.components(spark.createDataFrame([(None, 1), (2, None), (3, 3)], "a bigint, b bigint")).count() == 0
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
 def test_language_model(docs, empty, odd):

@@ -14,15 +14,16 @@ from pyspark.sql import types as T
 PIECE_BYTES = 2 << 20
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose texts have about most bytes; a longer text stands alone and whole."""
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most so many rows whose texts have about most bytes; a longer text stands alone and whole."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield batch.slice(a, b - a)
+        for x in range(a, b, rows):
+            yield batch.slice(x, min(rows, b - x))
 
 
 def id_field(docs: DataFrame, id_col: str, name: str = "doc_id") -> T.StructField:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,8 +13,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     In each round a node takes the least label among its neighbours' and then
     its label's label, so long chains shorten quickly. Rounds are written to the
-    shared folder. Labels are combined before they are shuffled, so a node with
-    very many edges is no hot spot.
+    shared folder, and removed there once the next one is. Labels are combined
+    before they are shuffled, so a node with very many edges is no hot spot.
+
+    Defined results: an edge with a null end, or from a node to itself, is
+    left out, and a node with no other edge has no row; repeated edges count
+    once; without edges there are no rows.
     """
     ways = F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
     both = stored(edges.where("a <> b").select(ways).select("e.a", "e.b").distinct(), "edges")
@@ -23,8 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
         best = labels.join(near.withColumnRenamed("a", "v"), "v").select("v", "label", F.least("label", "m").alias("new"))
         jump = labels.select(F.col("v").alias("new"), F.col("label").alias("next"))
-        step = stored(best.join(jump, "new").select("v", F.least("new", "next").alias("label"), (F.least("new", "next") != F.col("label")).alias("moved")), "labels")
-        moved = step.where("moved").limit(1).count()
-        labels = step.select("v", "label")
-        if not moved:
-            return labels
+        step = best.join(jump, "new").select("v", F.least("new", "next").alias("label"), (F.least("new", "next") != F.col("label")).alias("moved"))
+        step = stored(step, "labels")
+        discard(labels)
+        labels = step
+        if step.where("moved").isEmpty():
+            discard(both)
+            out = step.select("v", "label")
+            out._stored_at = step._stored_at
+            return out

@@ -1,62 +1,79 @@
 """N-gram Jaccard join with count-vector R-trees.
 
 A document is the set of its distinct word shingles. Shingles are hashed into
-groups, and sets meet in an R-tree over their counts for each group: the sum of
-the smaller coordinates bounds the overlap of two sets, and with a node's
-largest coordinates that of a set with all below the node. Pairs whose bound
-suffices are verified on the sets themselves.
-
-One tree over all documents fits nowhere, so the forest is cut where no link
-crosses. Two linked sets differ in at most d shingles, d following from their
-sizes. With more than d groups, some group holds the same shingles in both. A
-set gives a signature for each of its groups that isn't weak (empty, or of one
-shingle); sets that share a signature, directly or through others, form a
-cluster, and each cluster gets its own tree. The number of groups leaves room
-for some weak ones. A set with more of them ("poor") also gives signatures in a second hash
-family, and so on; one that is poor in all families meets the others of its
-size class. So no linked pair is missed.
-
-Scale: equal sets are one node throughout. A batch of documents combines its
-own equal signatures first, and the rest of a signature's rows are streamed,
-each linked with the least node only. A large cluster is taken apart by the
-signatures of other hash families. One still of more than block_bytes is cut
-into blocks, and each pair of blocks is a task of its own. Inside a task, pairs
-that are connected already aren't verified.
+groups and a set becomes the point of its counts for each group. The sum of the
+smaller coordinates of two points bounds the overlap of their sets; pairs whose
+bound suffices are verified on the sets themselves.
+
+One tree over all points fits nowhere, so it is cut at its top. There the
+groups are fine: practically one shingle each. With the coordinates in one
+order for all points, two points without a common coordinate among the first
+few of each (as many as a linked set may lack, and one more) have too small a
+sum of minima. So the top has one subtree for each coordinate, and a point is
+in the subtrees of its first few. The order puts frequent shingles last, by a
+histogram of fixed size over all documents; a passage of very many documents
+thus opens subtrees only for documents made of such passages.
+
+Below, a subtree's points have coarse counts. In small subtrees all bounds are
+worked out at once. A large one is an R-tree, and goes round by hubs: a hub
+takes all points near enough for a link, and points up to twice as far are
+compared with those it took. 1 - sum of minima / sum of maxima is a metric, so
+no other pair can be linked. Subtrees give points that are connected by bounds
+that suffice, and those of a whole cluster meet once, with their sets: links
+are verified, and components are built from verified links only.
+
+Scale: equal sets are one point throughout, combined in each batch first. A
+cluster of more than block_bytes is cut into blocks, and each block also gets a
+few hubs of the cluster, which nearly always connect all of it. What they leave
+apart, and only that, is compared with the other blocks. Inside a task, sets
+that are connected already aren't verified. Nothing is capped.
 
 Defined results: null, empty and white-space texts have no shingles and link
 with nothing; each is its own component. A text of fewer words than a shingle
-is one shingle. Repeated rows get a row each; of repeated ids the component is
-the same id anyway. A null id never names a component unless all of it is null.
+is one shingle. Repeated rows get a row each; of repeated ids with different
+texts each is linked by its own text. Rows with a null id link like others and
+connect others, but a null id names a component only if all its ids are null.
+Extra columns don't matter. Shingles are compared by 49 bits of a hash, sets as
+a whole by 128.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import id_field, pieces
 from .components import components
-from .shared import stored
+from .shared import discard, stored
 from .words import mix, split, windows
 
-FAMILIES = 6
-RATIO = 1.25
 LEAF, FAN = 16, 8
+#: Subtrees of up to so many points need no tree of their own.
+SMALL = 64
+#: Documents of more than block_bytes of shingles get so many hubs.
+HUBS = 16
+#: A sort key holds a document's place in its piece, whether the shingle is frequent, and the shingle.
+PIECE_ROWS, VALUE_BITS = 1 << 14, 49
+#: Bits of a shingle that choose its cell in the histogram of frequencies, and the rows it is sent in.
+CELL_BITS, CELL_ROWS = 20, 64
 _BATCH = 4 << 20
 _U = np.uint64
+_VALUE = _U((1 << VALUE_BITS) - 1)
 
 
-def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document and fingerprint of all distinct shingles, sorted by both, and how many each document has."""
+def shingle_sets(texts: pa.Array, width: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document and hash of all distinct shingles, sorted by both, and how many each document has.
+
+    frequent: a flag for each cell; a document's shingles of such cells come last.
+    """
     w = split(texts, lower=True)
+    if w.n_docs > PIECE_ROWS:
+        raise ValueError(f"at most {PIECE_ROWS} texts at once")
     h = w.hashes()
     n = w.counts()
     g = windows(h, width, seed=11)
@@ -67,18 +84,26 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, n
         if len(few):
             doc.append(few)
             value.append(windows(h, k, seed=100 + k)[w.first[few]])
-    doc, value = np.concatenate(doc), np.concatenate(value)
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])] if len(doc) else np.zeros(0, bool)
-    doc, value = doc[new], value[new]
-    return doc, value, np.bincount(doc, minlength=w.n_docs)
+    value = np.concatenate(value) >> _U(64 - VALUE_BITS)
+    key = (np.concatenate(doc).astype(_U) << _U(VALUE_BITS + 1)) | value
+    if frequent is not None:
+        key |= frequent[cells(value)].astype(_U) << _U(VALUE_BITS)
+    key.sort()
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+    doc = (key >> _U(VALUE_BITS + 1)).astype(np.int64)
+    return doc, key & _VALUE, np.bincount(doc, minlength=w.n_docs)
+
+
+def cells(value: np.ndarray) -> np.ndarray:
+    return (value >> _U(VALUE_BITS - CELL_BITS)).astype(np.int64)
 
 
 def _sums(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(n, _U)
-    with np.errstate(over="ignore"):
-        np.add.at(out, doc, value)
+    if len(doc):
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        with np.errstate(over="ignore"):
+            out[doc[first]] = np.add.reduceat(value, first)
     return out
 
 
@@ -89,146 +114,55 @@ def set_names(doc: np.ndarray, value: np.ndarray, size: np.ndarray) -> tuple[np.
         return mix(_sums(doc, mix(value), n) + size.astype(_U)), mix(_sums(doc, mix(value ^ _U(0xA5A5A5A5)), n) ^ size.astype(_U))
 
 
-def _few(mean: float, least: int) -> float:
-    """The share of groups with under least shingles, at a mean of so many."""
-    return math.exp(-mean) * sum(mean**k / math.factorial(k) for k in range(least))
+def size_class(size: np.ndarray) -> np.ndarray:
+    """Sets of 2**c to 2**(c + 1) - 1 shingles are of class c."""
+    return np.frexp(np.maximum(size, 1).astype(float))[1] - 1
 
 
-@cache
-def size_classes(percent: int, most: int) -> list[tuple[int, int, int, int]]:
-    """(least size, groups, weak groups allowed, shingles without which a group is weak) of the classes up to sizes of most.
+def n_groups(kind: int) -> int:
+    """Groups of a class: 2 to 4 shingles in each, up to 512 groups."""
+    return 1 << min(9, max(4, kind - 1))
 
-    Weak groups give no signature, as one frequent shingle alone in its group
-    would bring many unlike sets together. Two shingles are asked for where
-    that takes few more groups.
-    """
-    out, low = [], 1
-    while low <= most:
-        high = max(low + 1, int(low * RATIO))
-        a = high - 1
-        differ = (100 - percent) * (a + 100 * a // percent) // (100 + percent)
-        choice = (0, 0, 1)
-        for least in (2, 1) if differ else ():
-            groups = differ + 1
-            for _ in range(20):
-                weak = groups * _few(low / groups, least)
-                spare = int(weak + 2 * math.sqrt(weak)) if differ > 8 else 0
-                groups = differ + 1 + spare
-            choice = (groups, spare, least)
-            if differ > 8 and groups <= 1.4 * (differ + 1):
-                break
-        out.append((low, *choice))
-        low = high
-    return out
-
-
-def signatures(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Document and signature; linked documents with different sets have one in common."""
-    classes = size_classes(percent, 1 << int(size.max(initial=1)).bit_length())
-    lows = np.array([c[0] for c in classes])
-    low_class = np.searchsorted(lows, -(-percent * size // 100), side="right") - 1
-    high_class = np.searchsorted(lows, size, side="right") - 1
-    docs, sigs = [], []
-    for step in range(int((high_class - low_class).max(initial=-1)) + 1):
-        kind = low_class + step
-        use = (kind <= high_class) & (size > 0)
-        _, of_class, spare, least = np.array(classes)[np.clip(kind, 0, len(classes) - 1)].T
-        groups, allowed = np.where(use, of_class, 0), spare
-        need = use & (groups > 0)
-        for family in range(FAMILIES):
-            mine = need[doc]
-            if not mine.any():
-                break
-            d, v = doc[mine], value[mine]
-            first = np.cumsum(np.where(need, groups, 0)) - np.where(need, groups, 0)
-            total = int(np.where(need, groups, 0).sum())
-            with np.errstate(over="ignore"):
-                salted = mix(v + _U((salt * FAMILIES + family) * 7919 + 1))
-                at = first[d] + ((salted >> _U(32)) % groups[d].astype(_U)).astype(np.int64)
-                held = _sums(at, mix(v), total)
-                owner = np.repeat(np.arange(len(size)), np.where(need, groups, 0))
-                filled = np.bincount(at, minlength=total) >= least[owner]
-                inner = np.arange(total) - first[owner]
-                sig = mix(held + mix((kind[owner] * FAMILIES + family).astype(_U) * _U(1 << 32) + inner.astype(_U)))
-            docs.append(owner[filled])
-            sigs.append(sig[filled])
-            weak = np.bincount(owner[~filled], minlength=len(size))
-            need = need & (weak > allowed)
-        # Families are used up: these meet all others of their class.
-        rest = np.flatnonzero(need)
-        docs.append(rest)
-        sigs.append(mix(kind[rest].astype(_U) + _U(1 << 60)))
-    return (np.concatenate(docs), np.concatenate(sigs)) if docs else (np.zeros(0, np.int64), np.zeros(0, _U))
-
-
-_SIGNED = "sig bigint, node bigint, hub bigint"
-
-
-def _signed(width: int, percent: int):
-    """Signatures of each batch; all but the least node of one are linked with it at once, in hub."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, most=_BATCH):
-                doc, value, size = shingle_sets(piece.column("text"), width)
-                node, _ = set_names(doc, value, size)
-                _, first = np.unique(node, return_index=True)
-                keep = np.zeros(len(size), bool)
-                keep[first] = True
-                size = np.where(keep, size, 0)
-                mine = keep[doc]
-                d, sig = signatures(doc[mine], value[mine], size, percent)
-                n = node[d].view(np.int64)
-                order = np.lexsort((n, sig))
-                n, sig = n[order], sig[order]
-                head = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.zeros(0, bool)
-                hub = n[np.maximum.accumulate(np.where(head, np.arange(len(n)), 0))] if len(n) else n
-                link = ~head & (hub != n)
-                pairs = np.unique(np.stack([hub[link], n[link]], axis=1), axis=0) if link.any() else np.zeros((0, 2), np.int64)
-                blank = np.r_[np.ones(int(head.sum()), bool), np.zeros(len(pairs), bool)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[sig[head].view(np.int64), mix(pairs[:, 1].view(_U)).view(np.int64)]), pa.array(np.r_[n[head], pairs[:, 1]]), pa.array(np.r_[np.zeros(int(head.sum()), np.int64), pairs[:, 0]], mask=blank)],
-                    names=["sig", "node", "hub"],
-                )
-
-    return run
+def points(doc: np.ndarray, value: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Each set's counts for the groups of its class, in as few bits as they need: two in a byte, or one in 1, 2 or 4 bytes."""
+    dims = 1 << np.clip(size_class(size) - 1, 4, 9)
+    end = np.cumsum(dims)
+    start = end - dims
+    count = np.bincount(start[doc] + (value & (dims[doc] - 1).astype(_U)).astype(np.int64), minlength=int(end[-1]) if len(end) else 0)
+    top = np.maximum.reduceat(count, start) if len(start) else start
+    half = (count[0::2] | (count[1::2] << 4)).astype(np.uint8)
+    byte = count.astype(np.uint8)
+    out = []
+    for a, b, most in zip(start.tolist(), end.tolist(), top.tolist(), strict=True):
+        if most < 16:
+            out.append(half[a // 2 : b // 2].tobytes())
+        else:
+            out.append((byte[a:b] if most < 1 << 8 else count[a:b].astype("<u2" if most < 1 << 16 else "<u4")).tobytes())
+    return out
 
 
-def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by signature and node: each node with the least one that has its signature."""
-    sig_before = hub_before = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        made = pc.is_valid(batch.column("hub")).to_numpy(zero_copy_only=False)
-        a, b = pc.fill_null(batch.column("hub"), 0).to_numpy()[made], batch.column("node").to_numpy()[made]
-        sig, node = batch.column("sig").to_numpy()[~made], batch.column("node").to_numpy()[~made]
-        if len(sig):
-            head = np.r_[sig[0] != sig_before, sig[1:] != sig[:-1]]
-            place = np.maximum.accumulate(np.where(head, np.arange(len(sig)), -1))
-            hub = np.where(place >= 0, node[np.maximum(place, 0)], hub_before if hub_before is not None else 0)
-            sig_before, hub_before = sig[-1], hub[-1]
-            link = hub != node
-            a, b = np.r_[a, hub[link]], np.r_[b, node[link]]
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-
-def _signed_again(width: int, percent: int, salt: int):
-    """Signatures of other hash families for packed texts of clusters; they only bring documents of one cluster together."""
+def unpacked(packed: list[bytes], own: np.ndarray, kind: int) -> np.ndarray:
+    """Counts of points for the groups of a class that is theirs or the next smaller one. own: their classes."""
+    dims = n_groups(kind)
+    out = np.zeros((len(packed), dims), np.int32)
+    groups = np.array([n_groups(k) for k in own.tolist()])
+    sizes = np.array(list(map(len, packed)))
+    for d, n in {*zip(groups.tolist(), sizes.tolist(), strict=True)}:
+        at = np.flatnonzero((groups == d) & (sizes == n))
+        raw = np.frombuffer(b"".join([packed[i] for i in at]), np.uint8 if n <= d else f"<u{n // d}").reshape(len(at), -1)
+        if 2 * n == d:
+            raw = np.stack([raw & 15, raw >> 4], axis=2).reshape(len(at), d)
+        raw = raw.astype(np.int32)
+        out[at] = raw if d == dims else raw.reshape(len(at), 2, dims).sum(axis=1)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", 1)
-        for batch in batches:
-            for piece in pieces(batch, "z", _BATCH // 4):
-                texts = [codec.decompress(z, n, asbytes=True) for z, n in zip(piece.column("z").to_pylist(), piece.column("size").to_pylist(), strict=True)]
-                doc, value, size = shingle_sets(pa.array(texts, pa.large_binary()), width)
-                d, sig = signatures(doc, value, size, percent, salt)
-                label = piece.column("label").to_numpy().view(_U)
-                node, _ = set_names(doc, value, size)
-                yield pa.RecordBatch.from_arrays([pa.array(mix(sig ^ mix(label[d])).view(np.int64)), pa.array(node[d].view(np.int64)), pa.nulls(len(d), pa.int64())], names=["sig", "node", "hub"])
 
-    return run
+def first_coordinates(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Places of the shingles in whose subtrees a set is, of values sorted in the common order."""
+    first = np.cumsum(size) - size
+    place = np.arange(len(doc)) - first[doc]
+    return np.flatnonzero(place <= (size - -(-percent * size // 100))[doc])
 
 
 class Tree:
@@ -247,8 +181,9 @@ class Tree:
             fan = FAN
 
     def near(self, vector: np.ndarray, size: int, percent: int, above: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Members, as given, whose bound on the overlap with a set suffices for a link, and the bounds. above: only those after this place in order."""
-        least, most = -(-percent * size // 100), 100 * size // percent
+        """Places in order of members whose bound on the overlap with a set suffices for a link, and the bounds. above: only those after this place."""
+        percent = max(percent, 0)
+        least, most = -(-percent * size // 100), 100 * size // percent if percent else np.iinfo(np.int64).max
         at = np.arange(len(self.levels[-1][0])) if self.levels else None
         for k in range(len(self.levels) - 1, -1, -1):
             high, low, top, fan = self.levels[k]
@@ -265,6 +200,45 @@ class Tree:
         return at[ok], bound[ok]
 
 
+def _joined(comp: np.ndarray, places: np.ndarray) -> None:
+    """Make one of the components that places are in."""
+    kinds = np.unique(comp[places])
+    if len(kinds) > 1:
+        comp[np.isin(comp, kinds[1:])] = kinds[0]
+
+
+def connected(vectors: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Component of each point, over pairs whose bound suffices for a link."""
+    tree, loose = Tree(vectors, sizes), 2 * percent - 100
+    comp, done = np.arange(len(sizes)), np.zeros(len(sizes), bool)
+    for hub in range(len(sizes)):
+        if done[hub]:
+            continue
+        at, bound = tree.near(tree.vectors[hub], int(tree.sizes[hub]), loose)
+        tight = (100 + percent) * bound >= percent * (tree.sizes[hub] + tree.sizes[at])
+        ball = at[tight]
+        done[ball] = True
+        _joined(comp, ball)
+        # Points up to twice as far can be linked with what the hub took.
+        shell = at[~tight]
+        shell = shell[~done[shell] & (comp[shell] != comp[hub])]
+        for a in range(0, len(ball), 64):
+            if not len(shell):
+                break
+            part, found = ball[a : a + 64], []
+            for b in range(0, len(shell), 256):
+                some = shell[b : b + 256]
+                bound = np.minimum(tree.vectors[some, None], tree.vectors[None, part]).sum(axis=2)
+                found.append(((100 + percent) * bound >= percent * (tree.sizes[some, None] + tree.sizes[part])).any(axis=1))
+            found = np.concatenate(found)
+            if found.any():
+                _joined(comp, np.r_[hub, shell[found]])
+                shell = shell[comp[shell] != comp[hub]]
+    out = np.empty_like(comp)
+    out[tree.order] = comp
+    return out
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -273,150 +247,312 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect all that is linked. side: only links between sets of different sides are needed."""
-    parent = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+def links(sets: list[np.ndarray], percent: int, comp: list | None = None, guest: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Verified links that connect all that is linked. comp: what is connected already; guest: only links of guests with others are needed."""
+    sizes = np.array([len(s) for s in sets])
+    label = np.unique(comp, return_inverse=True)[1] if comp is not None else np.arange(len(sets))
     out: list[tuple[int, int]] = []
 
-    def verify(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b and (100 + percent) * overlap(sets[i], sets[j]) >= percent * (len(sets[i]) + len(sets[j])):
-            parent[b] = a
-            out.append((i, j))
+    def verified(i: int, j: int) -> bool:
+        if (100 + percent) * overlap(sets[i], sets[j]) < percent * (len(sets[i]) + len(sets[j])):
+            return False
+        out.append((i, j))
+        return True
 
     if len(sets) == 2:
-        verify(0, 1)
+        if label[0] != label[1]:
+            verified(0, 1)
         return out
-    sizes = np.array([len(s) for s in sets])
-    dims = int(min(256, max(16, 2 ** math.ceil(math.log2(max(1, np.median(sizes) / 4))))))
+    dims = 1 << int(np.clip(np.ceil(np.log2(max(1, np.median(sizes) / 4))), 4, 8))
     owner = np.repeat(np.arange(len(sets)), sizes)
-    group = ((np.concatenate(sets) >> _U(20)) % _U(dims)).astype(np.int64) if len(owner) else owner
+    group = (np.concatenate(sets) & _U(dims - 1)).astype(np.int64) if len(owner) else owner
     vectors = np.bincount(owner * dims + group, minlength=len(sets) * dims).reshape(len(sets), dims).astype(np.int32)
     tree = Tree(vectors, sizes)
+    label = label[tree.order]
+    if guest is not None:
+        guest = guest[tree.order]
     for place, i in enumerate(tree.order):
         at, bound = tree.near(tree.vectors[place], int(tree.sizes[place]), percent, place)
-        for j in tree.order[at[np.argsort(-bound, kind="stable")]]:
-            if side is None or side[i] != side[j]:
-                verify(int(i), int(j))
+        at = at[np.argsort(-bound, kind="stable")]
+        if guest is not None:
+            at = at[guest[at] != guest[place]]
+        at = at[label[at] != label[place]]
+        while len(at):
+            other, at = at[0], at[1:]
+            if verified(int(i), int(tree.order[other])):
+                _joined(label, np.array([place, other]))
+                at = at[label[at] != label[place]]
     return out
 
 
-def _linked(width: int, percent: int):
-    """Over rows sorted by cluster and blocks: links between the sets of each."""
-
-    def of(group: list[tuple]) -> Iterator[tuple[str, str]]:
-        codec = pa.Codec("zstd", 1)
-        _, i, j = group[0][0]
-        texts = [codec.decompress(z, size, asbytes=True) for _, _, _, size, z in group]
-        doc, value, size = shingle_sets(pa.array(texts, pa.large_binary()), width)
-        names = [f"{a:016x}{b:016x}" for a, b in zip(*set_names(doc, value, size), strict=True)]
-        first = np.searchsorted(doc, np.arange(len(size) + 1))
-        # A repeated id can bring other texts than the one chosen for its set.
-        chosen = {n: k for k, (n, row) in enumerate(zip(names, group, strict=True)) if n == row[1]}
-        picks = list(chosen.values())
-        if len(picks) > 1:
-            side = np.array([group[k][2] for k in picks]) if i != j else None
-            for a, b in links([value[first[k] : first[k + 1]] for k in picks], percent, side):
-                yield names[picks[a]], names[picks[b]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def grouped() -> Iterator[list[tuple]]:
-            held: list[tuple] = []
-            for batch in batches:
-                for c, i, j, *row in zip(*(batch.column(x).to_pylist() for x in ("label", "i", "j", "name", "block", "size", "z")), strict=True):
-                    if held and held[0][0] != (c, i, j):
-                        yield held
-                        held = []
-                    held.append(((c, i, j), *row))
-            if held:
-                yield held
-
-        out: list[tuple[str, str]] = []
-        for group in grouped():
-            out += of(group)
-            if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out, strict=True)], names=["a", "b"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out, strict=True)], names=["a", "b"])
+_SET = [T.StructField(k, t()) for k, t in (("key", T.LongType), ("name", T.StringType), ("node", T.LongType), ("n", T.LongType), ("point", T.BinaryType), ("cell", T.IntegerType), ("counts", T.BinaryType))]
 
-    return run
 
+def _sets(width: int, schema: T.StructType):
+    """Names, sizes and points of all documents' sets; after them, once in each task, how many shingles fell in each cell."""
 
-def _named(width: int, schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         to = to_arrow_schema(schema)
+        counts = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            for piece in pieces(batch, most=_BATCH):
+            for piece in pieces(batch, most=_BATCH, rows=PIECE_ROWS):
                 doc, value, size = shingle_sets(piece.column("text"), width)
                 a, b = set_names(doc, value, size)
-                names = [f"{x:016x}{y:016x}" if n else None for x, y, n in zip(a, b, size, strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(to.field(0).type), pa.array(size, pa.int64()), pa.array(a.view(np.int64)), pa.array(names, pa.string())], schema=to)
+                counts += np.bincount(cells(value), minlength=len(counts))
+                names = [f"{x:016x}{y:016x}" if n else None for x, y, n in zip(a.tolist(), b.tolist(), size.tolist(), strict=True)]
+                rows = len(size)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(to.field(0).type), piece.column("key"), pa.array(names, pa.string()), pa.array(a.view(np.int64)), pa.array(size, pa.int64()), pa.array(points(doc, value, size), pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=to)
+        codec = pa.Codec("zstd", 1)
+        parts = [codec.compress(x.tobytes(), asbytes=True) for x in counts.reshape(CELL_ROWS, -1)]
+        none = [pa.nulls(CELL_ROWS, to.field(i).type) for i in range(6)]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(range(CELL_ROWS), pa.int32()), pa.array(parts, pa.binary())], schema=to)
 
     return run
 
 
-def _packed(schema: T.StructType):
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the tasks' histograms, for each part of the cells."""
+    codec, per = pa.Codec("zstd", 1), (1 << CELL_BITS) // CELL_ROWS
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for cell, z in zip(batch.column("cell").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            sums[cell] = sums.get(cell, 0) + np.frombuffer(codec.decompress(z, 8 * per, asbytes=True), np.int64)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["cell", "counts"])
+
+
+def frequent_cells(rows: DataFrame, parts: int) -> np.ndarray:
+    """Flags of the cells with clearly more shingles than chance gives: a megabyte, whatever the input."""
+    sums = rows.repartition(min(parts, CELL_ROWS), "cell").mapInArrow(_summed, "cell int, counts binary").collect()
+    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(sums, key=lambda r: r["cell"])]) if sums else np.zeros(1 << CELL_BITS, np.int64)
+    mean = counts.mean()
+    return counts > mean + 6 * np.sqrt(mean) + 16
+
+
+def _coordinates(width: int, percent: int, frequent):
+    """For each set of a batch, its first coordinates: shingle, class and whether the next smaller class can have links with it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
+        flags = np.unpackbits(np.frombuffer(frequent.value, np.uint8)).astype(bool)
+        for batch in batches:
+            for piece in pieces(batch, most=_BATCH, rows=PIECE_ROWS):
+                doc, value, size = shingle_sets(piece.column("text"), width, flags)
+                node, _ = set_names(doc, value, size)
+                _, first = np.unique(node, return_index=True)
+                mine = np.zeros(len(size), bool)
+                mine[first] = True
+                at = first_coordinates(doc, value, size, percent)
+                at = at[mine[doc[at]]]
+                kind = size_class(size)
+                below = -(-percent * size // 100) < (1 << kind)
+                code = (kind << 1 | below).astype(_U)
+                yield pa.RecordBatch.from_arrays([pa.array(((value[at] << _U(6)) | code[doc[at]]).view(np.int64)), pa.array(node[doc[at]].view(np.int64))], names=["t", "node"])
+
+    return run
 
-        to, codec = to_arrow_schema(schema), pa.Codec("zstd", 1)
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], key) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, in batches that cut no run of equal keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = key(batch)
+        if last is not None and k[-1] == last:
+            held.append(batch)
+            continue
+        cut = int(np.flatnonzero(k[1:] != k[:-1])[-1]) + 1 if k[0] != k[-1] else 0
+        held.append(batch.slice(0, cut))
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield from whole
+        held, last = [batch.slice(cut)], k[-1]
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by t and node: the subtrees with more than one point, split by classes."""
+    for batch in _whole_runs(batches, lambda b: b.column("t").to_numpy() >> 6):
+        t, node = batch.column("t").to_numpy(), batch.column("node").to_numpy()
+        new = np.r_[True, (t[1:] != t[:-1]) | (node[1:] != node[:-1])]
+        t, node = t[new], node[new]
+        tree = ((t >> 6) << 5) | ((t >> 1) & 31)
+        both = (t & 1) > 0
+        tree, node = np.r_[tree, tree[both] - 1], np.r_[node, node[both]]
+        order = np.lexsort((node, tree))
+        tree, node = tree[order], node[order]
+        same = tree[1:] == tree[:-1]
+        keep = np.r_[same, False] | np.r_[False, same] if len(tree) else np.zeros(0, bool)
+        yield pa.RecordBatch.from_arrays([pa.array(tree[keep]), pa.array(node[keep])], names=["tree", "node"])
+
+
+def _candidates(percent: int):
+    """Over rows sorted by subtree: each point with the first of its component there."""
+
+    def small(run: np.ndarray, vectors: np.ndarray, n: np.ndarray) -> np.ndarray:
+        label = np.arange(len(run))
+        a, b = [], []
+        for step in range(1, SMALL):
+            at = np.flatnonzero(run[step:] == run[:-step])
+            if not len(at):
+                break
+            for x in range(0, len(at), 4096):
+                i = at[x : x + 4096]
+                bound = np.minimum(vectors[i], vectors[i + step]).sum(axis=1)
+                i = i[(100 + percent) * bound >= percent * (n[i] + n[i + step])]
+                a.append(i)
+                b.append(i + step)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        while True:
+            least = np.minimum(label[a], label[b])
+            before = label.copy()
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+            label = label[label]
+            if (label == before).all():
+                return label
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_runs(batches, lambda b: b.column("tree").to_numpy()):
+            tree, node, n = (batch.column(x).to_numpy() for x in ("tree", "node", "n"))
+            packed = batch.column("point").to_pylist()
+            kind = tree & 31
+            hubs, nodes = [], []
+            for k in np.unique(kind).tolist():
+                at = np.flatnonzero(kind == k)
+                cut = np.flatnonzero(np.r_[True, tree[at][1:] != tree[at][:-1], True])
+                size = np.diff(cut)
+                few = np.repeat(size <= SMALL, size)
+                groups = [at[few], *(at[cut[i] : cut[i + 1]] for i in np.flatnonzero(size > SMALL))]
+                for g in groups:
+                    if len(g) < 2:
+                        continue
+                    vectors = unpacked([packed[i] for i in g], size_class(n[g]), k)
+                    if g is groups[0]:
+                        label = small(tree[g], vectors, n[g])
+                    else:
+                        comp = connected(vectors, n[g], percent)
+                        _, first, back = np.unique(comp, return_index=True, return_inverse=True)
+                        label = first[back]
+                    moved = np.flatnonzero(label != np.arange(len(label)))
+                    hubs.append(node[g][label[moved]])
+                    nodes.append(node[g][moved])
+            if hubs:
+                pairs = np.unique(np.stack([np.concatenate(hubs), np.concatenate(nodes)], axis=1), axis=0)
+                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _linked(width: int, percent: int):
+    """Over rows sorted by block: verified links between the sets of each."""
+    columns = ("name", "size", "z", "comp", "guest")
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[tuple]]]:
+        """Lists of whole groups, of about a piece's bytes together."""
+        now, out, held = None, [], 0
         for batch in batches:
-            for piece in pieces(batch):
-                texts = [(x or "").encode("utf-8", "surrogatepass") for x in piece.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(to.field(0).type), pa.array(map(len, texts), pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in texts], to.field(2).type)], schema=to)
+            for key, *row in zip(zip(*(batch.column(x).to_pylist() for x in ("label", "i", "j")), strict=True), *(batch.column(x).to_pylist() for x in columns), strict=True):
+                if key != now and (held > _BATCH // 4 or len(out) > 2000):
+                    yield out
+                    out, held = [], 0
+                if key != now:
+                    out.append([])
+                now = key
+                out[-1].append(row)
+                held += row[1]
+        if out:
+            yield out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for groups in grouped(batches):
+            rows = [r for g in groups for r in g]
+            values, names = [], []
+            for a in range(0, len(rows), 2048):
+                texts = [codec.decompress(z, size, asbytes=True) for _, size, z, *_ in rows[a : a + 2048]]
+                doc, value, size = shingle_sets(pa.array(texts, pa.large_binary()), width)
+                cut = np.r_[0, np.cumsum(size)]
+                values += [value[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                names += [f"{x:016x}{y:016x}" for x, y in zip(*(z.tolist() for z in set_names(doc, value, size)), strict=True)]
+            found, at = [], 0
+            for g in groups:
+                # A key's hash can bring another text than the one chosen for its set.
+                chosen = {names[at + k]: at + k for k, row in enumerate(g) if names[at + k] == row[0]}
+                picks = list(chosen.values())
+                at += len(g)
+                if len(picks) > 1:
+                    comp = [rows[k][3] for k in picks] if g[0][3] is not None else None
+                    guest = np.array([rows[k][4] for k in picks]) if comp is not None else None
+                    found += [(names[picks[a]], names[picks[b]]) for a, b in links([values[k] for k in picks], percent, comp, guest)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block_bytes: int = 16 << 20, rounds: int = 4) -> DataFrame:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd", 1)
+    for batch in batches:
+        for piece in pieces(batch):
+            # Equal rows have one key; a text is needed once.
+            piece = piece.take(pa.array(np.unique(piece.column("key").to_numpy(), return_index=True)[1]))
+            texts = [(x or "").encode("utf-8", "surrogatepass") for x in piece.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([piece.column("key"), pa.array(map(len, texts), pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in texts], pa.binary())], names=["key", "size", "z"])
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id. Sets link when 100 * intersection >= percent * union."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    head, long = id_field(d, "doc_id"), T.LongType()
-    schema = T.StructType([head, T.StructField("n_shingles", long), T.StructField("node", long), T.StructField("name", T.StringType())])
-    named = stored(d.mapInArrow(_named(width, schema), schema), "named")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = d.mapInArrow(_signed(width, percent), _SIGNED).repartition(parts, "sig").sortWithinPartitions("sig", "node")
-    clusters = components(signed.mapInArrow(_hubs, "a bigint, b bigint"))
-
-    # One document of each set that is in a cluster, with its text.
-    chosen = named.where("name IS NOT NULL AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("node"), F.first("n_shingles").alias("n"))
-    members = chosen.join(clusters.withColumnRenamed("v", "node"), "node")
-    pack = T.StructType([head, T.StructField("size", long), T.StructField("z", T.BinaryType())])
-    texts = stored(d.mapInArrow(_packed(pack), pack).join(members, "doc_id").select("name", "node", "n", "label", "size", "z"), "texts")
-
-    # A large cluster is often made of small ones that few common shingles tie together.
-    # Linked sets have a signature in common in every family, so others take it apart.
-    labels = texts.select("name", "node", "n", "label")
-    large = lambda x: x.groupBy("label").agg((F.sum(F.col("n") * 24) > block_bytes // 8).alias("large"))
-    for salt in range(1, rounds + 1):
-        sizes = large(labels)
-        again = stored(texts.drop("label").join(labels.select("name", "label"), "name").join(sizes.where("large"), "label").select("label", "node", "size", "z"), "large")
-        if again.isEmpty():
-            break
-        parted = again.mapInArrow(_signed_again(width, percent, salt), _SIGNED).repartition(parts, "sig").sortWithinPartitions("sig", "node")
-        parted = components(parted.mapInArrow(_hubs, "a bigint, b bigint")).select(F.col("v").alias("node"), F.col("label").alias("next"))
-        both = labels.join(sizes, "label").join(parted, "node", "left").where("NOT large OR next IS NOT NULL")
-        # What comes from a large cluster gets a label of both, as nodes of others could have the same.
-        labels = stored(both.select("name", "node", "n", F.when(F.col("large"), F.xxhash64("label", "next")).otherwise(F.col("label")).alias("label")), "labels")
-
-    # Clusters of many bytes are cut into blocks.
-    sizes = labels.groupBy("label").agg(F.ceil(F.sum(F.col("n") * 24) / block_bytes).cast("int").alias("blocks"), F.count("*").alias("all")).where("all > 1")
-    members = labels.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    members = members.select("label", "name", "block", other.alias("o")).select("label", "name", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    blocks = texts.select("name", "size", "z").join(members, "name").repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j", "name")
-    found = components(blocks.mapInArrow(_linked(width, percent), "a string, b string"))
-
-    labelled = named.join(found.withColumnRenamed("v", "name"), "name", "left").select("doc_id", "n_shingles", F.coalesce("label", "name").alias("label"))
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    schema = T.StructType([id_field(d, "doc_id"), *_SET])
+    named = stored(d.mapInArrow(_sets(width, schema), schema), "named")
+    flags = frequent_cells(named.where("cell IS NOT NULL").select("cell", "counts"), parts)
+    frequent = spark.sparkContext.broadcast(np.packbits(flags).tobytes())
+    named = named.where("cell IS NULL").select("doc_id", "key", "name", "node", "n", "point")
+    sets = stored(named.where("name IS NOT NULL").groupBy("name").agg(F.min("key").alias("key"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("point").alias("point")), "sets")
+
+    # The top of the tree: subtrees with more than one point, and what is connected by bounds in each.
+    top = d.select("text").mapInArrow(_coordinates(width, percent, frequent), "t bigint, node bigint").repartition(parts, F.shiftright("t", 6)).sortWithinPartitions("t", "node")
+    placed = top.mapInArrow(_subtrees, "tree bigint, node bigint").join(sets.select("node", "n", "point"), "node")
+    placed = placed.select("tree", "node", "n", "point").repartition(parts, "tree").sortWithinPartitions("tree", "node")
+    clusters = components(placed.mapInArrow(_candidates(percent), "a bigint, b bigint"))
+
+    # The sets of a cluster meet, those of a large one in blocks with some hubs in each.
+    members = sets.join(clusters.withColumnRenamed("v", "node"), "node").select("name", "key", "n", "label")
+    texts = d.mapInArrow(_packed, "key bigint, size bigint, z binary").join(members, "key").select("name", "n", "label", "size", "z")
+    texts = stored(texts, "texts")
+    discard(clusters)
+    sizes = texts.groupBy("label").agg(F.ceil(F.sum(F.col("n") * 24) / block_bytes).cast("int").alias("blocks"))
+    mixed = lambda k: F.xxhash64("name", F.lit(k))
+    hubs = texts.groupBy("label").agg(F.sum("n").alias("s"), F.array(*[F.min(F.struct(mixed(k).alias("h"), "name"))["name"] for k in range(HUBS)]).alias("hubs"))
+    hubs = hubs.select("label", F.ceil(F.col("s") * 24 / block_bytes).cast("int").alias("blocks"), F.explode(F.array_distinct("hubs")).alias("name")).where("blocks > 1")
+    hubs = hubs.join(texts.drop("label"), "name").select("label", "name", "size", "z", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    blocks = texts.join(sizes, "label").select("label", "name", "size", "z", F.pmod(mixed(-1), F.col("blocks")).cast("int").alias("i")).unionByName(hubs)
+    blocks = blocks.select("label", "i", F.lit(0).alias("j"), "name", "size", "z", F.lit(None).cast("string").alias("comp"), F.lit(False).alias("guest"))
+    gather = lambda x: x.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(_linked(width, percent), "a string, b string")
+    edges = stored(gather(blocks), "links")
+    found = components(edges)
+
+    # What is still apart in a cut cluster: all but its largest component visits the other blocks.
+    cut = texts.join(sizes.where("blocks > 1"), "label").join(found.select(F.col("v").alias("name"), F.col("label").alias("comp")), "name", "left")
+    cut = cut.select("label", "name", "size", "z", "blocks", F.coalesce("comp", "name").alias("comp"), F.pmod(mixed(-1), F.col("blocks")).cast("int").alias("i"))
+    main = cut.groupBy("label", "comp").count().groupBy("label").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count("*").alias("apart")).where("apart > 1")
+    cut = stored(cut.join(main, "label"), "cut")
+    if not cut.isEmpty():
+        guests = cut.where("comp <> main")
+        rooms = guests.groupBy("label").agg(F.ceil(F.sum("size") * 4 / block_bytes).cast("int").alias("rooms"))
+        cut = cut.join(rooms, "label")
+        hosts = cut.select("label", "i", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("j"), "name", "size", "z", "comp", F.lit(False).alias("guest"))
+        guests = cut.where("comp <> main").select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(mixed(-2), F.col("rooms")).cast("int").alias("j"), "name", "size", "z", "comp", F.lit(True).alias("guest"))
+        discard(found)
+        found = components(edges.unionByName(gather(hosts.unionByName(guests))))
+
+    labelled = named.join(found.withColumnRenamed("v", "name"), "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "name").alias("label"))
     least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
