@@ -10,7 +10,8 @@ placeholder's name in it suppresses only itself: the parts beside it are judged.
 Defined results: a null or empty text has no spans. Spans are code points, end
 exclusive. An entropy span is left out if no window that reaches the entropy
 extends beyond earlier spans; otherwise it stays whole, so spans may overlap.
-Repeated rows are scanned alike.
+Repeated rows, and rows with a null or repeated id, are scanned each by itself.
+Time is in proportion to a text's length, whatever is in it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,6 +66,7 @@ def wordlike(s: str) -> bool:
             return False
     return True
 
+
 _CLOG = [0.0, *(c * math.log2(c) for c in range(1, 257))]
 
 
@@ -108,28 +111,41 @@ def _parts(s: str, allow: tuple[re.Pattern, ...]) -> Iterator[tuple[int, str]]:
         at = after
 
 
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def entropy_spans(text: str, allow: tuple[re.Pattern, ...] = ALLOW, taken: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
     """Candidates with a window that reaches the entropy and isn't within the spans taken or the candidates found before."""
-    found, taken = [], sorted(taken or [])
+    found, taken = [], _merged(taken or [])
     for kind, run, window, least in CLASSES:
+        ends = [b for _, b in taken]
         for m in run.finditer(text):
             a = m.start()
-            if any(_beyond(part, a + at, window, least, taken) for at, part in _parts(m[0], allow)):
+            if any(_beyond(part, a + at, window, least, taken, ends) for at, part in _parts(m[0], allow)):
                 found.append((a, KINDS.index(kind), m.end()))
-        taken = sorted([*taken, *((a, b) for a, _, b in found)])
+        taken = _merged([*taken, *((a, b) for a, _, b in found)])
     return found
 
 
-def _beyond(part: str, start: int, window: int, least: float, taken: list[tuple[int, int]]) -> bool:
-    """Whether a window of the part at start reaches the entropy and extends beyond the spans taken."""
+def _beyond(part: str, start: int, window: int, least: float, taken: list[tuple[int, int]], ends: list[int]) -> bool:
+    """Whether a window of the part at start reaches the entropy and extends beyond the spans taken, which are apart; ends: theirs."""
     if peak_entropy(part, window) < least:
         return False
     end, free, at = start + len(part), [], start
-    for x, y in taken:
-        if x < end and start < y:
-            if at < x:
-                free.append((at, x))
-            at = max(at, y)
+    for k in range(bisect_right(ends, start), len(taken)):
+        x, y = taken[k]
+        if x >= end:
+            break
+        if at < x:
+            free.append((at, x))
+        at = max(at, y)
     if at < end:
         free.append((at, end))
     # All windows that touch a free stretch lie within window - 1 characters of it.
