@@ -5,8 +5,6 @@ import math
 import re
 from collections import Counter, defaultdict
 
-from tidewrack.llm import quality_rules as Q
-
 GAP = r"[^\x20\x09-\x0D]+"
 
 
@@ -119,17 +117,42 @@ def _distance(p, q):
     return math.sqrt(max(0, sum(half(a, b) + half(b, a) for a, b in zip(p, q, strict=True)) / 2))
 
 
-def quality(rows, min_words=40, most=(0.31, 0.28)):
-    """rows: id, text, lang, every lang a known one."""
+def quality(rows, min_words=40, most=(0.31, 0.28), common=12):
+    """rows: id, text, lang."""
+    counts = defaultdict(Counter)
+    for _, t, lang in rows:
+        counts[lang].update(words(t))
+    leads = {lang: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:common]] for lang, c in counts.items() if lang is not None and c}
     sums = {}
     for _, t, lang in rows:
-        a, b = sums.setdefault(lang, ([0] * 13, [0] * 6))
-        sums[lang] = [x + y for x, y in zip(a, _lead(words(t), Q.KNOWN_WORDS[lang]), strict=True)], [x + y for x, y in zip(b, _classes(t), strict=True)]
+        if lang in leads:
+            a, b = sums.setdefault(lang, ([0] * (len(leads[lang]) + 1), [0] * 6))
+            sums[lang] = [x + y for x, y in zip(a, _lead(words(t), leads[lang]), strict=True)], [x + y for x, y in zip(b, _classes(t), strict=True)]
     out = {}
     for d, t, lang in rows:
         b, far = base(t), False
-        if b[0] >= min_words:
-            got = _lead(words(t), Q.KNOWN_WORDS[lang]), _classes(t)
-            far = any(_distance(_share(x), _share(y)) > m for x, y, m in zip(got, sums[lang], most, strict=True))
+        if b[0] >= min_words and sums:
+            each = []
+            for k in [lang] if lang in leads else leads:
+                got = _lead(words(t), leads[k]), _classes(t)
+                each.append([_distance(_share(x), _share(y)) for x, y in zip(got, sums[k], strict=True)])
+            far = any(x > m for x, m in zip(min(each), most, strict=True))
         out[d] = (*b, not b[5] and not far)
     return out
+
+
+def base_secrets(t):
+    """Counts of the three kinds of base matches, and the digest of their spans."""
+    t, found = t or "", []
+    for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+        if len(m[1]) >= 6:
+            found.append((m.start(), 0, "assign", m.end()))
+    for m in re.finditer("AKIA[A-Z0-9]+", t):
+        if len(m[0]) >= 20:
+            found.append((m.start(), 1, "access", m.end()))
+    for m in re.finditer("[0-9a-f]+", t):
+        if len(m[0]) >= 24:
+            found.append((m.start(), 2, "hex", m.end()))
+    found.sort()
+    n = Counter(k for _, _, k, _ in found)
+    return n["assign"], n["access"], n["hex"], sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in found))

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -174,7 +175,7 @@ def test_language_id(spark, docs, empty):
     assert {x[0] for x in table(language_id.predict(docs, F.lit(False))).values()} == {"und"}
 
 
-def test_secrets(docs, empty):
+def test_secrets(docs, empty, odd):
     text = 'é password = "hunter2hunter2" token:abc TOKEN:Abcdef AKIA' + "A1" * 9 + " " + "0f" * 12 + " key kJ8s7Gq2LmN5xPz9RtVw3YbC and thisisaverylongplainword 123e4567-e89b-12d3-a456-426614174000"
     base, every = secrets.all_spans(text)
     kinds = Counter(secrets.KINDS[k] for _, k, _ in base)
@@ -185,7 +186,14 @@ def test_secrets(docs, empty):
     exact = lambda s, n: max(-sum(c / n * math.log2(c / n) for c in Counter(s[i : i + n]).values()) for i in range(len(s) - n + 1))
     for s in ("aabbccddeeff00112233" * 3, "kJ8s7Gq2LmN5xPz9RtVw3YbC"):
         assert abs(secrets.peak_entropy(s, 20) - exact(s, 20)) < 1e-9
+    assert secrets.redacted("-" * 100_000 + "Heading12") == "-" * 100_000 + "Heading12"
+    many = "token=abcdef0123456789abcdef0123 kJ8s7Gq2LmN5xPz9RtVw3YbC\n" * 20_000
+    began = time.time()
+    assert len(secrets.entropy_spans(many, taken=[(a, b) for a, _, b in secrets.base_spans(many)])) == 20_000
+    assert secrets.entropy_spans("-=_+/" * 40_000 + "Abc-" * 40_000) == [] and time.time() - began < 30
     got = table(secrets.scan(docs).drop("found"))
+    assert {d: x[:4] for d, x in got.items()} == {d: brute.base_secrets(t) for d, t in corpus()}
+    assert sorted(r.n_hex for r in secrets.scan(odd).collect()) == [0] * 5 and secrets.redact(odd).count() == 5
     assert got[87] == got[85] == (0, 0, 0, hashlib.sha256(b"").hexdigest(), "")
     assert secrets.scan(empty).count() == 0 and secrets.redact(docs).columns == docs.columns
 
@@ -200,6 +208,10 @@ def test_quality_rules(spark, docs, empty, odd):
     assert quality_rules.judge(docs.withColumn("lang", F.lit(None).cast("string"))).where("class_distance IS NULL").count() == len(corpus())
     other = quality_rules.judge(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "zz").otherwise("en")))
     assert other.where("n_words >= 40 AND word_distance IS NULL").count() == 0
+    r = random.Random(8)
+    many = [(i, prose(r, 60) if i % 7 else "## " * 60, None if i % 50 == 0 else f"l{i % 300:03}") for i in range(900)]
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in quality_rules.judge(spark.createDataFrame(many, "doc_id bigint, text string, lang string")).collect()}
+    assert got == brute.quality(many)
 
 
 def test_jaccard_join(spark, docs, empty, odd):
@@ -343,6 +355,27 @@ def test_pipeline(spark, tmp_path):
     got = {x.doc_id: x.ids for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want and 200 in got and 201 not in got and 202 not in got
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).columns[:1] == ["doc_id"]
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
-        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_judges_rows_of_one_id_apart(spark, tmp_path):
+    r = random.Random(10)
+    a, b, c = (prose(r, 70) for _ in range(3))
+    bad = "## $$ " * 40
+    leak = " ".join(b.split()[:10])
+    spark.createDataFrame([("i", leak)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, a, "en", "s", len(a)), (1, bad, "en", "s", len(bad)), (1, b, "en", "s", len(b)), (None, c, "en", "s", len(c)), (None, None, None, None, None), (2, a, "en", "t", len(a)), (1, a, "en", "s", len(a))]
+    rows += [(i, prose(r, 70), "en", "s", 0) for i in range(100, 140)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    d = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    few = "doc_id IS NULL OR doc_id < 100"
+    left = sorted((x.doc_id is None, x.doc_id, x.text) for x in corpus_pipeline.quality(spark, d, "").where(few).collect())
+    assert left == sorted([(False, 1, a), (False, 1, a), (False, 2, a), (False, 1, b), (True, None, c)])
+    left = sorted((x.doc_id is None, x.text) for x in corpus_pipeline.near_duplicates(spark, d, "").where(few).collect() if x.text and x.text != bad)
+    assert left == sorted([(False, a), (False, b), (True, c)])
+    left = [x.text for x in corpus_pipeline.decontaminate(spark, d, str(tmp_path)).where(few).collect()]
+    assert sorted(map(str, left)) == sorted(map(str, [a, a, a, bad, c, None]))

@@ -3,16 +3,18 @@
 Everything runs as DataFrame functions. A document's character-class histogram
 and its histogram over the most common words of its language are compared with
 the language's own reference histograms by Jensen-Shannon distance (base 2, so
-0 to 1). The references are counted over all documents; only they, at most
-max_languages x (common_words + classes) numbers, come to the driver. Which
-words to count is found in the corpus, by a count over all documents.
+0 to 1). Which words to count is found in the corpus, by a count over all
+documents, and the references too are counted over all documents, in every
+language there is. Nothing comes to the driver: a scalar subquery brings the
+references, common_words + classes numbers a language, to the rows.
 Each text is read once for all its counts, which are written to the shared
 folder; references and verdicts come from these few numbers a document.
 
 Defined results: a null or empty text has no words, fails the base rules
 (n_words < 20) and isn't kept. A null lang, or one without a reference, is
 compared with every reference and the nearest counts. Documents of fewer than
-min_words words are not judged by divergence. Repeated rows are judged alike,
+min_words words are not judged by divergence. Of equally frequent words the
+least is common. Repeated rows, and rows with a null or repeated id, are judged
 row by row. Extra input columns don't matter.
 """
 
@@ -24,13 +26,6 @@ from pyspark.sql.window import Window
 
 from .shared import stored
 
-#: Frequent function words, for callers that give known_words instead of having them counted.
-KNOWN_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "was", "on", "with"],
-    "de": ["der", "die", "und", "das", "den", "in", "von", "zu", "mit", "ist", "nicht", "ein"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "que", "pour", "qui"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "del", "se", "las", "por", "con"],
-}
 SYMBOLS = r"[#*$%&|<>]"
 COMMON = r"[a-z\x20\u00C0-\u024F]+"
 CLASSES = ("common", "upper", "digit", "mark", "symbol", "other")
@@ -61,14 +56,16 @@ def _repeated_words(tagged: Column) -> Column:
     return F.coalesce(total, F.lit(0))
 
 
-def base_counts(docs: DataFrame, leads: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def base_counts(docs: DataFrame, leads: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: id, lang, the base counts, and counts for both histograms.
 
     _words counts the lead words of the document's language; _every, only where
-    that has none, those of each language in leads.
+    that has none, those of each language in leads, in the order of their names.
     """
+    every = leads.agg(F.array_sort(F.collect_list(F.struct("lang", "words"))).alias("every"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("_lang"), text.alias("_t"), word_array(F.col(text_col)).alias("_w"))
+    d = d.withColumn("_leads", every.scalar())
     # Fingerprints of 2 and 4 words. Only a document in which 4 words come twice can have 8 that do.
     d = d.withColumn("_2", _paired("_w", 1)).withColumn("_4", _paired("_2", 2))
     cut = lambda c, k: F.slice(c, 1, F.greatest(F.size("_w") - (k - 1), F.lit(0)))
@@ -76,12 +73,11 @@ def base_counts(docs: DataFrame, leads: dict[str, list[str]], id_col: str = "doc
     d = d.withColumn("_8", F.when(F.size(F.array_distinct("_4")) < F.size("_4"), cut(_paired("_4", 4), SPAN)))
     d = d.withColumn("_h", _tagged(F.col("_8")))
     d = d.withColumn("_rare", F.regexp_replace("_t", COMMON, "")).withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    known, own = F.coalesce(F.col("_lang").isin(*leads), F.lit(False)) if leads else F.lit(False), F.lit(None).cast("array<double>")
-    for lang, names in leads.items():
-        own = F.when(F.col("_lang") == lang, _word_counts(F.col("_w"), names)).otherwise(own)
-    every = F.array(*[_word_counts(F.col("_w"), names) for names in leads.values()]) if leads else F.array().cast("array<array<double>>")
+    d = d.withColumn("_names", F.get(F.filter("_leads", lambda x: x["lang"] == F.col("_lang")), F.lit(0))["words"])
     out = d.select(
-        "doc_id", "_lang", own.alias("_words"), F.when(~known, every).alias("_every"),
+        "doc_id", "_lang",
+        F.when(F.col("_names").isNotNull(), _word_counts(F.col("_w"), F.col("_names"))).alias("_words"),
+        F.when(F.col("_names").isNull(), F.transform("_leads", lambda x: _word_counts(F.col("_w"), x["words"]))).alias("_every"),
         _class_counts(F.length("_t"), F.col("_rare")).alias("_chars"),
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
@@ -103,33 +99,29 @@ def _class_counts(length: Column, rare: Column) -> Column:
     return F.array(*[c.cast("double") for c in every])
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common_words: int = 24, max_languages: int = 256) -> DataFrame:
-    """One row per language: the words that are most frequent in it, of any length.
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common_words: int = 12) -> DataFrame:
+    """One row per language: the words that are most frequent in it, of any length, in the order of their names.
 
     All documents are counted. Words are combined in each task before they are
-    shuffled, and so is each task's list of leaders. At most max_languages
-    languages, those with most such words, get a reference.
+    shuffled, and so is each task's list of leaders.
     """
     words = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(word_array(F.col(text_col))).alias("word"))
     counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     lead = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= common_words)
-    lead = lead.groupBy("lang").agg(F.sum("n").alias("all"), F.array_sort(F.collect_list("word")).alias("words"))
-    return lead.orderBy(F.desc("all"), "lang").limit(max_languages)
+    return lead.groupBy("lang").agg(F.array_sort(F.collect_list("word")).alias("words"))
 
 
-def _word_counts(words: Column, names: list[str]) -> Column:
+def _word_counts(words: Column, names: Column) -> Column:
     """How often each of names occurs and, last, how many words are none of them."""
-    listed = F.filter(words, lambda w: w.isin(*names))
     # Two spaces between words, so that each has its own on either side.
-    text = F.concat(F.lit(" "), F.array_join(listed, "  "), F.lit(" "))
-    count = lambda t, w: (F.length(t) - F.length(F.replace(t, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)
+    text = F.concat(F.lit(" "), F.array_join(F.filter(words, lambda w: F.array_contains(names, w)), "  "), F.lit(" "))
 
     def counts(t: Column) -> Column:
-        each = [count(t, w) for w in names]
-        return F.array(*each, F.size(words) - sum(each[1:], each[0]))
+        return F.transform(names, lambda w: (F.length(t) - F.length(F.replace(t, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2))
 
-    # The one-element array binds the text, so that it is made once for each document.
-    return F.transform(F.array(text), lambda t: counts(t))[0]
+    # The one-element arrays bind text and counts, so that each is made once for each document.
+    each = F.transform(F.array(text), counts)
+    return F.transform(each, lambda c: F.concat(c, F.array(F.size(words) - F.aggregate(c, F.lit(0.0), lambda s, x: s + x))))[0]
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -144,35 +136,31 @@ def _scaled(counts: Column) -> Column:
     return F.transform(counts, lambda x: x / whole)
 
 
-def _profiles(counts: DataFrame, leads: dict[str, list[str]]) -> dict[str, tuple[list[float], list[float]]]:
-    """For each language, shares of its common words and of the character classes, over all its documents."""
-    width = max(map(len, leads.values())) + 1
-    sums = counts.where(F.col("_words").isNotNull()).groupBy("_lang").agg(*[F.sum(F.get("_words", F.lit(i))).alias(f"w{i}") for i in range(width)], *[F.sum(F.col("_chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))])
-    share = lambda xs: [x / (sum(xs) or 1.0) for x in xs]
-    return {r["_lang"]: (share([r[f"w{i}"] for i in range(len(leads[r["_lang"]]) + 1)]), share([r[f"c{i}"] for i in range(len(CLASSES))])) for r in sums.collect()}
+def _profiles(counts: DataFrame, leads: DataFrame, common_words: int) -> DataFrame:
+    """One row: for each language in leads, in the order of names, shares of its common words and of the character classes over all its documents."""
+    sums = counts.where(F.col("_words").isNotNull()).groupBy("_lang").agg(
+        F.array(*[F.sum(F.get("_words", F.lit(i))) for i in range(common_words + 1)]).alias("w"),
+        F.array(*[F.sum(F.col("_chars")[i]) for i in range(len(CLASSES))]).alias("c"),
+    )
+    each = leads.join(sums, F.col("lang") == F.col("_lang")).select("lang", _scaled(F.array_compact("w")).alias("w"), _scaled(F.col("c")).alias("c"))
+    return each.agg(F.array_sort(F.collect_list(F.struct("lang", "w", "c"))).alias("profiles"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", known_words: dict[str, list[str]] | None = None, common_words: int = 12, max_languages: int = 256, min_words: int = 40, max_class_distance: float = 0.28, max_word_distance: float = 0.31) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common_words: int = 12, min_words: int = 40, max_class_distance: float = 0.28, max_word_distance: float = 0.31) -> DataFrame:
     """Judge every row. Returns doc_id, the base counts, class_distance, word_distance, base_failed, kept.
 
     A document of at least min_words words is rejected when either distance to
     its language's reference exceeds its limit; a distance is null without
-    references (an empty table, or none with a lang). For languages in
-    known_words these words are counted, for all others the corpus's own.
+    references (an empty table, or none with a lang).
     """
-    leads = dict(known_words or {})
-    other = docs.where(~F.col(lang_col).isin(*leads)) if leads else docs
-    leads |= {r["lang"]: r["words"] for r in references(other, text_col, lang_col, common_words, max_languages).collect()}
+    leads = stored(references(docs, text_col, lang_col, common_words), "leads")
     counts = stored(base_counts(docs, leads, id_col, text_col, lang_col), "counts")
-    profiles = _profiles(counts, leads) if leads else {}
-    lits = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    far = lambda lang, c: F.struct(_distance(_scaled(c), lits(profiles[lang][0])).alias("w"), _distance(_scaled(F.col("_chars")), lits(profiles[lang][1])).alias("c"))
-    none = F.lit(None).cast("struct<w:double,c:double>")
-    near = F.array_min(F.array(*[far(lang, F.col("_every")[i]) for i, lang in enumerate(leads) if lang in profiles])) if profiles else none
-    case = F.when(F.col("n_words") < min_words, none)
-    for lang in profiles:
-        case = case.when(F.col("_lang") == lang, far(lang, F.col("_words")))
-    d = counts.withColumn("_d", case.when(F.col("_every").isNotNull(), near))
+    d = counts.withColumn("_profiles", stored(_profiles(counts, leads, common_words), "profiles").scalar()).withColumn("_mine", _scaled(F.col("_chars")))
+    far = lambda profile, c: F.struct(_distance(_scaled(c), profile["w"]).alias("w"), _distance(F.col("_mine"), profile["c"]).alias("c"))
+    own = F.filter("_profiles", lambda x: x["lang"] == F.col("_lang"))
+    near = F.array_min(F.zip_with("_profiles", "_every", far))
+    judged = F.when(F.col("_every").isNotNull(), near).otherwise(F.get(F.transform(own, lambda x: far(x, F.col("_words"))), F.lit(0)))
+    d = d.withColumn("_d", F.when(F.col("n_words") >= min_words, judged))
     over = (F.col("_d")["w"] > max_word_distance) | (F.col("_d")["c"] > max_class_distance)
     return d.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

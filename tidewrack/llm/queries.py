@@ -121,7 +121,6 @@ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) USING (doc_id)
 """
 
-_LEADS = ", ".join(f"('{lang}', '{w}', {k})" for lang, names in quality_rules.KNOWN_WORDS.items() for k, w in enumerate(names))
 _PARTS = [f"len(regexp_extract_all(rare, '{p}'))" for p in ("[A-Z]", "[0-9]", "[.,;:!?''\"()-]", "[#*$%&|<>]")]
 _QUALITY = rf"""
 WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws, regexp_replace(coalesce(text, ''), '[a-z\x20\x{{00C0}}-\x{{024F}}]+', '', 'g') AS rare FROM documents),
@@ -130,7 +129,7 @@ twice AS (SELECT doc_id, i, win IS NOT NULL AND count(*) OVER (PARTITION BY doc_
 covered AS (SELECT doc_id, bool_or(t) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c FROM twice),
 rep AS (SELECT doc_id, count(*) FILTER (c) AS n FROM covered GROUP BY doc_id),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, {_WORDS}) GROUP BY doc_id),
-lead(lang, word, k) AS (VALUES {_LEADS}),
+lead AS (SELECT lang, word, k FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS k FROM (SELECT lang, unnest(ws) AS word FROM w WHERE lang IS NOT NULL) GROUP BY lang, word) WHERE k <= 12),
 listed AS (SELECT doc_id, k, count(*) AS c FROM (SELECT doc_id, lang, unnest(ws) AS word FROM w) JOIN lead USING (lang, word) GROUP BY ALL),
 cells AS (
   SELECT doc_id, lang, 'w' AS kind, k, coalesce(c, 0) AS c FROM w JOIN lead USING (lang) LEFT JOIN listed USING (doc_id, k)
