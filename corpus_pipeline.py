@@ -2,8 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written to
 the shared folder and read again. All but the last return the columns of
-documents. A row without a doc_id can't be referred to and leaves with the
-first stage; null, empty and very short texts fail the quality rules.
+documents. Rows are judged by themselves, whatever their ids: a row is told from
+others by a hash of all its columns, so of rows with one id, or with none, some
+can stay and others go. Wholly equal rows are judged alike; near_duplicates
+leaves one of them. Null, empty and very short texts fail the quality rules.
 """
 
 from __future__ import annotations
@@ -16,24 +18,35 @@ from tidewrack.llm.queries import word_bpe
 from tidewrack.llm.shared import stored, table
 
 
-def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in keep."""
-    return docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with _row, a hash of all columns."""
+    return docs.withColumn("_row", F.xxhash64(*docs.columns))
+
+
+def _kept(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of keyed whose _row is in the first column of rows."""
+    return keyed.join(rows.toDF("_row").distinct(), "_row", "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: rejected documents go."""
-    return _kept(docs, quality_rules.judge(docs).where("kept"))
+    keyed = _keyed(docs)
+    return _kept(keyed, quality_rules.judge(keyed, id_col="_row").where("kept").select("doc_id")).drop("_row")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group, the document with the least id stays."""
-    return _kept(docs, jaccard_join.join(docs).where("doc_id = component_id")).dropDuplicates(["doc_id"])
+    """N-gram Jaccard join: of each group, the document with the least id stays; one without id only where none has one."""
+    keyed = _keyed(docs)
+    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("_id"), "text")
+    first = jaccard_join.join(named, id_col="_id").where("doc_id = component_id").select("doc_id._row")
+    return _kept(keyed, first).dropDuplicates(["_row"]).drop("_row")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents with a benchmark window go."""
-    return _kept(docs, decontamination.scan(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated"))
+    keyed = _keyed(docs)
+    found = decontamination.scan(keyed, table(spark, sf_dir, "benchmark"), id_col="_row")
+    return _kept(keyed, found.where("NOT contaminated").select("doc_id")).drop("_row")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
