@@ -143,9 +143,20 @@ def test_decontamination(spark, docs, empty, odd):
     for shard in (8 << 20, 200):
         got = decontamination.scan(docs, bench, shard_bytes=shard)
         assert table(got.select(columns)) == want
+        left = decontamination.clean(docs, bench, shard_bytes=shard)
+        assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(d for d, x in want.items() if not x[-1])
     spans = got.where("doc_id = 88").first().spans
     assert [(s.start, s.end) for s in spans] == [(0, 13)]
-    assert decontamination.scan(empty, bench).count() == 0 and decontamination.scan(odd, bench.limit(0)).where("contaminated").count() == 0
+    r = random.Random(6)
+    texts = [(i, " ".join(r.choice("abc") for _ in range(r.randint(0, 60)))) for i in range(40)]
+    items = [(str(i), " ".join(r.choice("abc") for _ in range(r.randint(1, 14)))) for i in range(150)] + [("x", "a " * 40)]
+    few = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")
+    for shard in (8 << 20, 500):
+        assert table(decontamination.scan(*few, width=6, shard_bytes=shard).select(columns)) == brute.contaminated(texts, items, 6)
+    began = time.time()
+    found = decontamination.Matcher([("i", "q w e r t z u i o p " * 3)], 10).find([*b"q w e r t z u i o p x".split()] * 100_000)
+    assert len(found[0]) == 100_000 and time.time() - began < 20
+    assert decontamination.scan(empty, bench).count() == 0 and decontamination.clean(odd, bench).count() == 5 and decontamination.scan(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
 def test_quality_model(spark, docs, empty):
