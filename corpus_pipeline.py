@@ -44,9 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents with a benchmark window go."""
-    keyed = _keyed(docs)
-    found = decontamination.scan(keyed, table(spark, sf_dir, "benchmark"), id_col="_row")
-    return _kept(keyed, found.where("NOT contaminated").select("doc_id")).drop("_row")
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
