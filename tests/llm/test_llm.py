@@ -336,7 +336,12 @@ def test_language_model(docs, empty, odd):
         return (max(c - a[min(c, 3) - 1], 0) if c else 0) / after[v] + sum(x * y for x, y in zip(a, many[v], strict=True)) / after[v] * lower(w)
 
     assert abs(sum(lower(w) for w in one) + lower("\0new") - 1) < 1e-9
-    got = {r.doc_id: r for r in language_model.score(docs, F.col("doc_id") % 3 != 0).collect()}
+    hot = language_model.Shards.of(16, np.bincount([5] * 900 + list(range(1000)), minlength=1 << 20))
+    assert hot.split[5] == 16 and hot.split[6] == 1 and hot.split[2000] == 1
+    v = np.full(5000, 5 << 44, np.uint64)
+    assert np.bincount(hot.pair(v, np.arange(5000, dtype=np.uint64)), minlength=16).min() > 200
+    got = {r.doc_id: r for r in language_model.score(docs, F.col("doc_id") % 3 != 0, shard_bytes=20_000).collect()}
+    assert got == {r.doc_id: r for r in language_model.score(docs, F.col("doc_id") % 3 != 0).collect()}
     for d, t in rows:
         x = ["\0start", *token(t)]
         r = got[d]

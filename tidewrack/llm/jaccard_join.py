@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import histogram
 from .batches import id_field, pieces
 from .components import components
 from .shared import discard, stored
@@ -59,8 +60,6 @@ SMALL = 64
 HUBS = 16
 #: A sort key holds a document's place in its piece, whether the shingle is frequent, and the shingle.
 PIECE_ROWS, VALUE_BITS = 1 << 14, 49
-#: Bits of a shingle that choose its cell in the histogram of frequencies, and the rows it is sent in.
-CELL_BITS, CELL_ROWS = 20, 64
 _BATCH = 4 << 20
 _U = np.uint64
 _VALUE = _U((1 << VALUE_BITS) - 1)
@@ -95,7 +94,7 @@ def shingle_sets(texts: pa.Array, width: int, frequent: np.ndarray | None = None
 
 
 def cells(value: np.ndarray) -> np.ndarray:
-    return (value >> _U(VALUE_BITS - CELL_BITS)).astype(np.int64)
+    return histogram.cells(value, VALUE_BITS)
 
 
 def _sums(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -295,38 +294,23 @@ def _sets(width: int, schema: T.StructType):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         to = to_arrow_schema(schema)
-        counts = np.zeros(1 << CELL_BITS, np.int64)
+        counts = histogram.empty()
         for batch in batches:
             for piece in pieces(batch, most=_BATCH, rows=PIECE_ROWS):
                 doc, value, size = shingle_sets(piece.column("text"), width)
                 a, b = set_names(doc, value, size)
-                counts += np.bincount(cells(value), minlength=len(counts))
+                histogram.add(counts, cells(value))
                 names = [f"{x:016x}{y:016x}" if n else None for x, y, n in zip(a.tolist(), b.tolist(), size.tolist(), strict=True)]
                 rows = len(size)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(to.field(0).type), piece.column("key"), pa.array(names, pa.string()), pa.array(a.view(np.int64)), pa.array(size, pa.int64()), pa.array(points(doc, value, size), pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=to)
-        codec = pa.Codec("zstd", 1)
-        parts = [codec.compress(x.tobytes(), asbytes=True) for x in counts.reshape(CELL_ROWS, -1)]
-        none = [pa.nulls(CELL_ROWS, to.field(i).type) for i in range(6)]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(range(CELL_ROWS), pa.int32()), pa.array(parts, pa.binary())], schema=to)
+        rows = histogram.packed(counts)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(rows.num_rows, to.field(i).type) for i in range(6)), *rows.columns], schema=to)
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the tasks' histograms, for each part of the cells."""
-    codec, per = pa.Codec("zstd", 1), (1 << CELL_BITS) // CELL_ROWS
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for cell, z in zip(batch.column("cell").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            sums[cell] = sums.get(cell, 0) + np.frombuffer(codec.decompress(z, 8 * per, asbytes=True), np.int64)
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["cell", "counts"])
-
-
-def frequent_cells(rows: DataFrame, parts: int) -> np.ndarray:
-    """Flags of the cells with clearly more shingles than chance gives: a megabyte, whatever the input."""
-    sums = rows.repartition(min(parts, CELL_ROWS), "cell").mapInArrow(_summed, "cell int, counts binary").collect()
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(sums, key=lambda r: r["cell"])]) if sums else np.zeros(1 << CELL_BITS, np.int64)
+def frequent_cells(counts: np.ndarray) -> np.ndarray:
+    """Flags of the cells with clearly more shingles than chance gives."""
     mean = counts.mean()
     return counts > mean + 6 * np.sqrt(mean) + 16
 
@@ -512,8 +496,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     schema = T.StructType([id_field(d, "doc_id"), *_SET])
     named = stored(d.mapInArrow(_sets(width, schema), schema), "named")
-    flags = frequent_cells(named.where("cell IS NOT NULL").select("cell", "counts"), parts)
-    frequent = spark.sparkContext.broadcast(np.packbits(flags).tobytes())
+    frequent = spark.sparkContext.broadcast(np.packbits(frequent_cells(histogram.total(named))).tobytes())
     named = named.where("cell IS NULL").select("doc_id", "key", "name", "node", "n", "point")
     sets = stored(named.where("name IS NOT NULL").groupBy("name").agg(F.min("key").alias("key"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("point").alias("point")), "sets")
 

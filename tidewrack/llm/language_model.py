@@ -2,19 +2,24 @@
 
 Words are 64-bit fingerprints. Each batch of training texts counts its own
 bigrams; counts are packed, sent to the shard of their first word, merged
-there, and written as sorted arrays to the shared folder. Each shard also sends
-on, for every second word, how often and after how many different words it
-came: the next shards, by that word, write the unigram arrays. Only counts of
-counts, a dozen numbers a shard, come to the driver. Workers memory-map the
-arrays and look up the sorted, distinct keys of a batch.
+there, and written as sorted arrays to the shared folder. A first word that
+fills much of a shard, as "the" or the start of a text does, is split over
+several by its second words: how many follows from a histogram of first words
+over all tokens. Each shard sends on, for every word, what it knows of it as a
+second word (how often and after how many different words it came) and as a
+first word (how often, and how many bigrams of counts 1, 2 and more it has): the
+next shards, by that word, add these up and write the unigram arrays. Only sums
+come to the driver. Workers memory-map the arrays, or hold those used last if
+the store isn't a file system here, and look up the sorted, distinct keys of a
+batch.
 
 The order is two: with three, the arrays and their shuffle would take over four
 times the input. A shard of about shard_bytes of text bounds a task's memory.
 Files are renamed into place when complete, so a task may run again.
 
-Defined results: a null or empty text is the end token alone. Repeated rows
-count, and are scored, as often as they come. With nothing to learn from, every
-token has probability 1 / (V + 1) = 1.
+Defined results: a null or empty text is the end token alone. Repeated rows,
+and rows with a null or repeated id, count, and are scored, as often as they
+come. With nothing to learn from, every token has probability 1 / (V + 1) = 1.
 """
 
 from __future__ import annotations
@@ -22,7 +27,6 @@ from __future__ import annotations
 import mmap
 import os
 import sys
-import tempfile
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -33,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import histogram
 from .batches import id_field, pieces
 from .shared import shared_path
 from .words import mix, split
@@ -40,9 +45,11 @@ from .words import mix, split
 _BATCH = 8 << 20
 START, STOP = np.uint64(0x5354415254), np.uint64(0x53544F50)
 _CLIP = 255
+HEADS = ("total", "n1", "n2", "n3")
 #: Maps can outlive their file descriptors from Python 3.13 on; before that each open array takes one.
 _FREE = {"trackfd": False} if sys.version_info >= (3, 13) else {}
 MAX_OPEN = 3000 if _FREE else 50
+MAX_HELD = 256 << 20
 _OPEN: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
 
 
@@ -64,33 +71,32 @@ def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def open_arrays(folder: str, name: str, kinds: dict[str, str]) -> dict[str, np.ndarray]:
-    """Memory-map folder/name.<key>. From a remote store a file is fetched first and has no name once it is open.
+    """Memory-map folder/name.<key>, or read it from a store that is no file system here; empty arrays if it was never written.
 
-    At most MAX_OPEN shards stay open, those used last.
+    At most MAX_OPEN shards stay mapped, and MAX_HELD bytes are held, those used last.
     """
     key = f"{folder}/{name}"
     if key in _OPEN:
         _OPEN.move_to_end(key)
-    else:
-        files, at = _filesystem(folder)
-        out = {}
-        for k, kind in kinds.items():
-            path, local = f"{at}/{name}.{k}", files.type_name == "local"
-            if not local:
-                with files.open_input_stream(path) as source, tempfile.NamedTemporaryFile(delete=False) as copy:
-                    while block := source.read(8 << 20):
-                        copy.write(block)
-                path = copy.name
+        return _OPEN[key]
+    files, at = _filesystem(folder)
+    paths = [f"{at}/{name}.{k}" for k in kinds]
+    sizes = [f.size or 0 for f in files.get_file_info(paths)]
+    out = {}
+    for (k, kind), path, size in zip(kinds.items(), paths, sizes, strict=True):
+        if not size:
             out[k] = np.zeros(0, kind)
-            if os.path.getsize(path):
-                with open(path, "rb") as f:
-                    out[k] = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_FREE), kind)
-            if not local:
-                os.unlink(path)
-        _OPEN[key] = out
-        if len(_OPEN) > MAX_OPEN:
-            _OPEN.popitem(last=False)
-    return _OPEN[key]
+        elif files.type_name == "local":
+            with open(path, "rb") as f:
+                out[k] = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_FREE), kind)
+        else:
+            with files.open_input_file(path) as f:
+                out[k] = np.frombuffer(f.read(), kind)
+    _OPEN[key] = out
+    held = 0 if files.type_name == "local" else sum(x.nbytes for a in _OPEN.values() for x in a.values())
+    while len(_OPEN) > MAX_OPEN or held > MAX_HELD and len(_OPEN) > 1:
+        held -= sum(x.nbytes for x in _OPEN.popitem(last=False)[1].values())
+    return out
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,11 +124,40 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((mix(h) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
 
+class Shards:
+    """Where bigrams and words go. split: for each cell of the histogram of first words, over how many shards they are split."""
+
+    def __init__(self, n: int, split: np.ndarray):
+        self.n, self.split = n, split
+
+    @classmethod
+    def of(cls, n: int, counts: np.ndarray) -> Shards:
+        """A cell with more than half of a shard's share is split."""
+        share = max(1, int(counts.sum()) // (2 * n))
+        return cls(n, np.minimum(n, -(-counts // share)).clip(1).astype(np.uint32))
+
+    def word(self, w: np.ndarray) -> np.ndarray:
+        return _shard(w, self.n)
+
+    def pair(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        over = self.split[histogram.cells(v)]
+        part = (mix(w ^ np.uint64(0x5A5A5A5A)) >> np.uint64(33)) % over.astype(np.uint64)
+        return (_shard(v, self.n) + part.astype(np.int64)) % self.n
+
+
 _COUNTED = "shard int, v binary, r binary, w binary, c binary"
-_BY_WORD = "shard int, w binary, t binary, c binary, stats array<bigint>"
+_BY_WORD = "shard int, w binary, t binary, c binary, v binary, o binary, n1 binary, n2 binary, n3 binary, stats array<bigint>"
+
+
+def _first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = histogram.empty()
+    for batch in batches:
+        for piece in pieces(batch, most=_BATCH):
+            histogram.add(counts, histogram.cells(tokens(piece.column("text"))[2]))
+    yield histogram.packed(counts)
 
 
-def _count(shards: int):
+def _count(shards):
     """Packed bigram counts of each batch: distinct first words, how many bigrams each has, second words, counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +167,7 @@ def _count(shards: int):
                 key = _pair(v, w)
                 _, first, count = np.unique(key, return_index=True, return_counts=True)
                 v, w, count = v[first], w[first], count.astype(np.uint32)
-                s = _shard(v, shards)
+                s = shards.value.pair(v, w)
                 order = np.lexsort((w, v, s))
                 v, w, count, s = v[order], w[order], count[order], s[order]
                 cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
@@ -167,7 +202,7 @@ def _counts_of_counts(c: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(c, 5), minlength=6)[1:5].tolist()
 
 
-def _bigrams(folder: str, shards: int):
+def _bigrams(folder: str, shards):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _by_shard(batches, ("v", "r", "w", "c")):
             v = np.repeat(_joined(rows, 0, np.uint64), _joined(rows, 1, np.uint32))
@@ -183,37 +218,54 @@ def _bigrams(folder: str, shards: int):
             key = _pair(v, w)
             order = np.argsort(key)
             big = order[c[order] >= _CLIP]
-            write_arrays(folder, f"b{shard}", {"key": key[order], "count": np.minimum(c, _CLIP)[order].astype(np.uint8), "big": key[big], "bigcount": c[big].astype(np.uint64), "v": v[at], "total": np.add.reduceat(c, at).astype(np.uint64), "n1": per(c == 1), "n2": per(c == 2), "n3": per(c > 2)})
-            stats = [0, *_counts_of_counts(c)]
+            write_arrays(folder, f"b{shard}", {"key": key[order], "count": np.minimum(c, _CLIP)[order].astype(np.uint8), "big": key[big], "bigcount": c[big].astype(np.uint64)})
+            stats = [0, *_counts_of_counts(c), 0, 0, 0]
+            heads = [v[at], np.add.reduceat(c, at).astype(np.uint64), per(c == 1), per(c == 2), per(c > 2)]
             order = np.argsort(w, kind="stable")
             w, c = w[order], c[order]
             at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            types, c, w = np.diff(np.r_[at, len(w)]).astype(np.uint32), np.add.reduceat(c, at).astype(np.uint64), w[at]
-            s = _shard(w, shards)
-            order = np.argsort(s, kind="stable")
-            w, types, c, s = w[order], types[order], c[order], s[order]
-            cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
-            out = [(int(s[a]), w[a:b].tobytes(), types[a:b].tobytes(), c[a:b].tobytes(), stats if not k else None) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 3, pa.list_(pa.int64())), strict=True)], names=["shard", "w", "t", "c", "stats"])
+            tails = [w[at], np.diff(np.r_[at, len(w)]).astype(np.uint32), np.add.reduceat(c, at).astype(np.uint64)]
+            out: dict[int, list] = {}
+            for first, arrays in ((0, tails), (3, heads)):
+                s = shards.value.word(arrays[0])
+                order = np.argsort(s, kind="stable")
+                s, arrays = s[order], [x[order] for x in arrays]
+                cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    out.setdefault(int(s[a]), [b""] * 8)[first : first + len(arrays)] = [x[a:b].tobytes() for x in arrays]
+            rows = [(k, *x, stats if not i else None) for i, (k, x) in enumerate(out.items())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 8, pa.list_(pa.int64())), strict=True)], names=["shard", "w", "t", "c", "v", "o", "n1", "n2", "n3", "stats"])
 
     return run
 
 
+def _added(words: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Distinct words in order, and the sums of their values."""
+    order = np.argsort(words, kind="stable")
+    words = words[order]
+    at = np.flatnonzero(np.r_[True, words[1:] != words[:-1]]) if len(words) else np.zeros(0, np.int64)
+    return [words[at], *(np.add.reduceat(x[order].astype(np.int64), at) if len(at) else x.astype(np.int64) for x in values)]
+
+
 def _unigrams(folder: str):
     """Writes the unigram arrays; gives rows of counts of counts: kind 0 of bigrams, 1 of words by how many words they follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for shard, rows in _by_shard(batches, ("w", "t", "c", "stats")):
-            out += [r[3] for r in rows if r[3]]
-            w, t, c = _joined(rows, 0, np.uint64), _joined(rows, 1, np.uint32), _joined(rows, 2, np.uint64)
+        for shard, rows in _by_shard(batches, ("w", "t", "c", "v", "o", "n1", "n2", "n3", "stats")):
+            out += [r[8] for r in rows if r[8]]
+            tails = _added(_joined(rows, 0, np.uint64), _joined(rows, 1, np.uint32), _joined(rows, 2, np.uint64))
+            heads = _added(_joined(rows, 3, np.uint64), _joined(rows, 4, np.uint64), *(_joined(rows, i, np.uint32) for i in (5, 6, 7)))
             rows.clear()
-            order = np.argsort(w, kind="stable")
-            w, t, c = w[order], t[order].astype(np.int64), c[order]
-            at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            w, t, c = w[at], np.add.reduceat(t, at), np.add.reduceat(c, at)
-            write_arrays(folder, f"u{shard}", {"w": w, "types": t.astype(np.uint64), "count": c})
-            out.append([1, *_counts_of_counts(t), len(w), int(t.sum()), int(c.sum()), shard])
+            every = np.union1d(tails[0], heads[0])
+            arrays = {"w": every}
+            for names, part in ((("types", "count"), tails), (HEADS, heads)):
+                at = np.searchsorted(every, part[0])
+                for name, x in zip(names, part[1:], strict=True):
+                    arrays[name] = np.zeros(len(every), "<u8")
+                    arrays[name][at] = x
+            write_arrays(folder, f"u{shard}", arrays)
+            out.append([1, *_counts_of_counts(tails[1]), len(tails[0]), int(tails[1].sum()), int(tails[2].sum())])
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["stats"])
 
@@ -229,65 +281,57 @@ def discounts(n: list[int]) -> list[float]:
 
 
 class Model:
-    """What workers need to open the arrays, and the numbers that hold for all of them."""
+    """What workers need to open the arrays, and the numbers that hold for all of them. shards: a broadcast of Shards."""
 
-    def __init__(self, folder: str, shards: int, bigram: list[int], word: list[int], vocabulary: int, types: int, total: int):
+    def __init__(self, folder: str, shards, bigram: list[int], word: list[int], vocabulary: int, types: int, total: int):
         self.folder, self.shards, self.vocabulary, self.types, self.total = folder, shards, vocabulary, types, total
         self.bigram, self.word = discounts(bigram), discounts(word)
         n1, n2 = word[0], word[1]
         self.spare = (self.word[0] * n1 + self.word[1] * n2 + self.word[2] * (vocabulary - n1 - n2)) / types if types else 1.0
-        self.written: tuple[set[int], set[int]] = (set(), set())
 
     def _discount(self, d: list[float], c: np.ndarray) -> np.ndarray:
         return np.array([0.0, *d])[np.minimum(c, 3).astype(np.int64)]
 
-    def unigrams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of distinct words, and of the words that they follow."""
-        count, types = np.zeros(len(words)), np.zeros(len(words))
-        kinds = {"w": "<u8", "types": "<u8", "count": "<u8"}
-        for shard, at in _groups(_shard(words, self.shards), words):
-            if shard in self.written[1]:
-                x = open_arrays(self.folder, f"u{shard}", kinds)
-                i, ok = _found(x["w"], words[at])
-                count[at[ok]], types[at[ok]] = x["count"][i[ok]], x["types"][i[ok]]
-        return count, types
-
-    def pairs(self, v: np.ndarray, w: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Probabilities of words after others; lower: of the words alone."""
-        p = lower.copy()
-        key = _pair(v, w)
-        kinds = {"key": "<u8", "count": "u1", "big": "<u8", "bigcount": "<u8", "v": "<u8", "total": "<u8", "n1": "<u4", "n2": "<u4", "n3": "<u4"}
-        for shard, at in _groups(_shard(v, self.shards), key):
-            if shard not in self.written[0]:
-                continue
-            x = open_arrays(self.folder, f"b{shard}", kinds)
-            heads, back = np.unique(v[at], return_inverse=True)
-            i, known = _found(x["v"], heads)
-            i = np.where(known, i, 0)
-            total = np.where(known, x["total"][i], 1).astype(float)
-            spare = (self.bigram[0] * x["n1"][i] + self.bigram[1] * x["n2"][i] + self.bigram[2] * x["n3"][i]) / total
-            c = np.zeros(len(at))
-            k, ok = _found(x["key"], key[at])
-            c[ok] = x["count"][k[ok]]
-            if len(x["big"]):
-                k, ok = _found(x["big"], key[at])
-                c[ok] = x["bigcount"][k[ok]]
-            full = np.maximum(c - self._discount(self.bigram, c), 0) / total[back] + spare[back] * lower[at]
-            p[at] = np.where(known[back], full, lower[at])
-        return p
+    def unigrams(self, words: np.ndarray) -> dict[str, np.ndarray]:
+        """Of distinct words: counts, of how many words they follow, and as first words counts and bigrams of counts 1, 2 and more."""
+        kinds = {k: "<u8" for k in ("w", "types", "count", *HEADS)}
+        out = {k: np.zeros(len(words)) for k in kinds if k != "w"}
+        for shard, at in _groups(self.shards.value.word(words), words):
+            x = open_arrays(self.folder, f"u{shard}", kinds)
+            i, ok = _found(x["w"], words[at])
+            for k in out:
+                out[k][at[ok]] = x[k][i[ok]]
+        return out
+
+    def pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Counts of distinct bigrams."""
+        c, key = np.zeros(len(v)), _pair(v, w)
+        for shard, at in _groups(self.shards.value.pair(v, w), key):
+            x = open_arrays(self.folder, f"b{shard}", {"key": "<u8", "count": "u1", "big": "<u8", "bigcount": "<u8"})
+            for keys, counts in ((x["key"], x["count"]), (x["big"], x["bigcount"])):
+                k, ok = _found(keys, key[at])
+                c[at[ok]] = counts[k[ok]]
+        return c
 
     def score(self, texts: pa.Array) -> list[np.ndarray]:
         """For each text: tokens, known tokens, base score and log10 probability."""
         doc, w, v = tokens(texts)
         n = len(texts)
-        words, back = np.unique(w, return_inverse=True)
-        count, types = self.unigrams(words)
-        base = np.log10((count + 0.1) / (self.total + 0.1 * (self.vocabulary + 1)))
-        lower = np.maximum(types - self._discount(self.word, types), 0) / max(self.types, 1) + self.spare / (self.vocabulary + 1)
-        key, first, pair_back = np.unique(_pair(v, w), return_index=True, return_inverse=True)
-        p = self.pairs(v[first], w[first], lower[back[first]])
+        words, back = np.unique(np.concatenate([w, [START]]), return_inverse=True)
+        start, back = back[-1], back[:-1]
+        x = self.unigrams(words)
+        base = np.log10((x["count"] + 0.1) / (self.total + 0.1 * (self.vocabulary + 1)))
+        lower = np.maximum(x["types"] - self._discount(self.word, x["types"]), 0) / max(self.types, 1) + self.spare / (self.vocabulary + 1)
+        # A token's first word is the token before it, or the start.
+        before = np.r_[start, back[:-1]]
+        before[v == START] = start
+        _, first, pair_back = np.unique(_pair(v, w), return_index=True, return_inverse=True)
+        c, low, head = self.pairs(v[first], w[first]), lower[back[first]], before[first]
+        total = np.maximum(x["total"][head], 1)
+        spare = sum(d * x[k][head] for d, k in zip(self.bigram, HEADS[1:], strict=True)) / total
+        p = np.where(x["total"][head] > 0, np.maximum(c - self._discount(self.bigram, c), 0) / total + spare * low, low)
         add = lambda x: np.bincount(doc, weights=x, minlength=n)
-        return [np.bincount(doc, minlength=n), add(count[back] > 0).astype(np.int64), add(base[back]), add(np.log10(p)[pair_back])]
+        return [np.bincount(doc, minlength=n), add(x["count"][back] > 0).astype(np.int64), add(base[back]), add(np.log10(p)[pair_back])]
 
 
 def _groups(shard: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -308,18 +352,14 @@ def train(docs: DataFrame, text_col: str = "text", shard_bytes: int = 16 << 20)
     spark = docs.sparkSession
     folder = shared_path(spark, "language-model")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    shards = max(4, -(-size // shard_bytes))
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(shards), _COUNTED)
-    words = counted.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_bigrams(folder, shards), _BY_WORD)
-    stats = [r[0] for r in words.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_unigrams(folder), "stats array<bigint>").collect()]
-    total = lambda kind, i: sum(s[i] for s in stats if s[0] == kind)
-    model = Model(folder, shards, [total(0, i) for i in range(1, 5)], [total(1, i) for i in range(1, 5)], total(1, 5), total(1, 6), total(1, 7))
-    files, at = _filesystem(folder)
-    from pyarrow import fs
-
-    names = [f.base_name for f in files.get_file_info(fs.FileSelector(at, allow_not_found=True))]
-    model.written = tuple({int(x[1:].split(".")[0]) for x in names if x[0] == k} for k in "bu")
-    return model
+    n = max(4, -(-size // shard_bytes))
+    texts = docs.select(F.col(text_col).alias("text"))
+    shards = spark.sparkContext.broadcast(Shards.of(n, histogram.total(texts.mapInArrow(_first_words, histogram.SCHEMA))))
+    words = texts.mapInArrow(_count(shards), _COUNTED).repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_bigrams(folder, shards), _BY_WORD)
+    stats = words.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_unigrams(folder), "stats array<bigint>")
+    sums = {r["kind"]: r for r in stats.groupBy(F.col("stats")[0].alias("kind")).agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(1, 8)]).collect()}
+    total = lambda kind, i: sums[kind][f"s{i}"] if kind in sums else 0
+    return Model(folder, shards, [total(0, i) for i in range(1, 5)], [total(1, i) for i in range(1, 5)], total(1, 5), total(1, 6), total(1, 7))
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20) -> DataFrame:

@@ -62,7 +62,7 @@ def base_counts(docs: DataFrame, leads: DataFrame, id_col: str = "doc_id", text_
     _words counts the lead words of the document's language; _every, only where
     that has none, those of each language in leads, in the order of their names.
     """
-    every = leads.agg(F.array_sort(F.collect_list(F.struct("lang", "words"))).alias("every"))
+    every = leads.agg(F.array_sort(F.collect_list(F.struct("lang", "words", F.array_max(F.transform("words", F.octet_length)).alias("longest")))).alias("every"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("_lang"), text.alias("_t"), word_array(F.col(text_col)).alias("_w"))
     d = d.withColumn("_leads", every.scalar())
@@ -73,11 +73,11 @@ def base_counts(docs: DataFrame, leads: DataFrame, id_col: str = "doc_id", text_
     d = d.withColumn("_8", F.when(F.size(F.array_distinct("_4")) < F.size("_4"), cut(_paired("_4", 4), SPAN)))
     d = d.withColumn("_h", _tagged(F.col("_8")))
     d = d.withColumn("_rare", F.regexp_replace("_t", COMMON, "")).withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    d = d.withColumn("_names", F.get(F.filter("_leads", lambda x: x["lang"] == F.col("_lang")), F.lit(0))["words"])
+    d = d.withColumn("_own", F.get(F.filter("_leads", lambda x: x["lang"] == F.col("_lang")), F.lit(0)))
     out = d.select(
         "doc_id", "_lang",
-        F.when(F.col("_names").isNotNull(), _word_counts(F.col("_w"), F.col("_names"))).alias("_words"),
-        F.when(F.col("_names").isNull(), F.transform("_leads", lambda x: _word_counts(F.col("_w"), x["words"]))).alias("_every"),
+        F.when(F.col("_own").isNotNull(), _word_counts(F.col("_w"), F.col("_own"))).alias("_words"),
+        F.when(F.col("_own").isNull(), F.transform("_leads", lambda x: _word_counts(F.col("_w"), x))).alias("_every"),
         _class_counts(F.length("_t"), F.col("_rare")).alias("_chars"),
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
@@ -111,10 +111,12 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return lead.groupBy("lang").agg(F.array_sort(F.collect_list("word")).alias("words"))
 
 
-def _word_counts(words: Column, names: Column) -> Column:
-    """How often each of names occurs and, last, how many words are none of them."""
+def _word_counts(words: Column, lead: Column) -> Column:
+    """How often each of a language's lead words occurs and, last, how many words are none of them."""
+    names = lead["words"]
+    listed = F.filter(words, lambda w: (F.octet_length(w) <= lead["longest"]) & F.array_contains(names, w))
     # Two spaces between words, so that each has its own on either side.
-    text = F.concat(F.lit(" "), F.array_join(F.filter(words, lambda w: F.array_contains(names, w)), "  "), F.lit(" "))
+    text = F.concat(F.lit(" "), F.array_join(listed, "  "), F.lit(" "))
 
     def counts(t: Column) -> Column:
         return F.transform(names, lambda w: (F.length(t) - F.length(F.replace(t, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2))
