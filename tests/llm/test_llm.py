@@ -125,6 +125,7 @@ def test_bpe_round_trip(docs):
 
 def test_substring_dedup(docs, empty, odd):
     assert table(substring_dedup.dedup(docs)) == brute.dedup([(d, t) for d, t in corpus()])
+    assert table(substring_dedup.dedup(docs, group_windows=2)) == brute.dedup([(d, t) for d, t in corpus()])
     assert substring_dedup.dedup(empty).count() == 0
     rows = substring_dedup.dedup(odd, width=5).collect()
     assert len(rows) == 5
@@ -134,6 +135,22 @@ def test_substring_dedup(docs, empty, odd):
     assert kept.kept == "" and kept.n_removed == kept.n_words
 
 
+def test_a_frequent_prefix_is_split():
+    r = random.Random(12)
+    for k in range(100):  # until a phrase that windows are anchored at
+        texts = pa.array([" ".join([*(f"w{r.randrange(10**6)}" for _ in range(25)), f"in the end it {k}", *(f"w{r.randrange(10**6)}" for _ in range(30))]) for _ in range(400)])
+        piece = substring_dedup.Piece(texts, 20)
+        if np.unique(piece.prefixes[0], return_counts=True)[1].max() > 2000:
+            break
+    counts = np.stack([np.bincount(substring_dedup.histogram.cells(x), minlength=1 << substring_dedup.histogram.BITS) for x in piece.prefixes[:2]])
+    largest = lambda large: np.unique(piece.keys(large.ravel()), return_counts=True)[1].max()
+    assert largest(counts > 10**9) > 2000 and largest(counts > 50) <= 50
+    # Equal windows have equal keys wherever they are.
+    again = substring_dedup.Piece(pa.array(["x y z", *texts.to_pylist()[::-1]]), 20)
+    mine = dict(zip(piece.node.tolist(), piece.keys((counts > 50).ravel()).tolist()))
+    assert all(mine[n] == k for n, k in zip(again.node.tolist(), again.keys((counts > 50).ravel()).tolist()))
+
+
 def test_decontamination(spark, docs, empty, odd):
     rows = corpus()
     items = [("i2", " ".join(rows[4][1].split()[5:22]).upper()), ("i10", "one, two... THREE"), ("i1", " ".join(rows[4][1].split()[5:22])), (None, rows[5][1]), ("i4", None), ("i5", "!!"), ("i6", "é" * 5000)]

@@ -22,8 +22,9 @@ def cells(hashes: np.ndarray, of_bits: int = 64) -> np.ndarray:
     return (hashes >> np.uint64(of_bits - BITS)).astype(np.int64)
 
 
-def empty() -> np.ndarray:
-    return np.zeros(1 << BITS, np.int64)
+def empty(n: int = 1) -> np.ndarray:
+    """n histograms, one after another."""
+    return np.zeros(n << BITS, np.int64)
 
 
 def add(counts: np.ndarray, at: np.ndarray) -> None:
@@ -32,8 +33,8 @@ def add(counts: np.ndarray, at: np.ndarray) -> None:
 
 def packed(counts: np.ndarray) -> pa.RecordBatch:
     codec = pa.Codec("zstd", 1)
-    rows = [codec.compress(x.tobytes(), asbytes=True) for x in counts.reshape(PARTS, -1)]
-    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())], names=["cell", "counts"])
+    rows = [codec.compress(x.tobytes(), asbytes=True) for x in counts.reshape(-1, (1 << BITS) // PARTS)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["cell", "counts"])
 
 
 def _summed(batches):
@@ -46,8 +47,8 @@ def _summed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["cell", "counts"])
 
 
-def total(rows: DataFrame) -> np.ndarray:
-    """The sum of the tasks' histograms, of rows as packed() gives them."""
+def total(rows: DataFrame, n: int = 1) -> np.ndarray:
+    """The sum of the tasks' n histograms, of rows as packed() gives them."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sums = rows.where(F.col("cell").isNotNull()).select("cell", "counts").repartition(min(parts, PARTS), "cell").mapInArrow(_summed, SCHEMA).collect()
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(sums, key=lambda r: r["cell"])]) if sums else empty()
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(sums, key=lambda r: r["cell"])]) if sums else empty(n)

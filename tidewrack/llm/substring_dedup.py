@@ -10,11 +10,16 @@ suffix tree that are 20 words deep are kept as fingerprints of their windows;
 the windows an anchor owns travel with it as one row. Runs of windows whose
 node was met before are the repeats, of any length.
 
-Groups fit in memory at every size: each batch of documents first settles its
-own repeats, so a passage of a third of all rows gives a row for each batch
-only; the rest of a group is streamed in the order of documents, and only the
-distinct nodes under the current prefix are held. Two windows count as equal if
-64 bits of their prefix and 56 of their words agree.
+Prefixes are of variable length, so that groups fit in memory: a histogram of
+all documents' windows by their prefix tells how large a group gets, with a
+fixed number of cells. Where it would have more than group_windows windows (or
+eight times the mean, if that is more), the prefix is lengthened to the first
+ten words of a window, and where these are as frequent to all of its words: then
+a group is one node. Each batch of documents first settles its own repeats, so a
+passage of a third of all rows gives a few rows for each batch only; the rest of
+a group is streamed in the order of documents, and only the distinct nodes under
+the current prefix are held. Two windows count as equal if 64 bits of their
+prefix and 56 of their words agree.
 
 Defined results: a null text has no words; a text of under 20 words loses none.
 A null id comes before all others. Repeated ids: different texts of one id are
@@ -34,10 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import histogram
 from .batches import id_field, pieces
 from .words import SPACE, mix, split, windows
 
-PREFIX = 5
+PREFIX, LONGER = 5, 10
 WIDTH = 20
 KEPT_BYTES = 7
 _MASK = np.uint64((1 << (8 * KEPT_BYTES)) - 1)
@@ -68,31 +74,63 @@ def anchors(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def _suffixes(width: int, schema: T.StructType):
-    """Of each batch: ranges of windows met before in it, and a row for each anchor with the windows it owns."""
+class Piece:
+    """The windows of a batch of texts: their places, anchors, nodes and, in prefixes, what stands for their prefixes of each length."""
+
+    def __init__(self, texts: pa.Array, width: int):
+        self.words = w = split(texts)
+        h = w.hashes()
+        enough = len(h) >= width
+        self.inside = np.flatnonzero(w.doc[: len(h) - width + 1] == w.doc[width - 1 :]) if enough else np.zeros(0, np.int64)
+        self.anchor = anchors(h, width)[self.inside] if enough else self.inside
+        self.doc = w.doc[self.inside]
+        self.node = windows(h, width, seed=3)[self.inside] if enough else np.zeros(0, np.uint64)
+        self.prefixes = [windows(h, PREFIX, seed=5)[self.anchor], windows(h, min(LONGER, width), seed=7)[self.inside], self.node] if enough else [self.node] * 3
+
+    def keys(self, large: np.ndarray) -> np.ndarray:
+        """The prefix of each window that is long enough. large: flags of the cells of prefixes of the first two lengths."""
+        a, b, c = self.prefixes
+        first, second = large.reshape(2, -1)
+        return np.where(~first[histogram.cells(a)], a, np.where(~second[histogram.cells(b)], b, mix(c)))
+
+
+def _sizes(width: int):
+    """How many windows have a prefix in each cell, for prefixes of the first two lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = histogram.empty(2)
+        for batch in batches:
+            for piece in pieces(batch, most=_BATCH):
+                for of_length, prefix in zip(counts.reshape(2, -1), Piece(piece.column("text"), width).prefixes, strict=False):
+                    histogram.add(of_length, histogram.cells(prefix))
+        yield histogram.packed(counts)
+
+    return run
+
+
+def _suffixes(width: int, schema: T.StructType, large):
+    """Of each batch: ranges of windows met before in it, and a row for each anchor and prefix with the windows it owns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         to = to_arrow_schema(schema)
+        flags = np.unpackbits(np.frombuffer(large.value, np.uint8)).astype(bool)
         for batch in batches:
             for piece in pieces(batch, most=_BATCH):
                 order = pc.sort_indices(pa.table({"d": piece.column("doc_id"), "k": piece.column("k")}), [("d", "ascending"), ("k", "ascending")], null_placement="at_start")
                 piece = piece.take(order)
-                w = split(piece.column("text"))
-                h = w.hashes()
-                if len(h) < width:
+                p = Piece(piece.column("text"), width)
+                if not len(p.inside):
                     continue
-                nodes = windows(h, width, seed=3)
-                inside = np.flatnonzero(w.doc[: len(nodes)] == w.doc[width - 1 :])
-                anchor = anchors(h, width)[inside]
-                prefix, node, doc = windows(h, PREFIX, seed=5)[anchor], nodes[inside] & _MASK, w.doc[inside]
+                w, inside, anchor, doc, node = p.words, p.inside, p.anchor, p.doc, p.node & _MASK
+                prefix = p.keys(flags)
                 _, first, which = np.unique(node, return_index=True, return_inverse=True)
                 met = (first[which] != np.arange(len(node))) & (prefix[first[which]] == prefix)
                 place = w.position()[inside]
                 old, new = np.flatnonzero(met), np.flatnonzero(~met)
                 s, n = _runs(inside[old], doc[old])
-                s2, n2 = _runs(inside[new], anchor[new])
+                s2, n2 = _runs(inside[new], anchor[new], prefix[new])
                 rows = np.concatenate([doc[old][s], doc[new][s2]])
                 data = node[new].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes()
                 offsets = np.concatenate([np.zeros(len(s) + 1, np.int32), (np.cumsum(n2) * KEPT_BYTES).astype(np.int32)])
@@ -155,21 +193,24 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool
     return docs.select(F.col(id_col).alias("doc_id"), k.alias("k"), F.col(text_col).alias("text")), bool(some)
 
 
-def repeats(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
+def repeats(keyed: DataFrame, width: int = WIDTH, group_windows: int = 1 << 22) -> DataFrame:
     """doc_id, k, start, n: n windows from the start-th word on have an earlier equal. keyed: as from _keyed."""
+    counts = histogram.total(keyed.select("text").mapInArrow(_sizes(width), histogram.SCHEMA), 2)
+    most = max(group_windows, 8 * int(counts.sum()) // len(counts))
+    large = keyed.sparkSession.sparkContext.broadcast(np.packbits(counts > most).tobytes())
     head = id_field(keyed, "doc_id")
     long, int_ = T.StructField("k", T.LongType()), lambda x: T.StructField(x, T.IntegerType())
     first = T.StructType([T.StructField("key", T.LongType()), head, long, int_("start"), int_("n"), T.StructField("nodes", T.BinaryType())])
-    found = keyed.mapInArrow(_suffixes(width, first), first)
+    found = keyed.mapInArrow(_suffixes(width, first, large), first)
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = found.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "k", "start")
     return found.mapInArrow(_met_before(last := T.StructType([head, long, int_("start"), int_("n")])), last)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, with_text: bool = False, group_windows: int = 1 << 22) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, and with_text the kept words as text."""
     keyed, some = _keyed(docs, id_col, text_col)
-    ranges = repeats(keyed.dropDuplicates(["doc_id", "k"]) if some else keyed, width).groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    ranges = repeats(keyed.dropDuplicates(["doc_id", "k"]) if some else keyed, width, group_windows).groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     head = id_field(keyed, "doc_id")
     packed = T.StructType([head, T.StructField("k", T.LongType()), T.StructField("size", T.LongType()), T.StructField("z", T.BinaryType())])
     d = keyed.mapInArrow(_packed(packed), packed)
