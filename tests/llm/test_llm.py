@@ -96,7 +96,10 @@ def test_bpe_matches_library(docs, empty, odd):
     for d, x in corpus():
         ids = t.encode(x or "", add_special_tokens=False).ids
         want[d] = (len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(t.decode(ids, skip_special_tokens=False)))
-    assert table(bpe.digests(docs, queries.word_bpe())) == want
+    got = {r.doc_id: r for r in bpe.digests(docs, queries.word_bpe()).collect()}
+    assert {d: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for d, r in got.items()} == want
+    mine = bpe.tokenizer(queries.word_bpe())
+    assert all(got[d].text_sha256 == brute.sha("".join(mine.text(mine.encode(x or "")))) for d, x in corpus())
     assert bpe.digests(empty, queries.word_bpe()).count() == 0 and bpe.digests(odd, queries.word_bpe()).count() == 5
 
 
@@ -110,6 +113,14 @@ def test_bpe_streams():
         s = "".join(r.choice(letters) for _ in range(r.randint(0, 80))) + "<|endoftext|>" * (k % 5 == 0) + "".join(r.choice("theinganorst") for _ in range(2000 * (k % 30 == 0)))
         ids = lib.encode(s, add_special_tokens=False).ids
         assert mine.encode(s) == ids and mine.decode(ids) == lib.decode(ids, skip_special_tokens=False)
+    ids = mine.encode("Hello wörld 日本 <|endoftext|> " * 9)
+    for cut in (1, 2, 3, 7, 100):
+        d = bpe.Decoder(mine)
+        parts = [d.feed(ids[a : a + cut]) for a in range(0, len(ids), cut)]
+        assert "".join(x for x, _ in parts) == lib.decode(ids, skip_special_tokens=False)
+        assert "".join(x for _, x in parts) + d.end() == "".join(mine.text(ids)) == "hello wörld 日本 <|endoftext|>" * 9
+    long = "naïve über-long ünïcode. " * 20_000
+    assert mine.encode(long) == lib.encode(long, add_special_tokens=False).ids and max(map(len, mine.chunks(long))) < 2 * bpe.CHUNK
     word = ["a"] * 20_000
     stream = mine.merges.stream(iter(word))
     first = next(stream)

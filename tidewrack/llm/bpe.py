@@ -10,11 +10,15 @@ merge list's sufficient lookahead. A token is emitted once all those prefixes'
 chains pass through it, so a word of any length takes bounded memory.
 
 Decoding is incremental too: tokens become bytes, and bytes become text as soon
-as they complete a character.
+as they complete a character. The library's own decoding of a file without a
+decoder, the names of the tokens, comes out of the same machine. Memory doesn't
+grow with a text but for the text itself: ids are handed on in chunks, and what
+is remembered of words, pairs and prefixes is bounded.
 
 Defined results: a null or empty text has no tokens; whole texts are encoded
 whatever their length. Special tokens in a text become their ids, as the
-tokenizer file says; lone surrogates count as U+FFFD.
+tokenizer file says; lone surrogates count as U+FFFD. Rows are encoded each by
+itself, also those with a null or repeated id.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +37,9 @@ from pyspark.sql import types as T
 from .batches import map_texts
 
 END = "\ue000"  # stands for the word-end mark; byte-level text never has it
-WORDS_KEPT = 800_000
+WORDS_KEPT, PAIRS_KEPT, PREFIXES_KEPT = 300_000, 400_000, 400_000
+#: Ids handed on at once, and the characters from which a text's words aren't listed.
+CHUNK, LONG = 4096, 1 << 18
 _LOADED: dict[str, Tokenizer] = {}
 
 
@@ -56,6 +63,7 @@ class Merges:
         self.one_way = len(self.parts) == len(self.rank)
         self._pairs: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
+        self._lasts: dict[str, str] = {}
 
     def direct(self, symbols: list[str]) -> list[str]:
         """Encode by applying the lowest-ranked merge again and again: the definition, used on tokens and pairs only."""
@@ -87,7 +95,7 @@ class Merges:
         """Whether two tokens side by side are the encoding of their text."""
         got = self._pairs.get((left, right))
         if got is None:
-            if len(self._pairs) > WORDS_KEPT:
+            if len(self._pairs) > PAIRS_KEPT:
                 self._pairs.clear()
             got = self._apart(left, right) if self.one_way else self.direct(_symbols(left) + _symbols(right)) == [left, right]
             self._pairs[left, right] = got
@@ -157,28 +165,39 @@ class Merges:
         yield from self._chain(links, end, done)
 
     def short(self, text: str, n: int) -> list[str]:
-        """The same for a word of n symbols within the lookahead: all prefixes stay live, so plain lists do. The last symbol may have a mark."""
-        vocab, pairs, known = self.vocab, self._pairs, self._whole
-        links: list[str] = [""] * (n + 1)
-        ends = [*range(1, n), len(text)]
-        for at, end in enumerate(ends, 1):
-            head = text[:end]
-            for start in range(at):
+        """The same for a word of n symbols within the lookahead: all prefixes stay live. The last symbol may have a mark.
+
+        The right last token of a prefix is the same in every word, so it is
+        remembered: a word is only worked out from its first new prefix on.
+        """
+        vocab, pairs, known, lasts = self.vocab, self._pairs, self._whole, self._lasts
+        if len(lasts) > PREFIXES_KEPT:
+            lasts.clear()
+        at = n - 1
+        while at and text[:at] not in lasts:
+            at -= 1
+        for at in range(at + 1, n + 1):
+            head = text[:at] if at < n else text
+            # One start is right. Most often the last token grows by the new symbol, or that stands alone.
+            before = at - 1 - len(lasts[text[: at - 1]]) if at > 1 else 0
+            for start in (before, at - 1, *range(at)):
                 token = head[start:]
                 if token in vocab and (known[token] if token in known else self.whole(token)):
                     if not start:
                         break
-                    pair = (links[start], token)
+                    pair = (lasts[head[:start]], token)
                     if pairs[pair] if pair in pairs else self.fits(*pair):
                         break
             else:
                 raise ValueError("no symbol of the vocabulary fits")
-            links[at] = token
-        out, at = [], n
+            if at < n:
+                lasts[head] = token
+        out = [token]
+        at = n - len(token) + (token[-1] == END)
         while at:
-            token = links[at]
+            token = lasts[text[:at]]
             out.append(token)
-            at -= len(token) - (token[-1] == END)
+            at -= len(token)
         return out[::-1]
 
     def _meet(self, links: dict[int, str | None], live: list[int], done: int) -> int:
@@ -226,6 +245,10 @@ class Tokenizer:
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.bytes = byte_alphabet()
         self.unbytes = {c: b for b, c in self.bytes.items()}
+        ends = lambda t: bool(self.suffix) and t.endswith(self.suffix)
+        self.special_ids = frozenset(special.values())
+        #: What each token's name says; a word end is a space.
+        self.token_bytes = {i: bytes(self.unbytes[c] for c in (t[: -len(self.suffix)] if ends(t) else t)) + b" " * ends(t) for i, t in self.names.items() if i not in self.special_ids}
         self._words = _Words(self)
 
     def normalize(self, text: str) -> str:
@@ -243,7 +266,8 @@ class Tokenizer:
         tokens = self.merges.short("".join(symbols), len(symbols)) if len(symbols) <= self.merges.lookahead else self.merges.stream(symbols)
         return [self.vocab[t] for t in tokens]
 
-    def encode(self, text: str) -> list[int]:
+    def chunks(self, text: str) -> Iterator[list[int]]:
+        """Ids of a text in lists of about CHUNK, as soon as they are known."""
         out: list[int] = []
         if not text.isascii():
             text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
@@ -252,10 +276,20 @@ class Tokenizer:
         for part in parts:
             if part in self.special:
                 out.append(self.special[part])
-            else:
-                for w in self.pretoken.findall(self.normalize(part)):
-                    out += words[w]
-        return out
+                continue
+            part = self.normalize(part)
+            # A short text's words fit in a list; those of a long one come one by one.
+            found = self.pretoken.findall(part) if len(part) <= LONG else (m[0] for m in self.pretoken.finditer(part))
+            for w in found:
+                out += words[w]
+                if len(out) >= CHUNK:
+                    yield out
+                    out = []
+        if out:
+            yield out
+
+    def encode(self, text: str) -> list[int]:
+        return [i for ids in self.chunks(text) for i in ids]
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the tokenizers library does for a file without a decoder: the tokens' names, joined by spaces."""
@@ -263,19 +297,44 @@ class Tokenizer:
 
     def text(self, ids: Iterable[int]) -> Iterator[str]:
         """Pieces of text as soon as their bytes are complete; a word end becomes a space, bad bytes U+FFFD."""
-        state = codecs.getincrementaldecoder("utf-8")("replace")
+        decoder = Decoder(self)
+        ids = iter(ids)
+        while some := list(islice(ids, CHUNK)):
+            yield decoder.feed(some)[1]
+        yield decoder.end()
+
+
+class Decoder:
+    """The incremental decoder: tokens in, at any cut, and out both what the library calls decoded and the text that their bytes say.
+
+    Its state is whether a token came before and at most three bytes of an
+    unfinished character. A word end becomes a space, bad bytes U+FFFD; a
+    special token ends what is unfinished and stands for its name.
+    """
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.names, self.bytes, self.special = tokenizer.names, tokenizer.token_bytes, tokenizer.special_ids
+        self.state = codecs.getincrementaldecoder("utf-8")("replace")
+        self.joint = ""
+
+    def feed(self, ids: list[int]) -> tuple[str, str]:
+        if not ids:
+            return "", ""
+        names = self.joint + " ".join(map(self.names.__getitem__, ids))
+        self.joint = " "
+        if self.special.isdisjoint(ids):
+            return names, self.state.decode(b"".join(map(self.bytes.__getitem__, ids)))
+        out = []
         for i in ids:
-            name = self.names[i]
-            if name in self.special:
-                yield state.decode(b"", True) + name
-                state.reset()
-                continue
-            ends = self.suffix and name.endswith(self.suffix)
-            piece = state.decode(bytes(self.unbytes[c] for c in (name[: -len(self.suffix)] if ends else name)))
-            if piece or ends:
-                yield piece + " " * bool(ends)
-        if tail := state.decode(b"", True):
-            yield tail
+            if i in self.special:
+                out += [self.state.decode(b"", True), self.names[i]]
+                self.state.reset()
+            else:
+                out.append(self.state.decode(self.bytes[i]))
+        return names, "".join(out)
+
+    def end(self) -> str:
+        return self.state.decode(b"", True)
 
 
 class _Words(dict):
@@ -323,23 +382,33 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids and of the decoded text; with_ids also the ids."""
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])]
+    """doc_id, n_tokens, SHA-256 of the ids, of what they decode to as the library says it, and of the text that their bytes say; with_ids also the ids.
+
+    A text streams through: each chunk of ids is decoded and digested, and then forgotten.
+    """
+    fields = [T.StructField("n_tokens", T.LongType()), *(T.StructField(x, T.StringType()) for x in ("ids_sha256", "decoded_sha256", "text_sha256")), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])]
 
     def make():
         t = tokenizer(path)
         numbers = {i: str(i) for i in t.names}
 
         def f(texts: list[str]) -> list[list]:
-            n, a, b, every = [], [], [], []
+            out: list[list] = [[] for _ in fields]
             for text in texts:
-                ids = t.encode(text)
-                n.append(len(ids))
-                if with_ids:
-                    every.append(ids)
-                a.append(hashlib.sha256(" ".join(map(numbers.__getitem__, ids)).encode()).hexdigest())
-                b.append(hashlib.sha256(t.decode(ids).encode("utf-8")).hexdigest())
-            return [n, a, b, every] if with_ids else [n, a, b]
+                n, every, decoder = 0, [], Decoder(t)
+                of_ids, of_names, of_text = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+                for ids in t.chunks(text):
+                    of_ids.update((" " * (n > 0) + " ".join(map(numbers.__getitem__, ids))).encode())
+                    names, said = decoder.feed(ids)
+                    of_names.update(names.encode("utf-8"))
+                    of_text.update(said.encode("utf-8"))
+                    n += len(ids)
+                    if with_ids:
+                        every += ids
+                of_text.update(decoder.end().encode("utf-8"))
+                for column, x in zip(out, (n, of_ids.hexdigest(), of_names.hexdigest(), of_text.hexdigest(), every), strict=False):
+                    column.append(x)
+            return out
 
         return f
 
