@@ -187,7 +187,7 @@ def test_decontamination(spark, docs, empty, odd):
     assert decontamination.scan(empty, bench).count() == 0 and decontamination.clean(odd, bench).count() == 5 and decontamination.scan(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_quality_model(spark, docs, empty):
+def test_quality_model(spark, docs, empty, odd):
     r = random.Random(1)
     rows = [(i, prose(r, r.randint(30, 200)) if i % 3 else " ".join(w + "###" for w in prose(r, 80).split())) for i in range(400)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -199,10 +199,14 @@ def test_quality_model(spark, docs, empty):
     assert len(edge) == len(corpus()) and all(0 <= s[0] <= 1 for s in edge.values()) and edge[85] == edge[87]
     assert set(table(quality_model.score(docs, quality_model.train(docs, labels.limit(0)))).values()) == {(0.5,)}
     assert quality_model.score(empty, model).count() == 0
+    assert quality_model.score(odd, model).count() == 5
+    again = quality_model.train(d.union(d).union(d), labels, max_rows=50)
+    assert sum(r[0] >= 0.7 for r in table(quality_model.score(d, again)).values()) > 200
+    assert table(quality_model.score(d.repartition(7), quality_model.train(d.repartition(5), labels.repartition(3)))) == table(quality_model.score(d, quality_model.train(d, labels)))
     assert zlib.crc32(b"17") % 4 == spark.range(17, 18).select(F.crc32(F.col("id").cast("string").cast("binary")) % 4).first()[0]
 
 
-def test_language_id(spark, docs, empty):
+def test_language_id(spark, docs, empty, odd):
     r = random.Random(2)
     kinds = {"aa": "abc", "bb": "xyz", "cc": "éöß"}
     rows = [(i, "".join(r.choice(v + " ") for _ in range(200)), k) for i, (k, v) in enumerate(list(kinds.items()) * 20)]
@@ -212,6 +216,31 @@ def test_language_id(spark, docs, empty):
     assert all(0 <= s <= 1 for _, s in got.values())
     assert language_id.predict(empty, F.lit(True)).count() == 0
     assert {x[0] for x in table(language_id.predict(docs, F.lit(False))).values()} == {"und"}
+    assert sorted(r.lang_pred == "und" for r in language_id.predict(odd, F.lit(True)).collect()) == [False] * 4 + [True]
+    many = spark.createDataFrame([(i, chr(0x4E00 + i % 300) * 40, f"l{i % 300:03}") for i in range(600)], "doc_id bigint, text string, lang string")
+    got = table(language_id.predict(many, F.lit(True)))
+    assert all(got[i][0] == f"l{i % 300:03}" for i in range(600))
+
+
+def test_bundles_by_the_definition(monkeypatch):
+    texts = ["", "Ab c", "é1é" * 5, "x" * 50, "..", "abc" * 30]
+
+    def plain(text):
+        t, out = "\0\0" + "".join(c if c.isalpha() else "\0" for c in text.lower()) + "\0\0", np.zeros(64)
+        vector = lambda c: language_id.letter_vector(ord(c), 64, 7).astype(int)
+        for a, b, c in zip(t, t[1:], t[2:], strict=False):
+            if a + b + c != "\0\0\0":
+                out += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+        return out
+
+    want = np.stack([plain(t) for t in texts])
+    for stretch, part in ((1 << 19, 1 << 13), (7, 3)):
+        monkeypatch.setattr(language_id, "STRETCH", stretch)
+        monkeypatch.setattr(language_id, "PART", part)
+        assert np.array_equal(language_id.bundles(texts, 64, 7), want)
+    r = np.random.default_rng(1)
+    long = "".join(map(chr, r.integers(0x4E00, 0x9FA5, 300_000)))
+    assert language_id.bundles([long], 512, 7).any()
 
 
 def test_secrets(docs, empty, odd):

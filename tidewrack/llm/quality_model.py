@@ -6,11 +6,14 @@ table. Then the pairs with most left to explain get tables of their own in the
 same way. Scoring looks up bins and adds, for many documents at once.
 
 The model is fitted on the driver from the features of at most max_rows
-labelled rows, those with the least hash of their id; every document is scored
-on its whole text. Defined results: a null or empty text has the features of no
-words and is scored as such. Labels that are null or whose document is missing
-are not learnt from; a document with several labels counts once for each.
-Without labels every score is 0.5, and with one class it is near that class.
+labelled rows, those with the least hash of their id and text; every document is
+scored on its whole text, a very long one too. Defined results: a null or empty
+text has the features of no words and is scored as such. Labels that are null or
+whose document is missing are not learnt from; a document with several labels
+counts once for each, and so does each document of a repeated id. Rows with a
+null or repeated id are scored each by itself, and have no say in the scores of
+others; equal texts have equal scores. Without labels every score is 0.5, and
+with one class it is near that class. Of equally good cuts the first is made.
 """
 
 from __future__ import annotations
@@ -175,11 +178,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most max_rows labelled rows, whose features (16 numbers each) come to the driver."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id").select(F.struct("_id", "_y").alias("doc_id"), "text")
-    flat = rows.select(F.concat_ws("\t", F.col("doc_id")["_id"].cast("string"), F.col("doc_id")["_y"].cast("string")).alias("doc_id"), "text")
-    got = map_texts(flat, "doc_id", "text", lambda: lambda texts: [features(texts).tolist()], _FEATURES).collect()
-    got.sort(key=lambda r: r["doc_id"])
-    y = np.array([float(r["doc_id"].rsplit("\t", 1)[1]) for r in got])
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
+    # Documents of repeated ids can make them more again.
+    row = F.struct(F.xxhash64("_id", "text").alias("h"), F.col("_id").cast("string").alias("i"), "_y")
+    rows = map_texts(rows.select(row.alias("_row"), "text"), "_row", "text", lambda: lambda texts: [features(texts).tolist()], _FEATURES)
+    got = rows.orderBy("doc_id", "x").limit(max_rows).collect()
+    y = np.array([r["doc_id"]["_y"] for r in got])
     return Model().fit(np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), y)
 
 
