@@ -355,8 +355,9 @@ def train(docs: DataFrame, text_col: str = "text", shard_bytes: int = 16 << 20)
     n = max(4, -(-size // shard_bytes))
     texts = docs.select(F.col(text_col).alias("text"))
     shards = spark.sparkContext.broadcast(Shards.of(n, histogram.total(texts.mapInArrow(_first_words, histogram.SCHEMA))))
-    words = texts.mapInArrow(_count(shards), _COUNTED).repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_bigrams(folder, shards), _BY_WORD)
-    stats = words.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_unigrams(folder), "stats array<bigint>")
+    # A task has one shard; by hash of the shard, some would have several.
+    words = texts.mapInArrow(_count(shards), _COUNTED).repartitionById(n, "shard").sortWithinPartitions("shard").mapInArrow(_bigrams(folder, shards), _BY_WORD)
+    stats = words.repartitionById(n, "shard").sortWithinPartitions("shard").mapInArrow(_unigrams(folder), "stats array<bigint>")
     sums = {r["kind"]: r for r in stats.groupBy(F.col("stats")[0].alias("kind")).agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(1, 8)]).collect()}
     total = lambda kind, i: sums[kind][f"s{i}"] if kind in sums else 0
     return Model(folder, shards, [total(0, i) for i in range(1, 5)], [total(1, i) for i in range(1, 5)], total(1, 5), total(1, 6), total(1, 7))
