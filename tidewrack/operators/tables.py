@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +32,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], defaults: dict[str,
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
-    """Old rows, and new rows with keys that aren't there, one for each."""
-    rows = first_by(new, keys, order or keys) if order else new.dropDuplicates(keys)
+    """Old rows, and new rows with keys that aren't there, one for each: the first in order, then by its other columns."""
+    rest = [F.col(c) for c in new.columns if c not in keys and dict(new.dtypes)[c] != "variant" and not dict(new.dtypes)[c].startswith("map")]
+    rows = first_by(new, keys, [*(order or []), *rest] or keys)
     return old.unionByName(rows.join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
@@ -67,37 +69,47 @@ def work_queue(df: DataFrame, stamp_column: str, order: list, limit: int) -> Dat
 
 
 class Store:
-    """Tables under a folder, as numbered snapshots. A snapshot is seen once its CURRENT file names it, so a failed write changes nothing."""
+    """Tables under a folder, as numbered snapshots.
+
+    A snapshot is written to a folder of its own and counts once a small file
+    with its number names that folder; the highest number is current. Such files
+    are only ever added, each by one create that fails if the number is taken,
+    so a writer that stops anywhere leaves the last snapshot as it was, and of
+    two writers at once the later fails.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self, name: str):
-        jvm, path = self.spark._jvm, f"{self.folder}/{name}/CURRENT"
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p, jvm
+    def _commits(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/commits")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def version(self, name: str) -> int:
-        fs, p, _ = self._pointer(name)
-        return int(self.spark.read.text(p.toString()).first()[0]) if fs.exists(p) else 0
+        fs, path = self._commits(name)
+        found = [x.getPath().getName() for x in fs.listStatus(path) if x.getLen()] if fs.exists(path) else []
+        return max([0, *(int(x) for x in found if x.isdigit())])
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}/v{self.version(name)}")
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        at = version or self.version(name)
+        if not at:
+            raise ValueError(f"{name} has no snapshot")
+        folder = self.spark.read.text(f"{self._commits(name)[1].toString()}/{at}").first()[0]
+        return self.spark.read.parquet(f"{self.folder}/{name}/{folder}")
 
     def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> int:
         v = self.version(name) + 1
-        w = df.write.mode("overwrite")
-        (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{self.folder}/{name}/v{v}")
-        fs, p, jvm = self._pointer(name)
-        part = jvm.org.apache.hadoop.fs.Path(f"{p.toString()}.{v}")
-        out = fs.create(part, True)
-        out.write(bytearray(str(v).encode()))
-        out.close()
-        fs.delete(p, False)
-        if not fs.rename(part, p):
-            raise OSError(f"{p.toString()} can't be replaced")
+        folder = f"v{v}-{uuid.uuid4().hex}"
+        (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(f"{self.folder}/{name}/{folder}")
+        self._commit(name, v, folder)
         return v
 
+    def _commit(self, name: str, v: int, folder: str) -> None:
+        fs, path = self._commits(name)
+        out = fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(path, str(v)), False)
+        out.write(bytearray(folder.encode()))
+        out.close()
+
     def apply(self, name: str, change, dry: bool = False) -> DataFrame:
         """change is a function of the table; with dry its result is returned and nothing written."""
         new = change(self.read(name))
