@@ -56,7 +56,8 @@ def looks_like_article(url: Column, website: Column) -> Column:
     """On the website's own origin, with a path that is no listing or file and ends in words."""
     path = F.coalesce(empty_to_null(F.regexp_extract(trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)), F.lit("/"))
     last = F.regexp_extract(path, "([^/]*)/*$", 1)
+    # Parts of a path that mark listings, and endings of files.
     listing = r"(?i)/(category|tag|tags|author|page|topics?|section|feed|wp-|search)\b"
-    media = r"(?i)\.(jpe?g|png|gif|webp|svg|pdf|mp4|mp3|xml|css|js|zip)$"
+    media = r"(?i)\.(jpg|jpeg|png|webp|gif|pdf|xml)$"
     ok = (origin(url) == origin(website)) & (F.length(path) >= 6) & ~path.rlike(listing) & ~path.rlike(media) & last.rlike("(?i)[a-z]{4}")
     return F.coalesce(ok, F.lit(False))

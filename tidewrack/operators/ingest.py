@@ -54,5 +54,5 @@ def subscribe(subscribers: DataFrame, requests: DataFrame) -> DataFrame:
     """Sign-ups with a valid address that isn't there yet; a repeated one is no error."""
     from ..sources.config import valid_email
 
-    ok = requests.where(valid_email(F.col("email"))).withColumn("email", F.lower(F.trim("email")))
+    ok = requests.withColumn("email", F.lower(F.trim("email"))).where(valid_email(F.col("email")))
     return insert_ignore(subscribers, ok, ["email"], ["created_at", "source"])

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import names as N
+from ..functions import vocab
 from ..functions.classify import is_blocklisted
 from .tables import first_by, insert_ignore
 
@@ -40,7 +42,7 @@ def company_keys(companies: DataFrame, aliases: DataFrame) -> tuple[DataFrame, D
 
 def match_companies(tags: DataFrame, exact: DataFrame, normed: DataFrame) -> DataFrame:
     """lo, id, reason for the tags (lo, tag) that match: exact, normalized, prefix or fuzzy:<score>."""
-    t = tags.select("lo", "tag").dropDuplicates(["lo"]).withColumn("key", N.norm_company(F.col("tag")))
+    t = tags.groupBy("lo").agg(F.min("tag").alias("tag")).withColumn("key", N.norm_company(F.col("tag")))
     row = lambda stage, score, reason: ("lo", "id", F.lit(stage).alias("stage"), score.cast("double").alias("score"), "part", "ord", reason.alias("reason"))
     s1 = t.join(exact, "lo").withColumns({"part": F.lit(0), "ord": F.lit(0)}).select(*row(1, F.lit(0), F.lit("exact")))
     same = t.where(N.norm_key_ok(F.col("tag"), F.col("key"))).join(normed, "key").withColumn("d", N.dice(F.col("lo"), F.lower("name")))
@@ -62,7 +64,7 @@ def match_companies(tags: DataFrame, exact: DataFrame, normed: DataFrame) -> Dat
 
 def match_products(tags: DataFrame, products: DataFrame) -> DataFrame:
     """lo, id, reason by name, then by name without spaces and signs. products: ord, id, name."""
-    t = tags.select("lo", "tag").dropDuplicates(["lo"]).withColumn("key", N.norm_product(F.col("tag")))
+    t = tags.groupBy("lo").agg(F.min("tag").alias("tag")).withColumn("key", N.norm_product(F.col("tag")))
     row = lambda stage, reason: ("lo", "id", F.lit(stage).alias("stage"), "ord", F.lit(reason).alias("reason"))
     exact = t.join(products.withColumn("lo", F.lower("name")), "lo").select(*row(1, "exact"))
     keys = products.withColumn("key", N.norm_product(F.col("name"))).where("key IS NOT NULL")
@@ -103,29 +105,31 @@ def gate_input(found: DataFrame, decisions: DataFrame, most: int = 40, titles: i
     return per.orderBy("at", "lo").limit(most).select("lo", "tag", "seen_in", "urls", "at")
 
 
-def unique_slugs(rows: DataFrame, taken: DataFrame, name: str = "name", order: list[str] | None = None, rounds: int = 20) -> DataFrame:
+def unique_slugs(rows: DataFrame, taken: DataFrame, name: str = "name", order: list[str] | None = None) -> DataFrame:
     """rows with a slug each: the base, or base-2, base-3 and so on where it is taken. taken: slug.
 
-    Each round gives every open row the next free number of its base, and keeps those that nobody else has.
+    The first row of a base gets it unless it is taken. The others get the free
+    numbers from 2 on in order; a number is not free if the slug with it is
+    taken or some row's base. Slugs with numbers can't meet those of another
+    base, so one window by base does, whatever is taken, and no row is left out.
+    Equal rows get a slug each.
     """
-    from pyspark.sql.window import Window
-
     order = order or [name]
-    open_rows = rows.withColumn("_base", N.slugify(F.col(name))).withColumn("_id", F.sha2(F.to_json(F.struct(*rows.columns)), 256))
-    used, done = taken.select(F.col("slug")).distinct(), None
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(*order, "_id"))
-    open_rows = open_rows.withColumn("_n", n)
-    for _ in range(rounds):
-        tried = open_rows.withColumn("slug", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), F.col("_n").cast("string"))))
-        first = F.row_number().over(Window.partitionBy("slug").orderBy(F.length("_base").desc(), *order, "_id"))
-        tried = tried.withColumn("_first", first).join(used.withColumn("_used", F.lit(True)), "slug", "left")
-        good = tried.where("_first = 1 AND _used IS NULL").select(*rows.columns, "slug")
-        done = good if done is None else done.unionByName(good)
-        used = used.unionByName(good.select("slug"))
-        open_rows = tried.where("_first > 1 OR _used").select(*rows.columns, "_base", "_id", (F.col("_n") + 1).alias("_n"))
-        if open_rows.isEmpty():
-            break
-    return done
+    based = rows.withColumn("_base", N.slugify(F.col(name))).withColumn("_id", F.sha2(F.to_json(F.struct(*rows.columns)), 256))
+    place = based.withColumn("_n", F.row_number().over(Window.partitionBy("_base").orderBy(*order, "_id")))
+    held = taken.select(F.col("slug")).where("slug IS NOT NULL").distinct()
+    # Whether a base itself is taken shifts all its rows by one.
+    place = place.join(held.select(F.col("slug").alias("_base"), F.lit(1).alias("_held")), "_base", "left").withColumn("_i", F.col("_n") - 1 + F.coalesce("_held", F.lit(0)))
+    used = held.unionByName(place.select(F.col("_base").alias("slug"))).distinct()
+    numbered = used.select(F.regexp_extract("slug", "^(.*)-([2-9]|[1-9][0-9]{1,8})$", 1).alias("_base"), F.regexp_extract("slug", "^(.*)-([2-9]|[1-9][0-9]{1,8})$", 2).alias("_k")).where("_k <> ''")
+    # The j-th number that isn't free, k, stands behind k - 1 - j free ones.
+    blocked = numbered.select("_base", F.col("_k").cast("int").alias("_k")).withColumn("_j", F.row_number().over(Window.partitionBy("_base").orderBy("_k")))
+    events = place.select(*rows.columns, "_base", "_i", F.col("_i").alias("_at"), F.lit(0).alias("_blocked"))
+    events = events.unionByName(blocked.select("_base", (F.col("_k") - 1 - F.col("_j")).alias("_at"), F.lit(1).alias("_blocked")), allowMissingColumns=True)
+    before = F.coalesce(F.sum("_blocked").over(Window.partitionBy("_base").orderBy("_at", "_blocked").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    done = events.withColumn("_before", before).where("_blocked = 0")
+    slug = F.when(F.col("_i") == 0, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), (F.col("_i") + 1 + F.col("_before")).cast("string")))
+    return done.select(*rows.columns, slug.alias("slug"))
 
 
 def apply_verdicts(queue: DataFrame, verdicts: DataFrame, canonical_matches: DataFrame) -> DataFrame:
@@ -135,12 +139,13 @@ def apply_verdicts(queue: DataFrame, verdicts: DataFrame, canonical_matches: Dat
     (another kind of body, for a table of its own), matched (the canonical name
     is in the catalogue) or created. canonical_matches: name_lc, id, reason.
     """
-    v = verdicts.select(F.col("name_lc").alias("lo"), "ok", "entity_kind", "canonical", "country", "website", "type")
+    more = [c for c in ("category", "maker") if c in verdicts.columns]
+    v = verdicts.select(F.col("name_lc").alias("lo"), "ok", "entity_kind", "canonical", "country", "website", "type", *more)
     m = canonical_matches.select(F.col("name_lc").alias("lo"), F.col("id").alias("m_e"), F.col("reason").alias("m_r"))
     d = queue.join(v, "lo", "left").join(m, "lo", "left")
     outcome = F.when(F.col("ok").isNull(), "undecided").when(~F.col("ok"), "rejected").when(F.coalesce("entity_kind", F.lit("company")) != "company", "side").when(F.col("m_e").isNotNull(), "matched").otherwise("created")
     reason = F.when(outcome == "rejected", "verdict:rejected").when(outcome == "side", F.concat(F.lit("verdict:"), F.col("entity_kind"))).when(outcome == "matched", F.concat(F.lit("verdict-canonical:"), F.col("m_r"))).when(outcome == "created", "verdict:created")
-    return d.select("lo", "tag", "urls", "at", outcome.alias("outcome"), F.when(outcome == "matched", F.col("m_e")).when(outcome == "created", entity_id(F.col("canonical"))).alias("entity_id"), reason.alias("reason"), "entity_kind", "canonical", "country", "website", "type")
+    return d.select("lo", "tag", "urls", "at", outcome.alias("outcome"), F.when(outcome == "matched", F.col("m_e")).when(outcome == "created", entity_id(F.col("canonical"))).alias("entity_id"), reason.alias("reason"), "entity_kind", "canonical", "country", "website", "type", *more)
 
 
 def entity_id(canonical: Column) -> Column:
@@ -156,6 +161,31 @@ def new_companies(outcomes: DataFrame, taken: DataFrame) -> tuple[DataFrame, Dat
     return unique_slugs(rows, taken, "name", ["at"]).drop("at"), aliases
 
 
+def new_products(outcomes: DataFrame, taken: DataFrame, exact: DataFrame, normed: DataFrame, made: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Products to create, one for each canonical name, with slugs; and product_id, company_id, role of their makers.
+
+    outcomes: as of apply_verdicts(), with category and maker too. A category that
+    isn't known counts as none. made: companies (id, name) created just before;
+    a maker of such a name is that company, else makers match the catalogue.
+    """
+    d = outcomes.where("outcome = 'created'").withColumn("canon", F.lower("canonical"))
+    rows = first_by(d, ["canon"], ["at", "lo"])
+    category = F.when(F.col("category").isin(*vocab.PRODUCT_CATEGORIES), F.col("category"))
+    products = rows.select(F.col("entity_id").alias("id"), F.col("canonical").alias("name"), category.alias("category"), F.lit("live").alias("publication_status"), F.lit("low").alias("confidence"), F.col("urls").alias("source_urls"), F.col("maker"), "at")
+    wanted = products.select("id", "maker")
+    if made is None:
+        return unique_slugs(products, taken, "name", ["at"]).drop("at", "maker"), maker_links(wanted, exact, normed)
+    fresh = first_by(made.select(F.lower("name").alias("lo"), F.col("id").alias("company_id")), ["lo"], ["company_id"])
+    direct = wanted.withColumn("lo", F.lower(F.trim("maker"))).join(fresh, "lo").select(F.col("id").alias("product_id"), "company_id", F.lit("manufacturer").alias("role"))
+    rest = wanted.join(direct.select(F.col("product_id").alias("id")), "id", "left_anti")
+    return unique_slugs(products, taken, "name", ["at"]).drop("at", "maker"), direct.unionByName(maker_links(rest, exact, normed))
+
+
+def outcome_counts(decisions: DataFrame) -> DataFrame:
+    """source, decision, n: how names were decided, for a run's report."""
+    return decisions.groupBy("source", "decision").agg(F.count("*").alias("n"))
+
+
 def side_rows(outcomes: DataFrame, kind: str) -> DataFrame:
     """Rows for the table of investors or institutions, the first for each slug."""
     d = outcomes.where((F.col("outcome") == "side") & (F.col("entity_kind") == kind)).withColumn("slug", N.slugify(F.col("canonical")))

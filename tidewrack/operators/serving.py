@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import vocab
 from ..functions.classify import primary_theme, theme_label
 
 
@@ -105,14 +106,52 @@ def sitemap(items: DataFrame, base: str) -> DataFrame:
     return items.agg(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), F.lit(base), F.lit("</loc><lastmod>"), F.coalesce(F.date_format(F.max("published_at"), "yyyy-MM-dd"), F.lit("")), F.lit("</lastmod></url></urlset>")).alias("xml"))
 
 
-def digest_html(sections: DataFrame, period: str = "day", by: list[str] | None = None) -> DataFrame:
-    """Sections of digest() as one HTML text for each recipient: a count, then a heading and links for each theme."""
-    line = F.array_join(F.transform("urls", lambda u: F.concat(F.lit("<li>"), X.escape_html(u), F.lit("</li>"))), "")
-    part = F.concat(F.lit("<h3>"), X.escape_html(F.col("label")), F.lit(" ("), F.col("n").cast("string"), F.lit(")</h3><ul>"), line, F.lit("</ul>"))
+def short_date(c: Column) -> Column:
+    return F.coalesce(F.date_format(c, "d MMM"), F.lit(""))
+
+
+def digest_item() -> Column:
+    """An item of a digest as HTML: image if it has one, source and date, title as a link, summary."""
+    image = F.coalesce(F.concat(F.lit('<img src="'), X.escape_html(X.empty_to_null(F.col("image_url"))), F.lit('">')), F.lit(""))
+    summary = F.coalesce(F.concat(F.lit("<p>"), X.escape_html(X.empty_to_null(F.col("summary"))), F.lit("</p>")), F.lit(""))
+    return F.concat(F.lit("<li>"), image, F.lit("<small>"), X.escape_html(F.col("source")), F.lit(" · "), short_date(F.col("published_at")), F.lit('</small> <a href="'), X.escape_html(F.col("url")), F.lit('">'), X.escape_html(F.col("title")), F.lit("</a>"), summary, F.lit("</li>"))
+
+
+def digest_html(items: DataFrame, period: str = "day", by: list[str] | None = None, site: str = "https://example.org/", unsubscribe: str = "unsubscribe@example.org") -> DataFrame:
+    """Items as one HTML text for each value of by: a count, a section for each theme, what it is filtered by, and a link to leave.
+
+    items: those of for_recipients(), with title, summary, image_url, source, published_at and tags; wanted, if there, is what the recipient chose.
+    """
+    by = by or []
+    wanted = F.col("wanted") if "wanted" in items.columns else F.array().cast("array<string>")
+    d = items.withColumn("_theme", primary_theme(F.col("tags")))
+    place = F.array_position(F.array(*map(F.lit, vocab.THEME_LABELS)), F.col("_theme")).cast("int")
+    row = F.struct(F.col("published_at").isNull().alias("undated"), (-F.coalesce(F.unix_micros(F.col("published_at").cast("timestamp")), F.lit(0))).alias("t"), F.col("url").alias("k"), digest_item().alias("html"))
+    parts = d.groupBy(*by, "_theme", place.alias("_place")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["html"]), "").alias("body"), F.first(F.coalesce(wanted, F.array().cast("array<string>"))).alias("_wanted"))
+    section = F.concat(F.lit("<h3>"), X.escape_html(theme_label(F.col("_theme"))), F.lit(" ("), F.col("n").cast("string"), F.lit(")</h3><ul>"), F.col("body"), F.lit("</ul>"))
     total = F.sum("n")
-    head = F.concat(F.lit("<h1>" + {"day": "Today", "week": "This week"}[period] + ": "), total.cast("string"), F.lit(" item"), F.when(total == 1, "").otherwise("s"), F.lit("</h1>"))
-    rows = sections.select(*(by or []), "n", F.struct("place", part.alias("h")).alias("s"))
-    return rows.groupBy(*(by or [])).agg(F.concat(head, F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["h"]), "")).alias("html"), total.alias("n"))
+    head = F.concat(F.lit("<h1>" + {"day": "Daily digest", "week": "Weekly roundup"}[period] + "</h1><p>"), total.cast("string"), F.lit(" new item"), F.when(total == 1, "").otherwise("s"), F.lit("</p>"))
+    whole = parts.groupBy(*by).agg(head.alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", section.alias("h")))), lambda s: s["h"]), "").alias("sections"), total.alias("n"), F.max("_wanted").alias("wanted"))
+    note = F.when(F.size("wanted") > 0, F.concat(F.lit("<p>Filtered to your topics: "), X.escape_html(F.array_join(F.transform("wanted", lambda x: theme_label(x)), ", ")), F.lit(".</p>"))).otherwise("")
+    mail = F.col("email") if "email" in by else F.lit("")
+    leave = F.concat(F.lit(f'<p><a href="{site}">Open the full feed</a></p><p><a href="mailto:{unsubscribe}?subject='), F.call_function("url_encode", F.concat(F.lit("Unsubscribe "), mail)), F.lit('">Unsubscribe</a></p>'))
+    return whole.select(*by, F.concat("head", "sections", note, leave).alias("html"), "n")
+
+
+def outbox(letters: DataFrame, subject: str, day: dt.date) -> DataFrame:
+    """What a mailer takes: id, email, subject, html, n. The id follows from recipient, day and subject, so a repeated run sends nothing twice."""
+    return letters.where("n > 0").select(F.sha2(F.concat_ws("\n", "email", F.lit(str(day)), F.lit(subject)), 256).alias("id"), "email", F.concat(F.lit(f"{subject} — "), F.col("n").cast("string"), F.lit(" new item"), F.when(F.col("n") == 1, "").otherwise("s")).alias("subject"), "html", "n")
+
+
+def feed_json(items: DataFrame, most: int = 120) -> DataFrame:
+    """One row with the newest items as a JSON array."""
+    rows = items.orderBy(*newest()).limit(most)
+    each = F.struct(F.col("published_at").isNull().alias("u"), (-F.coalesce(F.unix_micros(F.col("published_at").cast("timestamp")), F.lit(0))).alias("t"), "url", F.to_json(F.struct(*items.columns)).alias("j"))
+    return rows.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda r: r["j"]), ","), F.lit("]")).alias("json"))
+
+
+def robots(site: str) -> str:
+    return f"User-agent: *\nAllow: /\nSitemap: {site.rstrip('/')}/sitemap.xml\n"
 
 
 def source_report(items: DataFrame, kept: Column, by: str = "source") -> DataFrame:

@@ -70,26 +70,41 @@ def discover_sitemaps(robots: DataFrame) -> DataFrame:
     return robots.select("website", F.posexplode(F.array_distinct(F.concat(lines, usual))).alias("ord", "url"))
 
 
-def crawl_sitemaps(seeds: DataFrame, sitemaps: DataFrame, since: Column, max_sitemaps: int = 12, max_urls: int = 400, depth: int = 4) -> DataFrame:
+def crawl_sitemaps(seeds: DataFrame, sitemaps: DataFrame, since: Column, max_sitemaps: int = 12, max_urls: int = 400) -> DataFrame:
     """website, loc, lastmod: pages reachable from the seeds (website, url) over landed sitemaps (url, xml), newest first.
 
     An index's children are followed when they have no date or one after since
     less 31 days; pages go only if their date is before since. Both limits hold
-    for each website. Levels are joined one by one, at most depth of them.
+    for each website as a whole: at most max_sitemaps are read, those nearest to
+    the seeds and latest first. A level reads one at least, so levels end by
+    themselves, however deep indexes are nested.
     """
     from pyspark.sql.window import Window
 
     entries = parse_sitemaps(sitemaps)
-    level, seen, pages = seeds.select("website", "url", F.lit(0).alias("level")), None, None
+    level, seen, pages = seeds.select("website", "url", F.lit(None).cast("timestamp").alias("lastmod")), None, None
     rank = lambda d, keys, n: d.withColumn("_r", F.row_number().over(Window.partitionBy("website").orderBy(*keys))).where(F.col("_r") <= n).drop("_r")
-    for k in range(depth):
-        level = rank(level.dropDuplicates(["website", "url"]), ["level", "url"], max_sitemaps)
+    for _ in range(max_sitemaps):
+        level = level.groupBy("website", "url").agg(F.max("lastmod").alias("lastmod"))
+        if seen is not None:
+            read = seen.groupBy("website").agg(F.count("*").alias("_n"))
+            level = level.join(seen.select("website", "url"), ["website", "url"], "left_anti").join(read, "website", "left")
+        else:
+            level = level.withColumn("_n", F.lit(0))
+        at = F.row_number().over(Window.partitionBy("website").orderBy(F.desc_nulls_last("lastmod"), "url"))
+        level = level.withColumn("_r", at).where(F.col("_r") + F.coalesce("_n", F.lit(0)) <= max_sitemaps).select("website", "url")
+        # Few rows, at most max_sitemaps a website; kept, so that levels aren't worked out again.
+        level = level.checkpoint() if level.sparkSession.sparkContext.getCheckpointDir() else level.persist()
+        if level.isEmpty():
+            break
         seen = level if seen is None else seen.unionByName(level)
         here = level.join(entries, "url")
         found = here.where(~F.col("is_index") & (F.col("lastmod").isNull() | (F.col("lastmod") >= since))).select("website", "loc", "lastmod")
         pages = found if pages is None else pages.unionByName(found)
         below = here.where(F.col("is_index") & (F.col("lastmod").isNull() | (F.col("lastmod") >= since - F.expr("INTERVAL 31 DAYS"))))
-        level = below.select("website", F.col("loc").alias("url"), F.lit(k + 1).alias("level")).join(seen.select("website", "url"), ["website", "url"], "left_anti")
+        level = below.select("website", F.col("loc").alias("url"), "lastmod")
+    if pages is None:
+        pages = seeds.select("website", F.col("url").alias("loc"), F.lit(None).cast("timestamp").alias("lastmod")).limit(0)
     pages = pages.groupBy("website", "loc").agg(F.max("lastmod").alias("lastmod"))
     return rank(pages, [F.desc_nulls_last("lastmod"), "loc"], max_urls)
 

@@ -3,26 +3,33 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import urls as U
-from ..operators.ingest import gate, merge, to_rows
-from ..operators.tables import Store, first_by
-from ..sources.feeds import parse_feeds
+from ..operators.ingest import ingest, merge
+from ..operators.tables import Store
 
 FEED_SCHEMA = "source_id int, fetched_at timestamp, xml string"
 
 
-def ingest_stream(spark: SparkSession, landing: str, sources: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None):
-    """A query that merges each new file of feeds into the store's articles. A repeated batch changes nothing but is written again."""
+def ingest_stream(spark: SparkSession, landing: str, sources: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None, now: Callable[[], dt.datetime] | None = None, days: int = 14):
+    """A query that merges each new file of feeds into the store's articles.
+
+    A batch goes through the same steps as ingest(), the age limit too. now gives
+    the time of a batch; by default it is the latest fetched_at in it, so a
+    repeated batch gives the same rows. A batch without new rows writes nothing.
+    """
     feeds = spark.readStream.schema(FEED_SCHEMA).parquet(landing)
 
     def batch(df: DataFrame, _: int) -> None:
-        items = gate(parse_feeds(df), sources).withColumn("url", U.canonical_url(F.col("url")))
-        rows = to_rows(first_by(items, ["url"], ["source_id", "item_ord"]))
-        store.apply("articles", lambda old: merge(old, rows, F.lit(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp")))
+        at = now() if now else df.agg(F.max("fetched_at")).first()[0]
+        if at is None:
+            return
+        rows = ingest(df, sources, at, days)
+        if not rows.isEmpty():
+            store.apply("articles", lambda old: merge(old, rows, F.lit(at).cast("timestamp")))
 
     return feeds.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
