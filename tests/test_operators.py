@@ -1,8 +1,10 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidewrack.functions import text as X
 from tidewrack.operators import enrich, ingest, resolve, serving, tables
 from tidewrack.sources import config, feeds
 from tidewrack.streaming import ingest_stream
@@ -62,6 +64,70 @@ def test_stream(spark, tmp_path):
     assert store.read("articles").count() == 4
 
 
+def test_stream_repeats_nothing(spark, tmp_path):
+    landing, store = str(tmp_path / "landing"), tables.Store(spark, str(tmp_path / "store"))
+    spark.createDataFrame([(1, NOW, "<rss></rss>")], "source_id int, fetched_at timestamp, xml string").write.parquet(landing)
+    store.write("articles", spark.createDataFrame([], "id string, url string, title string, companies array<string>, products array<string>, scraped_at timestamp"))
+    ingest_stream(spark, landing, sources(spark), store, str(tmp_path / "check")).awaitTermination(60)
+    assert store.version("articles") == 1
+
+
+def test_store_survives_a_writer_that_stops(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path / "store"))
+    store.write("t", spark.range(3))
+
+    class Stopped(tables.Store):
+        def _commit(self, name, v, folder):
+            raise OSError("stopped between data and commit")
+
+    with pytest.raises(OSError):
+        Stopped(spark, str(tmp_path / "store")).write("t", spark.range(9))
+    assert store.version("t") == 1 and store.read("t").count() == 3
+    assert store.write("t", spark.range(5)) == 2 and store.read("t").count() == 5 and store.read("t", 1).count() == 3
+    with pytest.raises(Exception, match="FileAlreadyExists|already exists"):
+        store._commit("t", 2, "elsewhere")
+    assert store.apply("t", lambda d: d.where("id > 1"), dry=True).count() == 3 and store.version("t") == 2
+    with pytest.raises(ValueError):
+        store.read("none")
+
+
+def test_unique_slugs_lose_no_row(spark):
+    taken = ["x", *[f"x-{k}" for k in range(2, 52)], "y-3", "z-2", "x-2-2", "w-0", "w-1", "w-02"]
+    names = ["x"] * 3 + ["y"] * 4 + ["z", "z", "w", "w", "v", "v", "v-2", "x-2", "x-2"]
+    rows = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    got = [r.slug for r in resolve.unique_slugs(rows, spark.createDataFrame([(t,) for t in taken], "slug string"), "name", ["id"]).orderBy("id").collect()]
+    assert got == ["x-52", "x-53", "x-54", "y", "y-2", "y-4", "y-5", "z", "z-3", "w", "w-2", "v", "v-3", "v-2", "x-2-3", "x-2-4"]
+    assert resolve.unique_slugs(rows.limit(0), rows.select(F.col("name").alias("slug")), "name", ["id"]).count() == 0
+
+
+def test_created_products_and_their_makers(spark):
+    queue = spark.createDataFrame([("ab 1", "AB 1", ["u"], 1), ("ab1x", "AB1X", [], 2), ("cd 2", "CD 2", [], 3)], "lo string, tag string, urls array<string>, at int")
+    verdicts = spark.createDataFrame([("ab 1", True, None, "AB 1", "UAV", "New Co"), ("ab1x", True, None, "ab 1", "Sensor", None), ("cd 2", True, None, "CD 2", "Toaster", "Tern Works")], "name_lc string, ok boolean, entity_kind string, canonical string, category string, maker string").withColumns({c: F.lit(None).cast("string") for c in ("country", "website", "type")})
+    out = resolve.apply_verdicts(queue, verdicts, spark.createDataFrame([], "name_lc string, id string, reason string"))
+    exact, normed = resolve.company_keys(spark.createDataFrame([(0, "c1", "Tern Works")], "ord int, id string, name string"), spark.createDataFrame([], "ord int, company_id string, alias string"))
+    products, makers = resolve.new_products(out, spark.createDataFrame([("ab-1",)], "slug string"), exact, normed, spark.createDataFrame([("c9", "New Co")], "id string, name string"))
+    by_name = {r.name: r for r in products.collect()}
+    assert {n: (r.slug, r.category) for n, r in by_name.items()} == {"AB 1": ("ab-1-2", "UAV"), "CD 2": ("cd-2", None)}
+    assert {(r.product_id, r.company_id) for r in makers.collect()} == {(by_name["AB 1"].id, "c9"), (by_name["CD 2"].id, "c1")}
+
+
+def test_replies(spark):
+    reply = '```json\n{"companies": ["A  b", 5, "a B", null, {"x": 1}, " ", "C"], "products": "none"}\n```'
+    d = spark.createDataFrame([(reply,), ("no json",), (None,)], "reply string").select(X.names_in_reply(F.col("reply"), "companies").alias("c"), X.names_in_reply(F.col("reply"), "products").alias("p"))
+    assert [(r.c, r.p) for r in d.collect()] == [(["A b", "C"], []), ([], []), ([], [])]
+    row = spark.range(1).select(X.article_text(F.lit("t"), F.lit(""), F.lit(None).cast("string")), X.article_text(F.lit(None).cast("string"), F.lit("s"), F.lit("b" * 20), 5)).first()
+    assert row[0] == "TITLE: t\nARTICLE:\nt" and row[1] == "SUMMARY: s\nARTICLE:\nbbbbb"
+
+
+def test_sitemaps_in_sitemaps(spark):
+    index = lambda n: f"<sitemapindex><sitemap><loc>u{n}</loc></sitemap></sitemapindex>"
+    leaf = "<urlset><url><loc>deep</loc></url></urlset>"
+    maps = spark.createDataFrame([(f"u{k}", index(k + 1)) for k in range(1, 8)] + [("u8", leaf), ("loop", index("loop".replace("u", "")))], "url string, xml string")
+    seeds = spark.createDataFrame([("w", "u1"), ("w", "loop"), ("v", "u9")], "website string, url string")
+    assert [(r.website, r.loc) for r in feeds.crawl_sitemaps(seeds, maps, F.lit(NOW)).collect()] == [("w", "deep")]
+    assert feeds.crawl_sitemaps(seeds, maps, F.lit(NOW), max_sitemaps=5).count() == 0
+
+
 def test_upsert_null_overwrites(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, v string, w string")
     new = spark.createDataFrame([(1, None), (3, "c")], "k int, v string")
@@ -94,8 +160,14 @@ def test_digest(spark):
     wants = [("all", []), ("one", ["contract-intel"]), ("two", ["eu-regulatory", "ukraine"]), ("none", ["maritime"])]
     got = serving.for_recipients(items, spark.createDataFrame(wants, "email string, tags array<string>")).groupBy("email").count().collect()
     assert {r[0]: r[1] for r in got} == {"all": 4, "one": 1, "two": 2}
-    html = serving.digest_html(sections).first().html
-    assert html.startswith("<h1>Today: 4 items</h1><h3>Counter-UAS (1)</h3>")
+    full = items.withColumns({"title": F.concat(F.lit("T<"), "url"), "summary": F.when(F.col("url") == "a", "s & s"), "image_url": F.when(F.col("url") == "b", "https://example.com/i"), "source": F.lit("Wire"), "wanted": F.array(F.lit("ukraine"))})
+    r = serving.digest_html(full).first()
+    assert r.n == 4 and r.html.startswith("<h1>Daily digest</h1><p>4 new items</p><h3>Counter-UAS (1)</h3>") and r.html.endswith('subject=Unsubscribe+">Unsubscribe</a></p>')
+    assert [x in r.html for x in ("T&lt;a</a><p>s &amp; s</p>", '<img src="https://example.com/i"><small>Wire · ', "<small>Wire · </small>", "<p>Filtered to your topics: Ukraine / front line.</p>")] == [True] * 4 and r.html.count("<p>s") == 1
+    letters = serving.digest_html(full.withColumn("email", F.lit("x@example.com")), "week", ["email"])
+    mails = [serving.outbox(letters, "News", dt.date(2025, 6, 9)).first() for _ in range(2)]
+    assert mails[0] == mails[1] and mails[0].subject == "News — 4 new items" and "Weekly roundup" in mails[0].html and "Unsubscribe+x%40example.com" in mails[0].html
+    assert [x["url"] for x in json.loads(serving.feed_json(items, 3).first().json)] == ["a", "b", "d"]
     assert serving.rss(items.withColumns({"title": F.lit("a<b"), "summary": F.lit("s")}), "T", "https://example.com").first()[0].count("<item>") == 4
 
 
