@@ -163,7 +163,7 @@ _PATH = "coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]+(/[^?#]*)', 1)
 
 @query(f"""SELECT page_id FROM pages WHERE lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1)) = lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1))
   AND length({_PATH}) >= 6 AND NOT regexp_matches({_PATH}, '(?i)/(category|tag|tags|author|page|topics?|section|feed|wp-|search)\\b')
-  AND NOT regexp_matches({_PATH}, '(?i)\\.(jpe?g|png|gif|webp|svg|pdf|mp4|mp3|xml|css|js|zip)$') AND regexp_matches(regexp_extract({_PATH}, '([^/]*)/*$', 1), '(?i)[a-z]{{4}}')""")
+  AND NOT regexp_matches({_PATH}, '(?i)\\.(jpg|jpeg|png|webp|gif|pdf|xml)$') AND regexp_matches(regexp_extract({_PATH}, '([^/]*)/*$', 1), '(?i)[a-z]{{4}}')""")
 def article_url_filter(spark, d):
     return t(spark, d, "pages").where(U.looks_like_article(F.col("url"), U.origin(F.col("url")))).select("page_id")
 
@@ -219,7 +219,7 @@ def feed_page(spark, d):
     return serving.feed_page(_events(spark, d), offset=48, order=serving.newest("ts", "event_id")).select("event_id", "ts", "value")
 
 
-@query("SELECT doc_id, title FROM (SELECT doc_id, substring(text, 1, 60) AS title, substring(text, 61, 200) AS summary, n_chars FROM documents) WHERE title ILIKE '%tion th%' OR summary ILIKE '%tion th%' ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 24")
+@query("SELECT doc_id, title FROM (SELECT doc_id, substring(text, 1, 60) AS title, text AS summary, n_chars FROM documents) WHERE title ILIKE '%tion th%' OR summary ILIKE '%tion th%' ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 24")
 def feed_search(spark, d):
     a = t(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.col("text").alias("summary"), "n_chars")
     return serving.feed_page(a, query=" tion th ", order=serving.newest("n_chars", "doc_id")).select("doc_id", "title")
@@ -360,7 +360,7 @@ def name_page(spark, d):
     return enrich.nth_page(t(spark, d, "customer").select("c_custkey", "c_name").withColumns({"name": F.col("c_name"), "id": F.col("c_custkey")}), 50, 100).select("c_custkey", "c_name")
 
 
-@query("SELECT doc_id, text, lang FROM documents WHERE n_chars >= 200 AND n_chars <= 260")
+@query("SELECT doc_id, text, lang FROM documents WHERE length(text) >= 200")
 def usable_bodies(spark, d):
     return t(spark, d, "documents").where(X.usable_body(F.col("text")) != "").select("doc_id", "text", "lang")
 
