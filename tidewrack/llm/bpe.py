@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from .batches import map_texts
 
 END = "\ue000"  # stands for the word-end mark; byte-level text never has it
-WORDS_KEPT, PAIRS_KEPT, PREFIXES_KEPT = 300_000, 400_000, 400_000
+WORDS_KEPT, PAIRS_KEPT, HEADS_KEPT, HEAD = 300_000, 400_000, 100_000, 5
 #: Ids handed on at once, and the characters from which a text's words aren't listed.
 CHUNK, LONG = 4096, 1 << 18
 _LOADED: dict[str, Tokenizer] = {}
@@ -63,7 +63,9 @@ class Merges:
         self.one_way = len(self.parts) == len(self.rank)
         self._pairs: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
-        self._lasts: dict[str, str] = {}
+        self._heads: dict[str, tuple[str, ...]] = {}
+        #: Starts to try for the last token that ends at a place. One is right: most often where the one before begins, or the new symbol alone.
+        self._orders = [[tuple(dict.fromkeys((before, at - 1, *range(at)))) for before in range(at)] for at in range(self.lookahead + 1)]
 
     def direct(self, symbols: list[str]) -> list[str]:
         """Encode by applying the lowest-ranked merge again and again: the definition, used on tokens and pairs only."""
@@ -165,39 +167,40 @@ class Merges:
         yield from self._chain(links, end, done)
 
     def short(self, text: str, n: int) -> list[str]:
-        """The same for a word of n symbols within the lookahead: all prefixes stay live. The last symbol may have a mark.
+        """The same for a word of n symbols within the lookahead: all prefixes stay live, so a list does. The last symbol may have a mark.
 
-        The right last token of a prefix is the same in every word, so it is
-        remembered: a word is only worked out from its first new prefix on.
+        The right last tokens of a prefix are the same in every word that begins
+        with it; those of the first HEAD symbols are remembered.
         """
-        vocab, pairs, known, lasts = self.vocab, self._pairs, self._whole, self._lasts
-        if len(lasts) > PREFIXES_KEPT:
-            lasts.clear()
-        at = n - 1
-        while at and text[:at] not in lasts:
-            at -= 1
-        for at in range(at + 1, n + 1):
+        vocab, pairs, known, orders = self.vocab, self._pairs, self._whole, self._orders
+        links = self._heads.get(text[:HEAD]) if n > HEAD else None
+        at = HEAD if links else 0
+        links = [*links, *[""] * (n - HEAD)] if links else [""] * (n + 1)
+        # Where the last token begins.
+        before = at - len(links[at])
+        while at < n:
+            at += 1
             head = text[:at] if at < n else text
-            # One start is right. Most often the last token grows by the new symbol, or that stands alone.
-            before = at - 1 - len(lasts[text[: at - 1]]) if at > 1 else 0
-            for start in (before, at - 1, *range(at)):
+            for start in orders[at][before]:
                 token = head[start:]
                 if token in vocab and (known[token] if token in known else self.whole(token)):
                     if not start:
                         break
-                    pair = (lasts[head[:start]], token)
+                    pair = (links[start], token)
                     if pairs[pair] if pair in pairs else self.fits(*pair):
                         break
             else:
                 raise ValueError("no symbol of the vocabulary fits")
-            if at < n:
-                lasts[head] = token
-        out = [token]
-        at = n - len(token) + (token[-1] == END)
+            links[at], before = token, start
+            if at == HEAD < n:
+                if len(self._heads) > HEADS_KEPT:
+                    self._heads.clear()
+                self._heads[head] = tuple(links[: HEAD + 1])
+        out = []
         while at:
-            token = lasts[text[:at]]
+            token = links[at]
             out.append(token)
-            at -= len(token)
+            at -= len(token) - (token[-1] == END)
         return out[::-1]
 
     def _meet(self, links: dict[int, str | None], live: list[int], done: int) -> int:
@@ -338,15 +341,22 @@ class Decoder:
 
 
 class _Words(dict):
-    """Ids of words seen, so that a frequent word is encoded once. Emptied when it has WORDS_KEPT words."""
+    """Ids of words seen, so that a frequent word is encoded once.
+
+    With WORDS_KEPT words it becomes the older of two generations, and the one
+    before goes; a word met again in the older one moves to the younger.
+    """
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.older = tokenizer, {}
 
     def __missing__(self, word: str) -> list[int]:
-        ids = self.tokenizer.word(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.tokenizer.word(word)
         if len(self) >= WORDS_KEPT:
+            self.older = dict(self)
             self.clear()
         if len(word) <= 64:
             self[word] = ids
