@@ -1,6 +1,15 @@
 """Operators read whole texts and count all there is."""
 
-from tidewrack.llm import quality_rules, secrets
+import os
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewrack.llm import queries, quality_rules, secrets
+
+TABLES = "/root/testdata/sf0.01"
+needs_tables = pytest.mark.skipif(not os.path.exists(TABLES), reason="needs the test tables")
 
 
 def test_quality_rules_count_common_words_of_every_language(spark):
@@ -30,3 +39,40 @@ def test_secrets_rules_end_soon():
 
     code = "from tidewrack.llm import secrets; secrets.redacted('-' * 60 + 'abcdefghi' + '.')"
     subprocess.run([sys.executable, "-c", code], timeout=20, check=True)
+
+
+@needs_tables
+def test_held_out_quality(spark):
+    labels = spark.read.parquet(f"{TABLES}/labels.parquet").select("doc_id", "quality")
+    got = queries.op4_quality_model(spark, TABLES).cache()
+    for r in got.limit(200).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1
+    rows = got.where("held_out").join(labels, "doc_id").select("predicted", "quality").collect()
+    assert len(rows) > 50 and sum(r.predicted == r.quality for r in rows) >= 0.95 * len(rows)
+    assert got.count() == spark.read.parquet(f"{TABLES}/documents.parquet").count()
+
+
+@needs_tables
+def test_held_out_languages(spark):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    got = queries.op6_language_id(spark, TABLES).cache()
+    rows = got.where("held_out").join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows) and len(rows) > 250
+    letters = [r for r in rows if any(map(str.isalpha, r.text or ""))]
+    assert sum(r.lang_pred == r.lang for r in letters) >= 0.98 * len(letters)
+    assert all((r.lang_pred == "und") == (not any(map(str.isalpha, r.text or ""))) for r in rows) and got.count() == docs.count()
+
+
+@needs_tables
+def test_base_score_of_the_language_model(spark):
+    """The base columns by SQL over all documents."""
+    d = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("t"))
+    words = F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    tokens = d.select("doc_id", F.explode(F.concat(words, F.array(F.lit("\0")))).alias("w"))
+    train = tokens.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)
+    counts = train.groupBy("w").agg(F.count("*").alias("c"))
+    n, v = counts.agg(F.sum("c"), F.count("*")).first()
+    want = tokens.join(counts, "w", "left").groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count("c").alias("n_known"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.1) / (n + 0.1 * (v + 1)))).alias("b"))
+    both = queries.op10_language_model(spark, TABLES).alias("g").join(want.alias("w"), "doc_id")
+    wrong = both.where((F.col("g.n_tokens") != F.col("w.n_tokens")) | (F.col("g.n_known") != F.col("w.n_known")) | (F.abs(F.col("base_score") - F.col("b")) > 1e-6 * F.abs(F.col("b"))) | (F.col("train_tokens") != n) | (F.col("score") > 0))
+    assert both.count() == d.count() and wrong.count() == 0
