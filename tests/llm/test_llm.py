@@ -68,7 +68,7 @@ def test_words_kernel():
 
 
 def test_url_filter(spark):
-    urls = ["http://a.net/x", "http://net", "http://net/", "https://Sub.Example.NET/en/1?q=1", "http://example.net/e", "x", None, "", "http://example.com/de/1", "http://example.com/de", "http://a.org/fr/", "http://borg/fr/", "a://b://c.net/", "http://e.net?x=/en/", "http://a.net/x", "http://xnet/", "://net/"]
+    urls = ["http://a.net/x", "http://net", "http://net/", "https://Sub.Example.NET/en/1?q=1", "http://example.net/e", "x", None, "", "http://example.com/de/1", "http://example.com/de", "http://a.org/fr/", "http://borg/fr/", "a://b://c.net/", "http://e.net?x=/en/", "http://a.net/x", "http://xnet/", "://net/", "http://" + "a." * 20_000 + "net" + "/" * 20_000, "http://x.example.com" + "/de" * 20_000, "http://x.example.com/de/", "http://.net/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumns({c: F.lit(1) for c in CLASHING + ["rule", "host", "path"]})
     rules = spark.createDataFrame(queries.URL_RULES + [("c.net", "/x", "allow"), (None, "/", "block")], "host string, path string, verdict string")
     want = {i: brute.url(u, queries.URL_RULES) for i, u in enumerate(urls)}
@@ -76,6 +76,11 @@ def test_url_filter(spark):
         assert table(url_filter.judge(pages, rules, broadcast_rules=limit)) == want
     twice = pages.where("page_id = 0").select("page_id", "url")
     assert url_filter.judge(twice.union(twice), rules).count() == 2
+    nulls = spark.createDataFrame([(None, "http://a.net/"), (None, "http://a.net/"), (None, None)], "page_id bigint, url string")
+    assert sorted(r.verdict for r in url_filter.judge(nulls, rules).collect()) == ["allow", "block", "block"]
+    # Of equally long rules that with the longer host counts.
+    equal = spark.createDataFrame([("b.net", "/", "allow"), ("net", "/ab", "block"), ("a.b.net", "", "block")], "host string, path string, verdict string")
+    assert table(url_filter.judge(spark.createDataFrame([(1, "http://b.net/ab"), (2, "http://a.b.net/")], "page_id bigint, url string"), equal)) == {1: ("b.net", "/ab", "b.net/", "allow"), 2: ("a.b.net", "/", "a.b.net", "block")}
     assert url_filter.judge(pages.limit(0), rules).count() == 0 and url_filter.judge(pages, rules.limit(0)).where("verdict = 'allow'").count() == len(urls)
 
 

@@ -5,11 +5,13 @@ subdomains where the url's path starts with the rule's path; the longest rule
 wins, of equally long ones that with the longer host. Candidate keys of a url
 are its host suffixes times its path prefixes. They are probed in place
 against the filter, an array of 64-bit blocks made once as a scalar subquery,
-so urls without a possible hit are never exploded or shuffled. The exact join
-then removes false positives.
+so urls without a possible hit are never exploded or shuffled. No key has more
+labels or slashes than the rules have, so a very long url has no more keys than
+others. The exact join then removes false positives.
 
 Defined results: a null url, or one without "://", has empty host and path,
-fits no rule and gets the default verdict. Repeated pages give a row each.
+fits no rule and gets the default verdict. Repeated pages, and those with a null
+or repeated id, give a row each.
 Rules with a null host, path or verdict are ignored; of repeated rules the
 least verdict counts, so "allow" wins over "block". An empty rule list or page
 table works.
@@ -34,15 +36,15 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _suffixes(host: Column) -> Column:
-    """The host and its parent domains, longest first."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _suffixes(host: Column, most: int) -> Column:
+    """The host and its parent domains, longest first, of at most as many labels as a rule has."""
+    labels = F.slice(F.reverse(F.split(host, r"\.")), 1, most)
+    return F.transform(F.reverse(F.sequence(F.lit(1), F.size(labels))), lambda n: F.array_join(F.reverse(F.slice(labels, F.lit(1), n)), "."))
 
 
-def _prefixes(path: Column, lengths: list[int]) -> Column:
-    """Prefixes that end with a slash, the empty one, and those of the other lengths that rules have."""
-    parts = F.split(path, "/")
+def _prefixes(path: Column, slashes: int, lengths: list[int]) -> Column:
+    """Prefixes that end with a slash, of at most as many slashes as a rule has, the empty one, and those of the other lengths that rules have."""
+    parts = F.split(path, "/", slashes + 1)
     slashed = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
     other = [F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]
     return F.array_distinct(F.array_compact(F.concat(slashed, F.array(F.lit(""), *other))))
@@ -79,13 +81,14 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     keyed = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isNotNull())
     keyed = keyed.groupBy(F.concat("host", F.lit("\n"), "path").alias("key")).agg(F.min("verdict").alias("verdict"), F.first("host").alias("_rh"), F.first("path").alias("_rp"))
     ends = F.col("path").endswith("/") | (F.col("path") == "")
-    n_rules = keyed.count()
+    longest = keyed.agg(F.count("*"), F.max(F.size(F.split("_rh", r"\."))), F.max(F.size(F.split("_rp", "/")) - 1)).first()
+    n_rules, labels, slashes = longest[0], longest[1] or 1, longest[2] or 0
     lengths = sorted(r[0] for r in rules.where(~ends).select(F.length("path")).distinct().collect())
     n_blocks = 1
     while n_blocks < max_blocks and n_blocks * BITS < n_rules * bits_per_rule:
         n_blocks *= 2
     p = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    keys = F.flatten(F.transform(_suffixes(F.col("host")), lambda s: F.transform(_prefixes(F.col("path"), lengths), lambda q: F.concat(s, F.lit("\n"), q))))
+    keys = F.flatten(F.transform(_suffixes(F.col("host"), labels), lambda s: F.transform(_prefixes(F.col("path"), slashes, lengths), lambda q: F.concat(s, F.lit("\n"), q))))
     p = p.withColumn("_filter", bloom(keyed, n_blocks).scalar()).withColumn("_keys", keys)
     maybe = F.filter("_keys", lambda k: F.get(F.col("_filter"), _block(F.xxhash64(k), n_blocks)).bitwiseAND(_mask(F.xxhash64(k))) == _mask(F.xxhash64(k)))
     p = p.select("page_id", "host", "path", maybe.alias("_maybe"))
