@@ -60,7 +60,7 @@ SMALL = 64
 HUBS = 16
 #: A sort key holds a document's place in its piece, whether the shingle is frequent, and the shingle.
 PIECE_ROWS, VALUE_BITS = 1 << 14, 49
-_BATCH = 4 << 20
+_BATCH = 1 << 20
 _U = np.uint64
 _VALUE = _U((1 << VALUE_BITS) - 1)
 
@@ -441,7 +441,7 @@ def _linked(width: int, percent: int):
         now, out, held = None, [], 0
         for batch in batches:
             for key, *row in zip(zip(*(batch.column(x).to_pylist() for x in ("label", "i", "j")), strict=True), *(batch.column(x).to_pylist() for x in columns), strict=True):
-                if key != now and (held > _BATCH // 4 or len(out) > 2000):
+                if key != now and (held > _BATCH or len(out) > 2000):
                     yield out
                     out, held = [], 0
                 if key != now:
