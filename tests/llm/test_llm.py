@@ -277,6 +277,12 @@ def test_quality_rules(spark, docs, empty, odd):
     assert got == brute.quality(rows)
     assert quality_rules.judge(empty).count() == 0
     rows = quality_rules.judge(odd).collect()
+    for table in (docs, odd, empty):
+        kept = quality_rules.clean(table)
+        assert kept.schema.names == table.schema.names
+        want = Counter(r.doc_id for r in quality_rules.judge(table).collect() if r.kept)
+        assert Counter(r.doc_id for r in kept.collect()) == want
+        assert kept.exceptAll(table).isEmpty()
     assert len(rows) == 5 and not any(r.kept for r in rows)
     assert quality_rules.judge(docs.withColumn("lang", F.lit(None).cast("string"))).where("class_distance IS NULL").count() == len(corpus())
     other = quality_rules.judge(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "zz").otherwise("en")))

@@ -56,15 +56,16 @@ def _repeated_words(tagged: Column) -> Column:
     return F.coalesce(total, F.lit(0))
 
 
-def base_counts(docs: DataFrame, leads: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per input row: id, lang, the base counts, and counts for both histograms.
+def base_counts(docs: DataFrame, leads: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_row: bool = False) -> DataFrame:
+    """One row per input row: id, lang, the base counts, and counts for both histograms; with_row, also _row, a struct of all input columns.
 
     _words counts the lead words of the document's language; _every, only where
     that has none, those of each language in leads, in the order of their names.
     """
+    row = [F.struct(*docs.columns).alias("_row")] if with_row else []
     every = leads.agg(F.array_sort(F.collect_list(F.struct("lang", "words", F.array_max(F.transform("words", F.octet_length)).alias("longest")))).alias("every"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("_lang"), text.alias("_t"), word_array(F.col(text_col)).alias("_w"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("_lang"), text.alias("_t"), word_array(F.col(text_col)).alias("_w"), *row)
     d = d.withColumn("_leads", every.scalar())
     # Fingerprints of 2 and 4 words. Only a document in which 4 words come twice can have 8 that do.
     d = d.withColumn("_2", _paired("_w", 1)).withColumn("_4", _paired("_2", 2))
@@ -84,6 +85,7 @@ def base_counts(docs: DataFrame, leads: DataFrame, id_col: str = "doc_id", text_
         F.regexp_count("_rare", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _repeated_words(F.col("_h")).cast("long").alias("n_repeat_words"),
+        *(["_row"] if with_row else []),
     )
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
@@ -148,15 +150,10 @@ def _profiles(counts: DataFrame, leads: DataFrame, common_words: int) -> DataFra
     return each.agg(F.array_sort(F.collect_list(F.struct("lang", "w", "c"))).alias("profiles"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common_words: int = 12, min_words: int = 40, max_class_distance: float = 0.28, max_word_distance: float = 0.31) -> DataFrame:
-    """Judge every row. Returns doc_id, the base counts, class_distance, word_distance, base_failed, kept.
-
-    A document of at least min_words words is rejected when either distance to
-    its language's reference exceeds its limit; a distance is null without
-    references (an empty table, or none with a lang).
-    """
+def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, common_words: int, min_words: int, max_class_distance: float, max_word_distance: float, with_row: bool) -> DataFrame:
+    """What base_counts() gives, with class_distance, word_distance and kept."""
     leads = stored(references(docs, text_col, lang_col, common_words), "leads")
-    counts = stored(base_counts(docs, leads, id_col, text_col, lang_col), "counts")
+    counts = stored(base_counts(docs, leads, id_col, text_col, lang_col, with_row), "counts")
     d = counts.withColumn("_profiles", stored(_profiles(counts, leads, common_words), "profiles").scalar()).withColumn("_mine", _scaled(F.col("_chars")))
     far = lambda profile, c: F.struct(_distance(_scaled(c), profile["w"]).alias("w"), _distance(F.col("_mine"), profile["c"]).alias("c"))
     own = F.filter("_profiles", lambda x: x["lang"] == F.col("_lang"))
@@ -164,8 +161,25 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     judged = F.when(F.col("_every").isNotNull(), near).otherwise(F.get(F.transform(own, lambda x: far(x, F.col("_words"))), F.lit(0)))
     d = d.withColumn("_d", F.when(F.col("n_words") >= min_words, judged))
     over = (F.col("_d")["w"] > max_word_distance) | (F.col("_d")["c"] > max_class_distance)
-    return d.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.col("_d")["c"].alias("class_distance"), F.col("_d")["w"].alias("word_distance"), "base_failed",
-        (~F.col("base_failed") & ~F.coalesce(over, F.lit(False))).alias("kept"),
-    )
+    return d.withColumns({"class_distance": F.col("_d")["c"], "word_distance": F.col("_d")["w"], "kept": ~F.col("base_failed") & ~F.coalesce(over, F.lit(False))})
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common_words: int = 12, min_words: int = 40, max_class_distance: float = 0.28, max_word_distance: float = 0.31) -> DataFrame:
+    """Judge every row. Returns doc_id, the base counts, class_distance, word_distance, base_failed, kept.
+
+    A document of at least min_words words is rejected when either distance to
+    its language's reference exceeds its limit; a distance is null without
+    references (an empty table, or none with a lang).
+    """
+    d = _judged(docs, id_col, text_col, lang_col, common_words, min_words, max_class_distance, max_word_distance, False)
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
+
+
+def clean(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common_words: int = 12, min_words: int = 40, max_class_distance: float = 0.28, max_word_distance: float = 0.31) -> DataFrame:
+    """The rows that judge() keeps, with their columns as they were.
+
+    A row travels with its counts, so no verdict has to be joined to its text.
+    No column has to tell rows apart.
+    """
+    d = _judged(docs, docs.columns[0], text_col, lang_col, common_words, min_words, max_class_distance, max_word_distance, True)
+    return d.where("kept").select("_row.*")
