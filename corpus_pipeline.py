@@ -30,8 +30,7 @@ def _kept(keyed: DataFrame, rows: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: rejected documents go."""
-    keyed = _keyed(docs)
-    return _kept(keyed, quality_rules.judge(keyed, id_col="_row").where("kept").select("doc_id")).drop("_row")
+    return quality_rules.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
