@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard_join, language_id, language_model, quality_model, quality_rules, secrets, substring_dedup, url_filter
+from . import bpe, decontamination, jaccard_join, language_id, language_model, periodic_runs, quality_model, quality_rules, secrets, substring_dedup, url_filter
 from .shared import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -68,7 +68,19 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe, op3_substring_dedup, op4_quality_model, op5_decontamination, op6_language_id, op7_secrets, op8_quality_rules, op9_jaccard_join, op10_language_model)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.planted(table(spark, sf_dir, "documents"))
+    found = periodic_runs.find(docs, min_exponent=4, min_length=6)
+    first = F.array_max(F.transform("runs", lambda x: F.struct(x["length"], (-x["start"]).alias("start"), (-x["period"]).alias("period"))))
+    found = found.withColumn("first", first)
+    every = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), F.concat(x["period"].cast("string"), F.lit("\n")))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("first.start")).alias("start"), F.col("first.length").alias("length"), (-F.col("first.period")).alias("period"),
+        F.expr("1000 * first.length div -first.period").alias("exponent_milli"), F.sha2(every, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe, op3_substring_dedup, op4_quality_model, op5_decontamination, op6_language_id, op7_secrets, op8_quality_rules, op9_jaccard_join, op10_language_model, op11_periodic_runs)}
 
 _URL = r"""
 WITH parts AS (
@@ -146,4 +158,30 @@ failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (n_words < 40 OR NOT coalesce(o, false)) AS kept FROM failed
 """
 
-ORACLE_SQL = {"op1_url_filter": _URL, "op3_substring_dedup": _DEDUP, "op5_decontamination": _CONTAMINATED, "op8_quality_rules": _QUALITY, "op9_jaccard_join": _JOIN}
+#: CRC-32 of a decimal number, by the table that its polynomial gives.
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda b: list_reduce([CAST(b AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END)) AS tab)"
+
+
+def _crc32(number: str) -> str:
+    """SQL for the unsigned CRC-32 of a number's digits; a column tab must hold the table."""
+    codes = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: CAST(unicode(x) AS UBIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), {codes}), lambda c, b: xor(tab[CAST((xor(c, b) & 255) + 1 AS BIGINT)], c >> 8)), CAST(4294967295 AS UBIGINT))"
+
+
+_RUNS = f"""
+WITH h AS (SELECT doc_id, CAST({_crc32("doc_id")} AS BIGINT) AS h, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws FROM documents, {_CRC_TABLE}),
+a AS (SELECT *, h // 10 AS g, len(ws) AS n, (h // 10) % greatest(len(ws), 1) AS a FROM h),
+w AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE ws END AS ws FROM a),
+e AS (SELECT doc_id, n, i, ws[i + 1] AS word FROM w, unnest(range(n)) AS u(i)),
+same AS (SELECT x.doc_id, y.i - x.i AS p, x.i FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+numbered AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS s FROM same),
+long AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM numbered GROUP BY doc_id, p, s HAVING count(*) + p >= greatest(6, 4 * p)),
+runs AS (SELECT doc_id, start, length, min(p) AS period FROM long GROUP BY doc_id, start, length),
+best AS (SELECT doc_id, count(*) AS n_runs, min_by(struct_pack(s := start, l := length, p := period), struct_pack(l := -length, s := start, p := period)) AS b, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, i FROM runs, unnest(range(start + period, start + length)) AS u(i)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM e ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.p AS period, 1000 * b.l // b.p AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM w LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL = {"op1_url_filter": _URL, "op3_substring_dedup": _DEDUP, "op5_decontamination": _CONTAMINATED, "op8_quality_rules": _QUALITY, "op9_jaccard_join": _JOIN, "op11_periodic_runs": _RUNS}
