@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontamination, jaccard_join, language_id, language_model, periodic_runs, quality_model, quality_rules, secrets, substring_dedup, url_filter
+from . import bpe, chat_format, collocations, decontamination, jaccard_join, language_id, language_model, periodic_runs, quality_model, quality_rules, secrets, substring_dedup, url_filter
 from .shared import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -87,7 +87,11 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_parts(rows.unionByName(more)))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe, op3_substring_dedup, op4_quality_model, op5_decontamination, op6_language_id, op7_secrets, op8_quality_rules, op9_jaccard_join, op10_language_model, op11_periodic_runs, op12_chat_format)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), max_words=3, least=10, share=50, top=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe, op3_substring_dedup, op4_quality_model, op5_decontamination, op6_language_id, op7_secrets, op8_quality_rules, op9_jaccard_join, op10_language_model, op11_periodic_runs, op12_chat_format, op13_collocations)}
 
 _URL = r"""
 WITH parts AS (
@@ -203,4 +207,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op1_url_filter": _URL, "op3_substring_dedup": _DEDUP, "op5_decontamination": _CONTAMINATED, "op8_quality_rules": _QUALITY, "op9_jaccard_join": _JOIN, "op11_periodic_runs": _RUNS, "op12_chat_format": _CHAT}
+_PHRASES = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d)),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM p, (VALUES (1), (2), (3)) AS s(k), unnest(range(1, len(ws) - k + 2)) AS u(i) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k >= 2 AND f >= 10),
+cuts AS (SELECT c.lang, c.k, c.phrase, a, j, x.f AS l, y.f AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM c, unnest(range(1, c.k)) AS u(j) JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:j], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(ws[j + 1:c.k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (SELECT lang, phrase, max(a) AS over FROM (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) LEFT JOIN longer USING (lang, phrase) WHERE over IS NULL OR 100 * over < 50 * a QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL = {"op1_url_filter": _URL, "op3_substring_dedup": _DEDUP, "op5_decontamination": _CONTAMINATED, "op8_quality_rules": _QUALITY, "op9_jaccard_join": _JOIN, "op11_periodic_runs": _RUNS, "op12_chat_format": _CHAT, "op13_collocations": _PHRASES}
