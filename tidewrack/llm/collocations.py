@@ -39,7 +39,7 @@ from .shared import discard, stored
 from .words import _table, mix, split
 
 MAX_WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2000
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 FILTER_BITS, PARTS = 27, 64
 BREAKS = b".,;:!?" + bytes(range(0x0A, 0x0E))
 COUNTED = "lang string, phrase string, count bigint"
@@ -51,15 +51,19 @@ class Shard:
 
     def __init__(self, texts: pa.Array, langs: pa.Array):
         w = split(texts, lower=True, space=BREAKS + b" \t")
-        breaks = np.cumsum(_table(BREAKS)[w.data], dtype=np.int64)[w.start] if len(w.start) else w.start
+        breaks = np.searchsorted(np.flatnonzero(_table(BREAKS)[w.data]), w.start)
         self.n = len(w.start)
         new = np.ones(self.n, bool)
         new[1:] = (np.diff(breaks) != 0) | (np.diff(w.doc) != 0)
         self.piece = np.cumsum(new)
         size = w.end - w.start
-        at = np.repeat(w.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        # Bytes of words are those between as many starts as ends.
+        step = np.zeros(len(w.data) + 1, np.int8)
+        step[w.start] += 1
+        step[w.end] -= 1
         offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        words = pa.Array.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(offsets), pa.py_buffer(w.data[at])]).dictionary_encode()
+        words = pa.Array.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(offsets), pa.py_buffer(w.data[np.cumsum(step[:-1], dtype=np.int8).view(bool)])]).dictionary_encode()
+        del step
         self.words, self.code = words.dictionary, words.indices.to_numpy().astype(np.int64)
         known = langs.fill_null("und").dictionary_encode()
         self.langs, self.lang = known.dictionary, known.indices.to_numpy().astype(np.int64)[w.doc]
