@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions import text as X
 from tidewrack.operators import enrich, ingest, resolve, serving, tables
+from tidewrack.operators.store import Conflict, Store
 from tidewrack.sources import config, feeds
 from tidewrack.streaming import ingest_stream
 
@@ -45,7 +46,7 @@ def test_ingest_and_upsert(spark, tmp_path):
     assert "eu-regulatory" in got["https://example.org/e"].tags and "region-pl" in got["https://example.org/e"].tags
     old = spark.createDataFrame([], "id string, url string, url_hash string, title string, summary string, tags array<string>, companies array<string>, products array<string>, published_at timestamp, scraped_at timestamp, analyzed_at timestamp")
     keep = rows.select("url", "url_hash", "title", "summary", "tags", "published_at")
-    store = tables.Store(spark, str(tmp_path))
+    store = Store(spark, str(tmp_path))
     store.write("articles", old)
     first = store.apply("articles", lambda o: ingest.merge(o, keep, F.lit(NOW)))
     again = store.apply("articles", lambda o: ingest.merge(o, keep, F.lit(NOW + dt.timedelta(1))))
@@ -58,34 +59,36 @@ def test_ingest_and_upsert(spark, tmp_path):
 def test_stream(spark, tmp_path):
     landing = str(tmp_path / "in")
     landed(spark).withColumn("fetched_at", F.lit(NOW)).select("source_id", "fetched_at", "xml").write.parquet(landing)
-    store = tables.Store(spark, str(tmp_path / "store"))
-    store.write("articles", spark.createDataFrame([], "id string, url string, title string, companies array<string>, products array<string>, scraped_at timestamp"))
+    store = Store(spark, str(tmp_path / "store"))
+    store.write("articles", spark.createDataFrame([], "id string, url string, title string, companies array<string>, products array<string>, scraped_at timestamp"), ["url"], 4)
     ingest_stream(spark, landing, sources(spark), store, str(tmp_path / "check")).awaitTermination(60)
     assert store.read("articles").count() == 4
 
 
 def test_stream_repeats_nothing(spark, tmp_path):
-    landing, store = str(tmp_path / "landing"), tables.Store(spark, str(tmp_path / "store"))
+    landing, store = str(tmp_path / "landing"), Store(spark, str(tmp_path / "store"))
     spark.createDataFrame([(1, NOW, "<rss></rss>")], "source_id int, fetched_at timestamp, xml string").write.parquet(landing)
-    store.write("articles", spark.createDataFrame([], "id string, url string, title string, companies array<string>, products array<string>, scraped_at timestamp"))
+    store.write("articles", spark.createDataFrame([], "id string, url string, title string, companies array<string>, products array<string>, scraped_at timestamp"), ["url"], 4)
     ingest_stream(spark, landing, sources(spark), store, str(tmp_path / "check")).awaitTermination(60)
     assert store.version("articles") == 1
 
 
 def test_store_survives_a_writer_that_stops(spark, tmp_path):
-    store = tables.Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"))
     store.write("t", spark.range(3))
 
-    class Stopped(tables.Store):
-        def _commit(self, name, v, folder):
-            raise OSError("stopped between data and commit")
+    class Stopped(Store):
+        def _publish(self, base, state):
+            raise OSError("stopped between data and manifest")
 
     with pytest.raises(OSError):
         Stopped(spark, str(tmp_path / "store")).write("t", spark.range(9))
     assert store.version("t") == 1 and store.read("t").count() == 3
+    late = store.begin()
     assert store.write("t", spark.range(5)) == 2 and store.read("t").count() == 5 and store.read("t", 1).count() == 3
-    with pytest.raises(Exception, match="FileAlreadyExists|already exists"):
-        store._commit("t", 2, "elsewhere")
+    late.put("t", spark.range(7))
+    with pytest.raises(Conflict):
+        late.publish()
     assert store.apply("t", lambda d: d.where("id > 1"), dry=True).count() == 3 and store.version("t") == 2
     with pytest.raises(ValueError):
         store.read("none")

@@ -1,11 +1,10 @@
-"""Keyed tables as snapshots: each change is a frame to frame function, and a store swaps complete snapshots."""
+"""Changes of keyed tables as functions from frame to frame; operators.store applies them to stored tables."""
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -66,54 +65,3 @@ def delete(old: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def work_queue(df: DataFrame, stamp_column: str, order: list, limit: int) -> DataFrame:
     """Rows without a stamp, in order, at most limit: a top-k, not a sort of everything."""
     return df.where(F.col(stamp_column).isNull()).orderBy(*order).limit(limit)
-
-
-class Store:
-    """Tables under a folder, as numbered snapshots.
-
-    A snapshot is written to a folder of its own and counts once a small file
-    with its number names that folder; the highest number is current. Such files
-    are only ever added, each by one create that fails if the number is taken,
-    so a writer that stops anywhere leaves the last snapshot as it was, and of
-    two writers at once the later fails.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _commits(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/commits")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def version(self, name: str) -> int:
-        fs, path = self._commits(name)
-        found = [x.getPath().getName() for x in fs.listStatus(path) if x.getLen()] if fs.exists(path) else []
-        return max([0, *(int(x) for x in found if x.isdigit())])
-
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        at = version or self.version(name)
-        if not at:
-            raise ValueError(f"{name} has no snapshot")
-        folder = self.spark.read.text(f"{self._commits(name)[1].toString()}/{at}").first()[0]
-        return self.spark.read.parquet(f"{self.folder}/{name}/{folder}")
-
-    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> int:
-        v = self.version(name) + 1
-        folder = f"v{v}-{uuid.uuid4().hex}"
-        (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(f"{self.folder}/{name}/{folder}")
-        self._commit(name, v, folder)
-        return v
-
-    def _commit(self, name: str, v: int, folder: str) -> None:
-        fs, path = self._commits(name)
-        out = fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(path, str(v)), False)
-        out.write(bytearray(folder.encode()))
-        out.close()
-
-    def apply(self, name: str, change, dry: bool = False) -> DataFrame:
-        """change is a function of the table; with dry its result is returned and nothing written."""
-        new = change(self.read(name))
-        if not dry:
-            self.write(name, new)
-            return self.read(name)
-        return new

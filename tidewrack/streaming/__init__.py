@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import ingest, merge
-from ..operators.tables import Store
+from ..operators.store import Store
 
 FEED_SCHEMA = "source_id int, fetched_at timestamp, xml string"
 
@@ -19,17 +19,20 @@ def ingest_stream(spark: SparkSession, landing: str, sources: DataFrame, store:
 
     A batch goes through the same steps as ingest(), the age limit too. now gives
     the time of a batch; by default it is the latest fetched_at in it, so a
-    repeated batch gives the same rows. A batch without new rows writes nothing.
+    repeated batch gives the same rows. Only the buckets of articles that have new
+    rows are written, and a batch is published with its number, so that one that
+    comes again after a stop is not merged twice. A batch without new rows writes
+    nothing.
     """
     feeds = spark.readStream.schema(FEED_SCHEMA).parquet(landing)
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         at = now() if now else df.agg(F.max("fetched_at")).first()[0]
         if at is None:
             return
         rows = ingest(df, sources, at, days)
         if not rows.isEmpty():
-            store.apply("articles", lambda old: merge(old, rows, F.lit(at).cast("timestamp")))
+            store.run(f"stream {checkpoint}", str(number), lambda tx: tx.merge("articles", rows, lambda old, new: merge(old, new, F.lit(at).cast("timestamp"))))
 
     return feeds.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
