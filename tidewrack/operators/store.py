@@ -114,10 +114,11 @@ class Store:
     # ---- use ----
 
     def begin(self, dry: bool = False) -> Transaction:
+        """A transaction over the tables as they are now. A dry one leaves the store's folder alone: its files go to a scratch folder that close() removes, and it can't be published."""
         return Transaction(self, dry)
 
     def run(self, job: str, run: str, body: Callable[[Transaction], object], dry: bool = False, tries: int = 5) -> object:
-        """What body(transaction) returns, once its changes are published; None if this run of the job already was. dry: nothing is written.
+        """What body(transaction) returns, once its changes are published; None if this run of the job already was. dry: as begin().
 
         What body returns must not read tables lazily if it is used after files expire.
         """
@@ -127,6 +128,7 @@ class Store:
                 return None
             result = body(tx)
             if dry:
+                tx.close()
                 return result
             try:
                 tx.publish(job, run)
@@ -159,10 +161,11 @@ class Store:
 
     def apply(self, name: str, change: Callable[[DataFrame], DataFrame], dry: bool = False) -> DataFrame:
         """change is a function of the whole table; with dry its result is returned and nothing written."""
-        tx = self.begin(dry)
+        tx = self.begin()
+        if dry:
+            return tx._fit(name, change(tx.read(name)))
         tx.put(name, change(tx.read(name)))
-        if not dry:
-            tx.publish()
+        tx.publish()
         return tx.read(name)
 
     def diff(self, name: str, old: int, new: int | None = None) -> DataFrame:
@@ -202,45 +205,60 @@ class Store:
         t = state["tables"][name]
         schema = T.StructType.fromJson(t["schema"])
         paths = [p for b, p in sorted(t["files"].items()) if buckets is None or b in set(map(str, buckets))]
-        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{p}" for p in paths]) if paths else self.spark.createDataFrame([], schema)
+        return self._load(schema, paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _load(self, schema: T.StructType, paths: Iterable[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[p if "://" in p or p.startswith(("/", "file:")) else f"{self.folder}/{p}" for p in paths])
 
-    def _write(self, name: str, df: DataFrame, keys: list[str], buckets: int, expected: int) -> dict[str, str]:
-        """Write rows to a new folder: the path of each bucket that has some."""
-        folder = f"data/{name}/{uuid.uuid4().hex}"
-        writer = (df.withColumn(BUCKET, bucket_of(keys, buckets)).repartition(expected, BUCKET).sortWithinPartitions(BUCKET, *keys) if keys else df).write
+    def _write(self, name: str, df: DataFrame, keys: list[str], buckets: int, expected: int, scratch: str | None = None, order: Iterable[str] = (), options: dict[str, str] | None = None) -> dict[str, str]:
+        """Write rows to a new folder: the path of each bucket that has some, within the store's folder or whole in a scratch one."""
+        folder = f"{scratch or 'data'}/{name}/{uuid.uuid4().hex}"
+        place = folder if scratch else f"{self.folder}/{folder}"
+        writer = (df.withColumn(BUCKET, bucket_of(keys, buckets)).repartition(expected, BUCKET).sortWithinPartitions(BUCKET, *keys, *order) if keys else df).write.options(**(options or {}))
         for k in keys:
             if df.schema[k].dataType.typeName() in ("string", "integer", "long", "binary"):
                 writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
         if not keys:
-            writer.parquet(f"{self.folder}/{folder}")
+            writer.parquet(place)
             return {"": folder}
-        writer.partitionBy(BUCKET).parquet(f"{self.folder}/{folder}")
-        found = [x.getPath().getName() for x in self._list(folder)]
+        writer.partitionBy(BUCKET).parquet(place)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        found = [x.getPath().getName() for x in path.getFileSystem(self._conf()).listStatus(path)]
         return {x.split("=")[1]: f"{folder}/{x}" for x in found if x.startswith(f"{BUCKET}=")}
 
 
 class Transaction:
-    """Changes to tables that nobody sees before publish(). dry: nothing is written, tables are frames that aren't worked out yet."""
+    """Changes to tables that nobody sees before publish()."""
 
     def __init__(self, store: Store, dry: bool = False):
-        self.store, self.dry, self.base = store, dry, store.head()
+        self.store, self.base = store, store.head()
         self.state = store.manifest(self.base)
-        self._frames: dict[str, DataFrame] = {}
+        self._scratch = shared_folder(store.spark, "dry") if dry else None
         self._changed: set[str] = set()
 
     def ran(self, job: str, run: str) -> bool:
         return str(run) in self.state["runs"].get(job, [])
 
-    def create(self, name: str, schema: T.StructType | str, keys: Iterable[str] = (), buckets: int = 1) -> None:
-        """An empty table, if there is none of that name."""
+    def create(self, name: str, schema: T.StructType | str, keys: Iterable[str] = (), buckets: int = 1, order: Iterable[str] = (), options: dict[str, str] | None = None) -> None:
+        """An empty table, if there is none of that name. order: columns to sort files by besides the keys; options: of Spark's Parquet writer."""
         if name not in self.state["tables"]:
             schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-            self.state["tables"][name] = {"schema": json.loads(schema.json()), "keys": list(keys), "buckets": buckets, "files": {}, "since": 0}
+            self.state["tables"][name] = {"schema": json.loads(schema.json()), "keys": list(keys), "buckets": buckets, "order": list(order), "options": options or {}, "files": {}, "since": 0}
             self._changed.add(name)
 
-    def read(self, name: str) -> DataFrame:
-        """The table with this transaction's own changes."""
-        return self._frames[name] if name in self._frames else self.store._frame(self.state, name)
+    def read(self, name: str, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The table, or some of its buckets, with this transaction's own changes."""
+        return self.store._frame(self.state, name, buckets)
+
+    def touched(self, name: str, rows: DataFrame) -> list[int]:
+        """The buckets of a table that the keys of rows are in; there are no more than the table's."""
+        t = self.state["tables"][name]
+        return [r[0] for r in self._fit(name, rows, t["keys"]).select(bucket_of(t["keys"], t["buckets"])).distinct().collect()]
+
+    def drop(self, name: str) -> None:
+        """Take a table out of the manifest."""
+        del self.state["tables"][name]
+        self._changed.discard(name)
 
     def keys(self, name: str) -> list[str]:
         return self.state["tables"][name]["keys"]
@@ -251,12 +269,9 @@ class Transaction:
 
     def put(self, name: str, df: DataFrame) -> None:
         """Make df the whole table."""
-        t, df = self.state["tables"][name], self._fit(name, df)
+        t = self.state["tables"][name]
+        t["files"] = self.store._write(name, self._fit(name, df), t["keys"], t["buckets"], t["buckets"], self._scratch, t["order"], t["options"])
         self._changed.add(name)
-        if self.dry:
-            self._frames[name] = df
-        else:
-            t["files"] = self.store._write(name, df, t["keys"], t["buckets"], t["buckets"])
 
     def merge(self, name: str, changes: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """Make how(old rows, changes) the rows of the buckets that have changes. changes must have the table's keys, and how must leave keys of rows as they are."""
@@ -264,29 +279,30 @@ class Transaction:
         if not t["keys"]:
             raise ValueError(f"{name} has no keys to merge by")
         changes = self._fit(name, changes, changes.columns)
-        if self.dry:
-            self._frames[name] = self._fit(name, how(self.read(name), changes))
-            return
-        landed = self.store._write(f"{name}-changes", changes, t["keys"], t["buckets"], max(1, min(t["buckets"], int(self.store.spark.conf.get("spark.sql.shuffle.partitions")))))
+        parts = max(1, min(t["buckets"], int(self.store.spark.conf.get("spark.sql.shuffle.partitions"))))
+        landed = self.store._write(f"{name}-changes", changes, t["keys"], t["buckets"], parts, self._scratch)
         if not landed:
             return
-        rows = self.store.spark.read.schema(changes.schema).parquet(*[f"{self.store.folder}/{p}" for p in landed.values()])
-        merged = self._fit(name, how(self.store._frame(self.state, name, landed), rows))
-        made = self.store._write(name, merged, t["keys"], t["buckets"], len(landed))
+        merged = self._fit(name, how(self.store._frame(self.state, name, landed), self.store._load(changes.schema, landed.values())))
+        made = self.store._write(name, merged, t["keys"], t["buckets"], len(landed), self._scratch, t["order"], t["options"])
         if more := set(made) - set(landed):
             raise ValueError(f"a merge of {name} gave rows in buckets without changes: {sorted(more)[:5]}")
         t["files"] = {b: p for b, p in t["files"].items() if b not in landed} | made
         self._changed.add(name)
 
     def stage(self, name: str, df: DataFrame) -> DataFrame:
-        """df written once and read back, for what several tables are made of; no manifest names it. Itself in a dry transaction."""
-        if self.dry:
-            return df
-        return self.store.spark.read.schema(df.schema).parquet(*[f"{self.store.folder}/{p}" for p in self.store._write(f"{name}-staged", df, [], 1, 1).values()])
+        """df written once and read back, for what several tables are made of; no manifest names it."""
+        return self.store._load(df.schema, self.store._write(f"{name}-staged", df, [], 1, 1, self._scratch).values())
+
+    def close(self) -> None:
+        """Remove the files of a dry transaction."""
+        if self._scratch:
+            path = self.store.spark._jvm.org.apache.hadoop.fs.Path(self._scratch)
+            path.getFileSystem(self.store._conf()).delete(path, True)
 
     def publish(self, job: str | None = None, run: str | None = None) -> int:
         """Let everybody see the changes; the number of the manifest that has them. Without changes and without a job nothing is published."""
-        if self.dry:
+        if self._scratch:
             raise ValueError("a dry transaction has nothing to publish")
         if not self._changed and job is None:
             return self.base
