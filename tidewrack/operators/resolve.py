@@ -1,7 +1,8 @@
 """Entity resolution: free-text mentions to a catalogue, by stages of joins of which the first that matches counts.
 
-Every stage joins on a key that its rule implies (a name, a normal form, the
-first two words, the first word), so no mention meets the whole catalogue. The
+Every stage is a join by equality that its rule implies, so no mention meets the
+whole catalogue: by a name, by a normal form, by a shorter key that is a prefix
+of a longer one's words, or by a rare pair of letters under one first word. The
 stages' matches are ranked together in one window, so none waits for another
 and nothing is worked out twice. Ties go to the earlier catalogue entry (ord).
 """
@@ -40,6 +41,56 @@ def company_keys(companies: DataFrame, aliases: DataFrame) -> tuple[DataFrame, D
     return exact, normed.where((F.col("key") != "") & N.norm_key_ok(F.col("name"), F.col("key")))
 
 
+def prefix_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """key and k of all pairs of keys where one is the other's first words, two words or more, or equals it. left: key, right: k.
+
+    Each key stands under its own prefixes, and meets the keys that are one of them.
+    """
+    many = lambda c: F.contains(F.col(c), F.lit(" "))
+    prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(2), F.size(_words(F.col(c)))), lambda n: F.array_join(F.slice(_words(F.col(c)), 1, n), " "))).alias("_p")
+    a, b = left.select("key").distinct().where(many("key")), right.select("k").distinct().where(many("k"))
+    longer = a.select("key", prefixes("key")).join(b, F.col("_p") == F.col("k")).select("key", "k")
+    shorter = b.select("k", prefixes("k")).where("_p <> k").join(a, F.col("_p") == F.col("key")).select("key", "k")
+    return longer.unionByName(shorter)
+
+
+def _letter_pairs(keys: DataFrame, c: str, frequency: DataFrame, least: float) -> DataFrame:
+    """For each key of two letters and more: its first word, its number of letter pairs, and those of its pairs, rarest first, of which a similar key has one at least, with their places.
+
+    Pairs that come again are told apart by their number, so that sets of them count as letter pairs do.
+    """
+    pair = F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(F.col(c), i, F.lit(2)))
+    d = keys.select(c).distinct().where(F.length(c) >= 2).select(c, pair.alias("_g"))
+    numbered = F.transform(F.col("_g"), lambda g, i: F.struct(g.alias("g"), F.size(F.filter(F.slice(F.col("_g"), F.lit(1), i + 1), lambda x: x == g)).alias("nth")))
+    rows = d.select(c, F.size("_g").alias("_n"), F.explode(numbered).alias("_x")).select(c, "_n", "_x.g", "_x.nth")
+    # Keys have 37 different characters, so there are 1,369 pairs at most.
+    rows = rows.join(F.broadcast(frequency), "g", "left")
+    ordered = rows.groupBy(c, "_n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "g", "nth"))).alias("_o"))
+    share = least / (2 - least)
+    first = F.col("_n") - F.ceil(F.col("_n") * share - 1e-9).cast("int") + 1
+    return ordered.select(c, "_n", F.posexplode(F.slice("_o", F.lit(1), first)).alias("_at", "_x")).select(c, _words(F.col(c))[0].alias("_w"), "_n", "_at", "_x.g", "_x.nth")
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float = FUZZY) -> DataFrame:
+    """key, k and d of all pairs of keys with one first word whose Dice coefficient d of letter pairs is at least so much. left: key, right: k.
+
+    Two such keys of m and n letter pairs share least / 2 * (m + n) of them, so
+    they share one among the rarest few of each; rare pairs under the first word
+    are what keys meet by, so a first word that all names have splits well. How
+    many can follow at most behind that place and the sizes leave few to verify.
+    """
+    gram = F.transform(F.sequence(F.lit(1), F.length("k") - 1), lambda i: F.substring(F.col("k"), i, F.lit(2)))
+    frequency = right.select("k").distinct().where(F.length("k") >= 2).select(F.explode(gram).alias("g")).groupBy("g").agg(F.count("*").alias("often"))
+    a = _letter_pairs(left, "key", frequency, least)
+    b = _letter_pairs(right, "k", frequency, least).withColumnsRenamed({"_n": "_m", "_at": "_bt"})
+    need = F.ceil(least / 2 * (F.col("_n") + F.col("_m")) - 1e-9)
+    most = F.least(F.col("_n") - F.col("_at"), F.col("_m") - F.col("_bt"))
+    close = a.join(b, ["_w", "g", "nth"]).where(most >= need).select("key", "k").distinct()
+    verified = close.where("key <> k").withColumn("d", N.dice(F.col("key"), F.col("k"))).where(F.col("d") >= least)
+    same = left.select("key").distinct().join(right.select("k").distinct(), F.col("key") == F.col("k")).select("key", "k", F.lit(1.0).alias("d"))
+    return verified.unionByName(same)
+
+
 def match_companies(tags: DataFrame, exact: DataFrame, normed: DataFrame) -> DataFrame:
     """lo, id, reason for the tags (lo, tag) that match: exact, normalized, prefix or fuzzy:<score>."""
     t = tags.groupBy("lo").agg(F.min("tag").alias("tag")).withColumn("key", N.norm_company(F.col("tag")))
@@ -49,14 +100,8 @@ def match_companies(tags: DataFrame, exact: DataFrame, normed: DataFrame) -> Dat
     s2 = same.select(*row(2, F.col("d"), F.lit("normalized")))
 
     heads = first_by(normed, ["key"], ["part", "ord", "id"]).select(F.col("key").alias("k"), "id", "part", "ord")
-    two = lambda c: F.array_join(F.slice(_words(F.col(c)), 1, 2), " ")
-    longer = F.contains(F.col("key"), F.lit(" ")) & F.contains(F.col("k"), F.lit(" "))
-    starts = F.startswith(F.concat("key", F.lit(" ")), F.concat("k", F.lit(" "))) | F.startswith(F.concat("k", F.lit(" ")), F.concat("key", F.lit(" ")))
-    s3 = t.withColumn("two", two("key")).join(heads.withColumn("two", two("k")), "two").where(longer & starts).select(*row(3, F.length("k"), F.lit("prefix")))
-
-    # Letter pairs can't agree to 0.9 when the lengths differ by more than this, so dice() is worked out for few.
-    near = F.abs(F.length("key") - F.length("k")) <= 0.11 * (F.length("key") + F.length("k"))
-    close = t.withColumn("one", _words(F.col("key"))[0]).join(heads.withColumn("one", _words(F.col("k"))[0]), "one").where(near).withColumn("d", N.dice(F.col("key"), F.col("k"))).where(F.col("d") >= FUZZY)
+    s3 = t.join(prefix_pairs(t, heads), "key").join(heads, "k").select(*row(3, F.length("k"), F.lit("prefix")))
+    close = t.join(fuzzy_pairs(t, heads), "key").join(heads, "k")
     s4 = close.select(*row(4, F.col("d"), F.concat(F.lit("fuzzy:"), F.format_string("%.2f", "d"))))
     every = s1.unionByName(s2).unionByName(s3).unionByName(s4)
     return first_by(every, ["lo"], ["stage", F.desc("score"), "part", "ord", "id"]).select("lo", "id", "reason")

@@ -421,6 +421,28 @@ def fuzzy_dice(spark, d):
     return p.join(p.withColumnRenamed("a", "b"), "w").where("a < b").select("a", "b", F.round(N.dice(F.col("a"), F.col("b")), 6).alias("dice"))
 
 
+_HEADS = f"""SELECT s_suppkey AS ord, 's' || s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT 1000000 + min(p_partkey), 'p' || min(p_partkey), p_name || ' Works Ltd' FROM part GROUP BY p_name
+  UNION ALL SELECT 2000000 + c_custkey, 'c' || c_custkey, c_name FROM customer WHERE c_custkey % 10 = 0"""
+_TAGS = """SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN upper(c_name) WHEN 1 THEN replace(c_name, '#', ' - ') || ' GmbH' WHEN 2 THEN replace(c_name, 'omer', 'mer') ELSE c_name || '0' END FROM customer WHERE c_custkey % 3 = 1
+  UNION SELECT p_name || CASE p_partkey % 3 WHEN 0 THEN ' works of ' || p_partkey % 5 WHEN 1 THEN ' wrks' ELSE '' END FROM part UNION SELECT s_name || ' Supply' FROM supplier"""
+_NAMED = f"WITH c(ord, id, name) AS ({_HEADS}), a(ord, id, name) AS (SELECT 0, '', '' WHERE false), m(tag) AS ({_TAGS})," + _CASCADE.split(_VALUES([(m,) for m in MENTIONS]) + ",", 1)[1]
+
+
+@query(f"{_NAMED} SELECT lo, id, reason FROM best WHERE r = 1")
+def name_matches(spark, d):
+    """Names of customers, parts and suppliers, altered in several ways, in a catalogue of such names: nearly all begin with one of three words."""
+    c = t(spark, d, "customer")
+    k, p = F.col("c_custkey"), F.col("p_partkey")
+    first = t(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("i"))
+    entry = lambda df, shift, letter, i, name: df.select((F.lit(shift) + F.col(i)).alias("ord"), F.concat(F.lit(letter), F.col(i).cast("string")).alias("id"), name.alias("name"))
+    heads = entry(t(spark, d, "supplier"), 0, "s", "s_suppkey", F.col("s_name")).unionByName(entry(first, 1000000, "p", "i", F.concat("p_name", F.lit(" Works Ltd")))).unionByName(entry(c.where("c_custkey % 10 = 0"), 2000000, "c", "c_custkey", F.col("c_name")))
+    name = F.when(k % 4 == 0, F.upper("c_name")).when(k % 4 == 1, F.concat(F.replace("c_name", F.lit("#"), F.lit(" - ")), F.lit(" GmbH"))).when(k % 4 == 2, F.replace("c_name", F.lit("omer"), F.lit("mer"))).otherwise(F.concat("c_name", F.lit("0")))
+    more = F.when(p % 3 == 0, F.concat(F.lit(" works of "), (p % 5).cast("string"))).when(p % 3 == 1, " wrks").otherwise("")
+    tags = c.where("c_custkey % 3 = 1").select(name.alias("tag")).union(t(spark, d, "part").select(F.concat("p_name", more))).union(t(spark, d, "supplier").select(F.concat("s_name", F.lit(" Supply")))).distinct()
+    exact, normed = resolve.company_keys(heads, spark.createDataFrame([], "ord bigint, company_id string, alias string"))
+    return resolve.match_companies(tags.select(F.lower("tag").alias("lo"), "tag"), exact, normed)
+
+
 @query(f"SELECT tag FROM {_VALUES([(m,) for m in MENTIONS])} m(tag) WHERE regexp_matches(tag, '(?i)\\b({'|'.join(vocab.BLOCKLIST)})\\b')")
 def blocklist(spark, d):
     return _mentions(spark).where(C.is_blocklisted(F.col("tag"))).select("tag")
