@@ -146,7 +146,7 @@ def _matcher(key: str, items, width: int) -> Matcher:
     return _MATCHERS[key]
 
 
-_FOUND = T.StructType([T.StructField("key", T.LongType()), T.StructField("r", T.ArrayType(T.LongType())), T.StructField("i", T.ArrayType(T.StringType()))])
+_FOUND = T.StructType([T.StructField("key", T.StringType()), T.StructField("r", T.ArrayType(T.LongType())), T.StructField("i", T.ArrayType(T.StringType()))])
 
 
 def _hits(items, width: int):
@@ -160,7 +160,7 @@ def _hits(items, width: int):
                 rows = [(key, *m.find(words_of(text or ""))) for key, text in zip(piece.column("key").to_pylist(), piece.column("text").to_pylist(), strict=True)]
                 rows = [(key, [x for a in r for x in a], sorted(i)) for key, r, i in rows if r]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())), strict=True)], names=["key", "r", "i"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())), strict=True)], names=["key", "r", "i"])
 
     return run
 
@@ -172,14 +172,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     head = id_field(docs, id_col)
     schema = T.StructType([head, *(T.StructField(x, T.LongType()) for x in ("n_words", "n_hit", "n_items")), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", span)])
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = d.withColumn("key", F.xxhash64("doc_id", "text"))
+    # A result follows from the text alone; a null text has no key and no hit.
+    keyed = d.withColumn("key", F.sha2("text", 256))
     found = None
     for n, rows in _shards(benchmark, item_col, item_text_col, shard_bytes):
         items = spark.sparkContext.broadcast(rows)
         if n == 1:
             return d.mapInArrow(_results(schema, items, width), schema)
-        # Equal rows have one key, and one result.
-        one = stored(keyed.select("key", "text").mapInArrow(_hits(items, width), _FOUND).dropDuplicates(["key"]), "hits")
+        # Equal texts have one key, and one result.
+        one = stored(keyed.where("key IS NOT NULL").select("key", "text").mapInArrow(_hits(items, width), _FOUND).dropDuplicates(["key"]), "hits")
         items.destroy()
         found = one if found is None else found.unionByName(one)
     found = found.groupBy("key").agg(F.flatten(F.collect_list("r")).alias("r"), F.flatten(F.collect_list("i")).alias("i"))
