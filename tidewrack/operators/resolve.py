@@ -142,12 +142,23 @@ def decide(found: DataFrame, cache: DataFrame, matches: DataFrame, kind: str) ->
     return d.select("lo", "tag", pick(F.col("c_d"), F.lit("matched"), F.lit("rejected"), F.lit("unknown")).alias("decision"), pick(F.col("c_e"), F.col("m_e"), null, null).alias("entity_id"), pick(F.col("c_r"), F.col("m_r"), F.lit("blocklist"), null).alias("reason"), pick(F.lit("cache"), F.lit("matched"), F.lit("blocked"), F.lit("unknown")).alias("source"))
 
 
+def first_values(rows: DataFrame, key: str, value: str, order: list, most: int) -> DataFrame:
+    """key and an array of its first values in order, nulls left out. Each task keeps at most so many rows of a key, before and after the shuffle, so no key is ever collected whole."""
+    ranked = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"), F.row_number().over(Window.partitionBy(key).orderBy(*order, value)).alias("_r")).where(F.col("_r") <= most)
+    return ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_v"))), lambda x: x["_v"]).alias(value))
+
+
 def gate_input(found: DataFrame, decisions: DataFrame, most: int = 40, titles: int = 2, urls: int = 3) -> DataFrame:
-    """Unknown names for vetting, in the order first seen: lo, tag, seen_in, urls."""
+    """Unknown names for vetting, in the order first seen: lo, tag, seen_in, urls, at."""
     unknown = found.join(decisions.where("source = 'unknown'").select("lo"), "lo", "left_semi")
-    first = lambda c, n: F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("art_ord", "tag_ord", F.col(c).alias("v"))))), 1, n), lambda x: x["v"])
-    per = unknown.groupBy("lo").agg(F.min_by("tag", F.struct("art_ord", "tag_ord")).alias("tag"), first("title", titles).alias("seen_in"), first("url", urls).alias("urls"), F.min(F.struct("art_ord", "tag_ord")).alias("at"))
-    return per.orderBy("at", "lo").limit(most).select("lo", "tag", "seen_in", "urls", "at")
+    at = F.struct("art_ord", "tag_ord")
+    names = unknown.groupBy("lo").agg(F.min_by("tag", at).alias("tag"), F.min(at).alias("at")).orderBy("at", "lo").limit(most)
+    mine = unknown.join(names.select("lo"), "lo", "left_semi")
+    none = F.array().cast("array<string>")
+    seen = first_values(mine, "lo", "title", ["art_ord", "tag_ord"], titles).withColumnRenamed("title", "seen_in")
+    where = first_values(mine, "lo", "url", ["art_ord", "tag_ord"], urls).withColumnRenamed("url", "urls")
+    out = names.join(seen, "lo", "left").join(where, "lo", "left").select("lo", "tag", F.coalesce("seen_in", none).alias("seen_in"), F.coalesce("urls", none).alias("urls"), "at")
+    return out.orderBy("at", "lo")
 
 
 def unique_slugs(rows: DataFrame, taken: DataFrame, name: str = "name", order: list[str] | None = None) -> DataFrame:

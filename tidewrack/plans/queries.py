@@ -299,8 +299,18 @@ def recipient_union(spark, d):
 
 @query("SELECT conv_id, string_agg(turn || ':' || role, ',' ORDER BY turn, role) AS first_turns FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS r FROM conversations) WHERE r <= 3 GROUP BY conv_id")
 def first_n_collect(spark, d):
-    first = F.slice(F.array_sort(F.collect_list(F.struct("turn", "role"))), 1, 3)
-    return t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(first, lambda x: F.concat(x["turn"].cast("string"), F.lit(":"), x["role"])), ",").alias("first_turns"))
+    turns = t(spark, d, "conversations").select("conv_id", "turn", "role", F.concat(F.col("turn").cast("string"), F.lit(":"), "role").alias("first_turns"))
+    return resolve.first_values(turns, "conv_id", "first_turns", ["turn", "role"], 3).select("conv_id", F.array_join("first_turns", ",").alias("first_turns"))
+
+
+@query("""WITH r AS (SELECT role, conv_id, turn, text, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS k FROM conversations)
+  SELECT role AS lo, sha256(string_agg(text, '|' ORDER BY k) FILTER (k <= 2)) AS seen_in, string_agg('u' || conv_id, ',' ORDER BY k) FILTER (k <= 3) AS urls FROM r WHERE role <> 'system' GROUP BY role""")
+def gate_contexts(spark, d):
+    """What vetting gets to see of names that half of all rows have: roles as names, texts as titles."""
+    c = t(spark, d, "conversations")
+    found = c.select(F.col("role").alias("lo"), F.col("role").alias("tag"), F.col("conv_id").alias("art_ord"), F.col("turn").alias("tag_ord"), F.col("text").alias("title"), F.concat(F.lit("u"), F.col("conv_id").cast("string")).alias("url"))
+    decisions = found.select("lo", F.when(F.col("lo") == "system", "cache").otherwise("unknown").alias("source")).distinct()
+    return resolve.gate_input(found, decisions).select("lo", F.sha2(F.array_join("seen_in", "|"), 256).alias("seen_in"), F.array_join("urls", ",").alias("urls"))
 
 
 @query("SELECT date_trunc('day', ts)::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")

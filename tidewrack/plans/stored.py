@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import jobs, tables
+from ..operators.paging import Feed
 from ..operators.search import Index
 from ..operators.store import Store, shared_folder
 from .landed import _INGESTED, _s
@@ -204,3 +205,24 @@ def substring_search(spark, d):
         rows = index.ilike(p, "documents").select(F.lit(p).alias("pattern"), "doc_id")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+# ---- pages ----
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 50 > 0 THEN ts END AS seen FROM events)
+  SELECT k AS page, event_id FROM (SELECT (row_number() OVER (ORDER BY seen DESC NULLS LAST, event_id) - 1) AS r, event_id FROM e), (VALUES (0), (1), (30), (98)) v(k) WHERE r // 24 = k AND (SELECT count(*) FROM e) > 0
+    AND k <> 98 OR k = 98 AND r >= (SELECT count(*) FROM e) - 10""")
+def feed_pages(spark, d):
+    """Pages by cursor at the top and deep in a feed, and its last ten rows, which have no time: as by offset."""
+    events = t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 50 > 0, F.col("ts")).alias("at"))
+    feed = Feed(spark, shared_folder(spark, "feed"), "at", "event_id")
+    feed.write(events, 16)
+    order = [F.desc_nulls_last("at"), F.asc("event_id")]
+    behind = lambda n: tuple(events.orderBy(*order).offset(n - 1).limit(1).select("at", "event_id").first())
+    cursors = {0: None, 1: feed.cursor(feed.page()), 30: behind(30 * 24), 98: behind(events.count() - 10)}
+    out = None
+    for k, after in cursors.items():
+        rows = feed.page(after).select(F.lit(k).alias("page"), "event_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
