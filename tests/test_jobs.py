@@ -206,3 +206,29 @@ def test_a_merge_writes_only_the_buckets_it_touches(spark, tmp_path):
     assert store.read("t").count() == 2005 and {r.change for r in store.diff("t", 2).collect()} == {"delete"}
     with pytest.raises(ValueError, match="without changes"):
         store.merge("t", spark.range(1).select(F.col("id").alias("k")), lambda old, new: old.withColumn("k", F.col("k") + 1))
+
+
+def test_sums_follow_random_changes(spark, tmp_path):
+    import random
+
+    from tidewrack.operators import aggregates
+
+    r, store, rows = random.Random(7), Store(spark, str(tmp_path)), {}
+    schema = "k bigint, g string, h int, v bigint"
+    tx = store.begin()
+    tx.create("t", schema, ["k"], 8)
+    tx.publish()
+    for step in range(4):
+        new = {k: (r.choice(["a", "b", None]), r.choice([1, None]), r.choice([None, 5, -3])) for k in r.sample(range(60), 15)}
+        gone = r.sample(sorted(rows), min(len(rows), 6))
+        store.merge("t", spark.createDataFrame([(k, *x) for k, x in new.items()], schema), lambda old, n: tables.upsert(old, n, ["k"]))
+        rows |= new
+        if gone:
+            store.merge("t", spark.createDataFrame([(k,) for k in gone], "k bigint"), lambda old, n: tables.delete(old, n, "k"))
+            rows = {k: x for k, x in rows.items() if k not in gone}
+        want = {}
+        for g, h, v in rows.values():
+            n, s = want.get((g, h), (0, 0))
+            want[g, h] = (n + 1, s + (v or 0))
+        for _ in range(1 + step % 2):  # a repeated refresh adds nothing
+            assert {(x.g, x.h): (x.n, x.sum_v) for x in aggregates.refresh(store, "t", "sums", ["g", "h"], ["v"], 4).collect()} == want

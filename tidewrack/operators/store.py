@@ -168,19 +168,22 @@ class Store:
         tx.publish()
         return tx.read(name)
 
-    def diff(self, name: str, old: int, new: int | None = None) -> DataFrame:
-        """change ("insert", "update" or "delete") and the row (of a delete, the old one) between two manifests; only buckets whose files differ are read."""
+    def pairs(self, name: str, old: int, new: int | None = None) -> DataFrame:
+        """old and new, the rows with one key that differ between two manifests, null where there is none; only buckets whose files differ are read."""
         a, b = self.manifest(old), self.manifest(new or self.head())
         x, y = a["tables"].get(name, {}).get("files", {}), b["tables"][name]["files"]
         keys, columns = b["tables"][name]["keys"], T.StructType.fromJson(b["tables"][name]["schema"]).names
         if not keys:
             raise ValueError(f"{name} has no keys to compare rows by")
         differ = [k for k in {*x, *y} if x.get(k) != y.get(k)]
-        row = lambda m, side: (self._frame(m, name, differ) if name in m["tables"] else self.read(name, new).limit(0)).select(*[F.col(k).alias(f"_{side}{i}") for i, k in enumerate(keys)], F.struct(*columns).alias(side))
+        row = lambda m, side: (self._frame(m, name, differ) if name in m["tables"] else self._frame(b, name, [])).select(*[F.col(k).alias(f"_{side}{i}") for i, k in enumerate(keys)], F.struct(*columns).alias(side))
         on = [F.col(f"_old{i}").eqNullSafe(F.col(f"_new{i}")) for i in range(len(keys))]
-        both = row(a, "old").join(row(b, "new"), on, "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+        return row(a, "old").join(row(b, "new"), on, "full_outer").where(~F.col("old").eqNullSafe(F.col("new"))).select("old", "new")
+
+    def diff(self, name: str, old: int, new: int | None = None) -> DataFrame:
+        """change ("insert", "update" or "delete") and the row (of a delete, the old one) between two manifests."""
         change = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").otherwise("update")
-        return both.select(change.alias("change"), F.coalesce("new", "old").alias("row")).select("change", "row.*")
+        return self.pairs(name, old, new).select(change.alias("change"), F.coalesce("new", "old").alias("row")).select("change", "row.*")
 
     def expire(self, keep: int = 10, hours: float = 24) -> int:
         """Remove all manifests but the last keep, and files that none of these names and that are older than so many hours, so that no running job's are. The number of folders removed."""

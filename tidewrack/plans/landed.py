@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import enrich, ingest, resolve, serving, tables
-from ..sources import config, feeds
+from ..sources import config, feeds, knowledge
 from .queries import CANON, query, sql_clip, sql_trim, t
 
 BEGIN = "2024-01-01"
@@ -245,3 +245,28 @@ def valid_emails(spark, d):
     i = F.col("event_id")
     mail = F.when(i % 3 == 0, _s("u", i, "@example.com")).when(i % 3 == 1, _s("ü.", i, "@a.b.example")).otherwise(_s("u", i, "@exam ple.com"))
     return t(spark, d, "events").select("event_id", config.valid_email(mail).alias("ok"))
+
+
+# ---- knowledge base ----
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size, p_name FROM part WHERE p_partkey % 7 > 0 AND p_partkey % 11 > 0)
+  SELECT 'Q' || k AS qid, CAST(1900 + k % 100 AS INTEGER) AS founded_year, CAST(CASE WHEN k % 2 = 0 THEN p_size * 100 ELSE p_size END AS BIGINT) AS employee_count, CASE WHEN k % 3 > 0 THEN n_name END AS hq_city,
+    'https://en.wikipedia.org/wiki/' || replace(p_name, ' ', '_') || '_(' || k || ')' AS wikipedia_url, CASE WHEN k % 5 = 0 THEN 'https://www.linkedin.com/company/l' || k END AS linkedin_url,
+    CASE WHEN k % 3 = 1 THEN 'EUR' END AS revenue_currency, 'https://x' || k || '.example' AS website
+  FROM p LEFT JOIN nation ON n_nationkey = k % 25""")
+def knowledge_profiles(spark, d):
+    """Nested entities made of parts: dated claims, references to nations by id, links; a seventh is missing and an eleventh isn't JSON."""
+    k = F.col("p_partkey")
+    value = lambda v: _s('{"mainsnak":{"datavalue":{"value":', v, "}}}")
+    dated = lambda n, year: _s('{"mainsnak":{"datavalue":{"value":{"amount":"+', n, '","unit":"1"}}},"qualifiers":{"P585":[{"datavalue":{"value":{"time":"+', year, '-01-01T00:00:00Z"}}}]}}')
+    claims = [
+        _s('"P571":[', value(_s('{"time":"+', 1900 + k % 100, '-06-01T00:00:00Z"}')), "]"), _s('"P1128":[', dated(F.col("p_size"), "2010"), ",", dated(F.col("p_size") * 100, F.when(k % 2 == 0, "2020").otherwise("2001")), "]"),
+        _s('"P159":[', value(_s('{"id":"N', F.when(k % 3 > 0, (k % 25).cast("string")).otherwise("x"), '"}')), "]"), _s('"P856":[', value(_s('"https://x', k, '.example"')), "]"),
+        F.when(k % 5 == 0, _s('"P4264":[', value(_s('"l', k, '"')), "]")), F.when(k % 3 == 1, _s('"P2139":[', value(F.lit('{"amount":"+5","unit":"http://www.wikidata.org/entity/Q4916"}')), "]")),
+    ]
+    json = _s('{"id":"Q', k, '",', F.when(k % 7 == 0, '"missing":"",').otherwise(""), '"claims":{', F.concat_ws(",", *claims), '},"sitelinks":{"enwiki":{"title":"', F.col("p_name"), " (", k, ')"}}}')
+    entities = t(spark, d, "part").select(F.when(k % 11 == 0, F.substring(json, 2, 1000)).otherwise(json).alias("json"))
+    nations = t(spark, d, "nation").select(_s('{"id":"N', F.col("n_nationkey"), '","labels":{"en":{"value":"', F.col("n_name"), '"}}}').alias("json"))
+    got = knowledge.profile(entities, knowledge.labels(nations))
+    return got.select("qid", "founded_year", "employee_count", "hq_city", "wikipedia_url", "linkedin_url", "revenue_currency", "website")

@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import jobs, tables
+from ..operators import aggregates, jobs, tables
 from ..operators.paging import Feed
 from ..operators.search import Index
 from ..operators.store import Store, shared_folder
@@ -29,11 +29,15 @@ def _orders(spark, d):
     store = Store(spark, shared_folder(spark, "orders"))
     orders = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     store.write("orders", orders, ["o_orderkey"], 64)
+    _change(store, orders)
+    return store
+
+
+def _change(store, orders):
     some = orders.where(_CHANGED)
     changes = some.select("o_orderkey", F.lit("X").alias("o_orderstatus")).unionByName(some.select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("N").alias("o_orderstatus")))
     store.merge("orders", changes, lambda old, new: tables.upsert(old, new, ["o_orderkey"]))
     store.merge("orders", orders.where("o_orderkey % 100 = 2").select("o_orderkey"), lambda old, gone: tables.delete(old, gone, "o_orderkey"))
-    return store
 
 
 @query(f"""SELECT o_orderkey, o_custkey, CASE WHEN {_CHANGED} THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 100 <> 2
@@ -226,3 +230,15 @@ def feed_pages(spark, d):
         rows = feed.page(after).select(F.lit(k).alias("page"), "event_id")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+@query(f"""SELECT o_orderstatus, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS customers FROM (
+  SELECT CASE WHEN {_CHANGED} THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 100 <> 2 UNION ALL SELECT 'N', 0 FROM orders WHERE {_CHANGED}) GROUP BY 1""")
+def counts_kept(spark, d):
+    """Counts and sums of orders by status, made once and then kept up to date from the changes alone."""
+    store = Store(spark, shared_folder(spark, "counts"))
+    orders = t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("bigint").alias("o_custkey"), "o_orderstatus", "o_totalprice")
+    store.write("orders", orders, ["o_orderkey"], 32)
+    aggregates.refresh(store, "orders", "by_status", ["o_orderstatus"], ["o_custkey"])
+    _change(store, orders)
+    return aggregates.refresh(store, "orders", "by_status", ["o_orderstatus"], ["o_custkey"]).withColumnRenamed("sum_o_custkey", "customers")
