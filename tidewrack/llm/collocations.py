@@ -40,7 +40,7 @@ from .words import _table, mix, split
 
 MAX_WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2000
 SHARD_BYTES = 2 << 20
-FILTER_BITS, PARTS = 27, 64
+FILTER_BITS, PARTS, RANK_PARTS = 27, 64, 16
 BREAKS = b".,;:!?" + bytes(range(0x0A, 0x0E))
 COUNTED = "lang string, phrase string, count bigint"
 _U = np.uint64
@@ -256,7 +256,12 @@ def mine(
     scored = _scored(levels)
     left = scored.join(_inside(scored, max_words), ["lang", "phrase"], "left").where(F.expr(f"over IS NULL OR 100 * over < {int(share)} * a"))
     total = levels[0].where("phrase IS NULL").select("lang", F.col("count").alias("n"))
-    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")))
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    if top is not None:
+        # What is ranked by language is the first of each of so many parts, however many tasks there are.
+        left = left.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+        left = left.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_r") <= top).drop("_part", "_r")
+    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     ranked = ranked.where(F.col("rank") <= top) if top is not None else ranked
     done = stored(ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"), "collocations")
     for x in levels:
