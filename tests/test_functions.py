@@ -80,3 +80,13 @@ def test_article_urls(spark, url, site, ok):
 
 def test_blocklist(spark):
     assert on(spark, C.is_blocklisted, ["Royal Navy", "Navytech", None]) == [True, False, False]
+
+
+def test_html_to_text_odd_pages(spark):
+    pages = {
+        '<div class="share"><script>"</div>"</script>x</div>y': "y", "<main>a<article>b</article>": "b", "<ARTICLE>a</ARTICLE><main>m</main> z": "m",
+        '<ul><li><a href="1">a</a><li><a>b</a></ul>': "a b", "<ul><a>1</a><a>2</a><a>3</a></ul>t": "t", '<ul><li><div id="popular-now">p</div>q</li></ul>': "q",
+        '<section class="x related y"><div>i</div></section>k<div class="story">s</div>': "k s", "a < b": "a < b", "": "", "<p>x</p><br/><p>y</p>": "x\ny",
+        "<main>one</main><main>two</main>": "one", '<div class="menu">never closed': "never closed", "<nav>n<p>z</p></NAV>&amp;lt;": "&lt;",
+    }
+    assert on(spark, X.html_to_text, list(pages)) == list(pages.values())
