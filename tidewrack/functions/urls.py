@@ -6,32 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .text import empty_to_null, trim
+from .text import empty_to_null, let, trim
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#:@]+)(?::([0-9]*))?(/[^?#]*)?(?:\?([^#]*))?(?:#.*)?$"
 
 
-def _part(url: Column, k: int) -> Column:
-    return F.regexp_extract(url, f"(?s){_URL}", k)
-
-
 def canonical_url(url: Column, dropped: list[str] = vocab.TRACKING) -> Column:
     """Without fragment, www., default port, end slashes and tracking parameters, with a small host and sorted parameters.
 
     The scheme stays, so http and https differ. What can't be parsed is only trimmed. Parameters are sorted by name, equal ones keep their order.
     """
-    raw = trim(url)
-    scheme, port, query = F.lower(_part(raw, 1)), _part(raw, 3), _part(raw, 5)
-    host = F.regexp_replace(F.lower(_part(raw, 2)), r"^www\.", "")
+    parts = lambda raw: F.array(*[F.regexp_extract(raw, f"(?s){_URL}", k) for k in range(1, 6)])
+    return let(trim(url), lambda raw: let(parts(raw), lambda p: F.when(p[0] == "", raw).otherwise(_joined(p, dropped))))
+
+
+def _joined(p: Column, dropped: list[str]) -> Column:
+    """A canonical url of its scheme, host, port, path and query."""
+    scheme, port = F.lower(p[0]), p[2]
+    host = F.regexp_replace(F.lower(p[1]), r"^www\.", "")
     default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
-    path = F.regexp_replace(F.coalesce(empty_to_null(_part(raw, 4)), F.lit("/")), "/+$", "")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
+    path = let(F.regexp_replace(p[3], "/+$", ""), lambda x: F.coalesce(empty_to_null(x), F.lit("/")))
     text = lambda s: F.coalesce(F.try_url_decode(s), s)
-    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p, i: F.struct(text(F.substring_index(p, "=", 1)).alias("k"), i.alias("i"), F.when(F.contains(p, F.lit("=")), text(F.regexp_replace(p, "^[^=]*=", ""))).otherwise(F.lit("")).alias("v")))
+    pairs = F.transform(F.filter(F.split(p[4], "&"), lambda q: q != ""), lambda q, i: F.struct(text(F.substring_index(q, "=", 1)).alias("k"), i.alias("i"), F.when(F.contains(q, F.lit("=")), text(F.regexp_replace(q, "^[^=]*=", ""))).otherwise(F.lit("")).alias("v")))
     kept = F.array_sort(F.filter(pairs, lambda x: ~F.lower(x["k"]).rlike("^(" + "|".join(dropped) + ")")))
     search = F.array_join(F.transform(kept, lambda x: F.concat(F.url_encode(x["k"]), F.lit("="), F.url_encode(x["v"]))), "&")
-    whole = F.concat(scheme, F.lit("://"), host, F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), port)), path, F.when(search == "", F.lit("")).otherwise(F.concat(F.lit("?"), search)))
-    return F.when(raw.rlike(f"(?s){_URL}"), whole).otherwise(raw)
+    begin = F.concat(scheme, F.lit("://"), host, F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), port)), path)
+    return F.concat(begin, let(search, lambda x: F.when(x == "", F.lit("")).otherwise(F.concat(F.lit("?"), x))))
 
 
 def url_hash(url: Column) -> Column:
