@@ -290,10 +290,15 @@ def digest_recipients(spark, d):
     return serving.for_recipients(items, r, "event_id").groupBy("email").agg(F.count("*").alias("n"), F.min("event_id").alias("least"), F.max("event_id").alias("most"))
 
 
-@query("SELECT email, array_to_string(tags, ',') AS tags FROM (VALUES ('a@example.com', ['x']), ('A@example.com', ['y']), ('b@example.com', []::VARCHAR[]), ('d@example.org', []::VARCHAR[])) v(email, tags)")
+@query("""WITH s AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'U' ELSE 'u' END || c_custkey % 400 || '@example.com' AS email, c_custkey AS k FROM customer WHERE c_custkey % 11 > 0)
+  SELECT email, array_to_string(tags, ',') AS tags FROM (VALUES ('u1@example.com', ['x']), ('U1@example.com', ['y']), ('U2@Example.com', []::VARCHAR[])) v(email, tags)
+  UNION ALL SELECT arg_min(email, k), '' FROM s WHERE lower(email) NOT IN ('u1@example.com', 'u2@example.com') GROUP BY lower(email)""")
 def recipient_union(spark, d):
-    base = config.recipients(spark, file_json='[{"email": "a@example.com", "tags": ["x"]}, {"email": "A@example.com", "tags": ["y"]}, "b@example.com"]')
-    signups = spark.createDataFrame([("B@example.com", 1), ("d@example.org", 2), ("D@example.org", 3)], "email string, created_at int")
+    """Recipients of a file, and customers as sign-ups: new addresses only, the first of each whatever its case."""
+    base = config.recipients(spark, file_json='[{"email": "u1@example.com", "tags": ["x"]}, {"email": "U1@example.com", "tags": ["y"]}, "U2@Example.com"]')
+    k = F.col("c_custkey")
+    mail = F.when(k % 11 > 0, F.concat(F.when(k % 3 == 0, "U").otherwise("u"), (k % 400).cast("string"), F.lit("@example.com")))
+    signups = t(spark, d, "customer").select(mail.alias("email"), k.alias("created_at"))
     return config.with_signups(base, signups).select("email", F.array_join("tags", ",").alias("tags"))
 
 
@@ -387,13 +392,17 @@ def _catalogue(spark):
     return spark.createDataFrame(CATALOGUE, "ord int, id string, name string"), spark.createDataFrame(ALIASES, "ord int, company_id string, alias string")
 
 
-def _mentions(spark):
-    return spark.createDataFrame([(m.lower(), m) for m in MENTIONS], "lo string, tag string")
+def _mentions(spark, d):
+    """Names with something to say of, and those of all parts and suppliers."""
+    fixed = spark.createDataFrame([(m,) for m in MENTIONS], "tag string")
+    every = fixed.union(t(spark, d, "part").select("p_name")).union(t(spark, d, "supplier").select(F.concat("s_name", F.when(F.col("s_suppkey") % 3 == 0, " Air Force").otherwise(" Airforce")))).distinct()
+    return every.select(F.lower("tag").alias("lo"), "tag")
 
 
 _VALUES = lambda rows: "(VALUES " + ", ".join("(" + ", ".join(q(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
 _OK = lambda name, key: f"(contains({key}, ' ') OR len(string_split({sql_clean(name)}, ' ')) <= 2)"
-_CASCADE = f"""WITH c(ord, id, name) AS {_VALUES(CATALOGUE)}, a(ord, id, name) AS {_VALUES(ALIASES)}, m(tag) AS {_VALUES([(m,) for m in MENTIONS])},
+_SAID = f"(SELECT * FROM {_VALUES([(m,) for m in MENTIONS])} v(tag) UNION SELECT p_name FROM part UNION SELECT s_name || CASE s_suppkey % 3 WHEN 0 THEN ' Air Force' ELSE ' Airforce' END FROM supplier)"
+_CASCADE = f"""WITH c(ord, id, name) AS {_VALUES(CATALOGUE)}, a(ord, id, name) AS {_VALUES(ALIASES)}, m(tag) AS {_SAID},
 named AS (SELECT 0 AS part, ord, id, name FROM c UNION ALL SELECT 1, ord, id, name FROM a),
 exact AS (SELECT lower(name) AS lo, arg_min(id, part * 1000 + ord) AS id FROM named GROUP BY 1),
 inn AS (SELECT ord, id, trim(regexp_extract(name, '^([^(]{{2,}}?)\\s*\\(([^)]+)\\)', 1)) AS o, trim(regexp_extract(name, '^([^(]{{2,}}?)\\s*\\(([^)]+)\\)', 2)) AS i FROM c WHERE regexp_matches(name, '^([^(]{{2,}}?)\\s*\\(([^)]+)\\)')),
@@ -412,7 +421,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY lo ORDER BY stage, score DESC
 @query(f"{_CASCADE} SELECT lo, id, reason FROM best WHERE r = 1")
 def match_cascade(spark, d):
     exact, normed = resolve.company_keys(*_catalogue(spark))
-    return resolve.match_companies(_mentions(spark), exact, normed)
+    return resolve.match_companies(_mentions(spark, d), exact, normed)
 
 
 @query(f"SELECT p_partkey, {sql_norm_company('p_name || s')} AS key, replace({sql_clean('p_name || s')}, ' ', '') AS compact, substring(replace({sql_clean('p_name || s')}, ' ', '-'), 1, 80) AS slug FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN ' Systems, Inc.' WHEN 1 THEN ' & Co' WHEN 2 THEN ' Défense' ELSE '' END AS s FROM part)")
@@ -435,7 +444,7 @@ _HEADS = f"""SELECT s_suppkey AS ord, 's' || s_suppkey AS id, s_name AS name FRO
   UNION ALL SELECT 2000000 + c_custkey, 'c' || c_custkey, c_name FROM customer WHERE c_custkey % 10 = 0"""
 _TAGS = """SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN upper(c_name) WHEN 1 THEN replace(c_name, '#', ' - ') || ' GmbH' WHEN 2 THEN replace(c_name, 'omer', 'mer') ELSE c_name || '0' END FROM customer WHERE c_custkey % 3 = 1
   UNION SELECT p_name || CASE p_partkey % 3 WHEN 0 THEN ' works of ' || p_partkey % 5 WHEN 1 THEN ' wrks' ELSE '' END FROM part UNION SELECT s_name || ' Supply' FROM supplier"""
-_NAMED = f"WITH c(ord, id, name) AS ({_HEADS}), a(ord, id, name) AS (SELECT 0, '', '' WHERE false), m(tag) AS ({_TAGS})," + _CASCADE.split(_VALUES([(m,) for m in MENTIONS]) + ",", 1)[1]
+_NAMED = f"WITH c(ord, id, name) AS ({_HEADS}), a(ord, id, name) AS (SELECT 0, '', '' WHERE false), m(tag) AS ({_TAGS})," + _CASCADE.split(_SAID + ",", 1)[1]
 
 
 @query(f"{_NAMED} SELECT lo, id, reason FROM best WHERE r = 1")
@@ -453,9 +462,9 @@ def name_matches(spark, d):
     return resolve.match_companies(tags.select(F.lower("tag").alias("lo"), "tag"), exact, normed)
 
 
-@query(f"SELECT tag FROM {_VALUES([(m,) for m in MENTIONS])} m(tag) WHERE regexp_matches(tag, '(?i)\\b({'|'.join(vocab.BLOCKLIST)})\\b')")
+@query(f"SELECT tag FROM {_SAID} m(tag) WHERE regexp_matches(tag, '(?i)\\b({'|'.join(vocab.BLOCKLIST)})\\b')")
 def blocklist(spark, d):
-    return _mentions(spark).where(C.is_blocklisted(F.col("tag"))).select("tag")
+    return _mentions(spark, d).where(C.is_blocklisted(F.col("tag"))).select("tag")
 
 
 CACHE = [("company", "unknown thing", "rejected", None, "blocklist"), ("company", "HAX", "matched", "c6", "exact")]
