@@ -80,6 +80,10 @@ class Store:
         """The number of the current manifest, 0 without one."""
         return max([0, *(k for k, n in self._numbers().items() if n)])
 
+    def _next(self) -> int:
+        """The number of the next manifest, behind all that are taken, be it by an empty file."""
+        return max([0, *self._numbers()]) + 1
+
     def manifest(self, n: int) -> dict:
         if not n:
             return {"tables": {}, "runs": {}}
@@ -93,10 +97,9 @@ class Store:
     def _publish(self, base: int, state: dict) -> int:
         """Make state the next manifest, if base is still the current one."""
         jvm, conf = self.spark._jvm, self._conf()
-        numbers = self._numbers()
-        if max([0, *(k for k, size in numbers.items() if size)]) != base:
+        n = self._next()
+        if self.head() != base:
             raise Conflict(f"manifest {base} isn't the current one any more")
-        n = max([0, *numbers]) + 1
         made, final = self._path("manifests", f"made-{uuid.uuid4().hex}"), self._path("manifests", str(n))
         out = made.getFileSystem(conf).create(made, False)
         out.write(bytearray(json.dumps(state).encode()))
@@ -311,6 +314,7 @@ class Transaction:
             return self.base
         if job is not None:
             self.state["runs"][job] = [*self.state["runs"].get(job, []), str(run)][-RUNS_KEPT:]
+        number = self.store._next()
         for name in self._changed:
-            self.state["tables"][name]["since"] = self.base + 1
+            self.state["tables"][name]["since"] = number
         return self.store._publish(self.base, self.state)
