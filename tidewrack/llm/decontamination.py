@@ -7,12 +7,17 @@ consecutive words of an item hold five that begin at a multiple of five, so the
 automaton has each item's blocks of five words once, with a space on either
 side, and not each of its windows: its size follows the benchmark's text. It
 reads each normalised document once. Where a block occurs, the words around it
-are compared with the item's, as far as they agree; ten or more are windows.
+are compared with the item's, as far as they agree; ten or more are windows. A
+block that many items share, as "which of the following is", isn't compared with
+each: the windows around it, in all its places, are sorted by their words when
+it is first met, and the document's windows around it are searched there. So a
+hit costs a few searches, and items are named once for each different window.
 Only documents with hits have their words' places in the original text worked
 out.
 
 Memory: a shard of at most shard_bytes of benchmark text is broadcast, and a
-worker keeps one automaton, of about 50 bytes a byte. A larger benchmark is
+worker keeps one automaton, of about 50 bytes a byte, and of 24 bytes more for
+each place of a shared block that it met. A larger benchmark is
 read in several shards, one pass over the documents for each, that gives rows
 for documents with hits only; nothing is dropped, and one shard at a time is on
 the driver. A shard's items are chosen by hash, for half of that on average.
@@ -30,6 +35,7 @@ import hashlib
 import re
 import uuid
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +50,8 @@ from .shared import stored
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TO = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _MATCHERS: dict[str, Matcher] = {}
+#: Blocks with more places have the windows around them sorted.
+FEW = 16
 
 
 def words_of(text: str) -> list[bytes]:
@@ -56,19 +64,20 @@ class Matcher:
     def __init__(self, items: list[tuple[str, str]], width: int):
         import ahocorasick
 
-        self.width, block = width, (width + 1) // 2
+        self.width, self.block = width, (width + 1) // 2
         self.names: list[str] = []
         self.texts: list[array] = []
         self.words: dict[bytes, int] = {}
         self.blocks = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        sizes, places = [], []
+        sizes, places, whole = [], [], {}
         for name, text in items:
             words = words_of(text)
             if not words:
                 continue
+            item = len(self.names)
             self.names.append(name)
             self.texts.append(array("I", [self.words.setdefault(w, len(self.words)) for w in words]))
-            n = block if len(words) >= width else len(words)
+            n = self.block if len(words) >= width else len(words)
             for at in range(0, len(words) - n + 1, n):
                 key = f" {b' '.join(words[at : at + n]).decode('latin-1')} "
                 k = self.blocks.get(key, -1)
@@ -77,11 +86,31 @@ class Matcher:
                     self.blocks.add_word(key, k)
                     sizes.append((len(key), n))
                     places.append(array("I"))
-                places[k].extend((len(self.names) - 1, at))
-        self.sizes, self.places = sizes, places
+                if len(words) >= width:
+                    places[k].extend((item, at))
+                else:
+                    whole.setdefault(k, array("I")).append(item)
+        #: Of each block: bytes and words; item and word number of each place in a longer item; the items that it is all of.
+        self.sizes, self.places, self.whole = sizes, places, whole
+        self.around: dict[int, list[array]] = {}
         if sizes:
             self.blocks.make_automaton()
 
+    def _window(self, k: int, place: int, before: int) -> tuple[int, ...]:
+        """The words of the window around a place of block k that has so many words before the block."""
+        item, at = self.places[k][2 * place : 2 * place + 2]
+        return tuple(self.texts[item][at - before : at - before + self.width])
+
+    def _around(self, k: int) -> list[array]:
+        """For each number of words before block k, its places with such a window inside their item, sorted by the window's words."""
+        if k not in self.around:
+            items, starts = self.places[k][::2], self.places[k][1::2]
+            self.around[k] = []
+            for before in range(self.width - self.block + 1):
+                inside = [p for p, (item, at) in enumerate(zip(items, starts, strict=True)) if before <= at <= len(self.texts[item]) - self.width + before]
+                self.around[k].append(array("I", sorted(inside, key=lambda p, before=before: self._window(k, p, before))))
+        return self.around[k]
+
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged ranges of words, end exclusive, inside occurrences of windows; and the items."""
         if not words or not self.sizes:
@@ -96,29 +125,52 @@ class Matcher:
         doc = [known(w, -1) for w in words]
         ranges: list[tuple[int, int]] = []
         found: set[int] = set()
+        whole: set[int] = set()
         seen: dict[tuple[int, int], int] = {}
+        met: dict[tuple[int, int, tuple[int, ...]], bool] = {}
         for start, (_, k) in zip(starts, hits, strict=True):
             n, place = self.sizes[k][1], self.places[k]
+            if k in self.whole:
+                ranges.append((start, start + n))
+                whole.add(k)
+            if len(place) > 2 * FEW:
+                ranges += self._searched(doc, start, k, met, found)
+                continue
             for item, at in zip(place[::2], place[1::2], strict=True):
                 text = self.texts[item]
-                if len(text) >= self.width:
-                    if seen.get((item, start - at), -1) >= start + n:
-                        continue
-                    low, high, shift = start, start + n, at - start
-                    first, last = max(0, -shift), min(len(doc), len(text) - shift)
-                    while low > first and doc[low - 1] == text[low - 1 + shift]:
-                        low -= 1
-                    while high < last and doc[high] == text[high + shift]:
-                        high += 1
-                    seen[item, start - at] = high
-                    if high - low < self.width:
-                        continue
+                if seen.get((item, start - at), -1) >= start + n:
+                    continue
+                low, high, shift = start, start + n, at - start
+                first, last = max(0, -shift), min(len(doc), len(text) - shift)
+                while low > first and doc[low - 1] == text[low - 1 + shift]:
+                    low -= 1
+                while high < last and doc[high] == text[high + shift]:
+                    high += 1
+                seen[item, start - at] = high
+                if high - low >= self.width:
                     ranges.append((low, high))
-                else:
-                    ranges.append((start, start + n))
-                found.add(item)
+                    found.add(item)
+        for k in whole:
+            found.update(self.whole[k])
         return _merged(ranges), {self.names[i] for i in found}
 
+    def _searched(self, doc: list[int], start: int, k: int, met: dict, found: set[int]) -> Iterator[tuple[int, int]]:
+        """The windows of doc around block k at start that items have; the items of those not met before are added to found."""
+        for before, order in enumerate(self._around(k)):
+            a = start - before
+            if a < 0 or a + self.width > len(doc):
+                continue
+            window = tuple(doc[a : a + self.width])
+            key = (k, before, window)
+            if key not in met:
+                words_at = lambda p, before=before: self._window(k, p, before)
+                low = bisect_left(order, window, key=words_at)
+                high = bisect_right(order, window, lo=low, key=words_at)
+                found.update(self.places[k][2 * p] for p in order[low:high])
+                met[key] = high > low
+            if met[key]:
+                yield a, a + self.width
+
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
