@@ -285,6 +285,30 @@ def test_decontamination_in_shards_survives_nulls(spark):
     assert sorted((str(r.doc_id), r.n_hit) for r in got) == [("None", 0), ("None", 12), (text, 0), ("x", 12), ("x", 12)]
 
 
+def test_decontamination_of_a_beginning_that_all_items_share():
+    """Texts full of a block of thousands of items cost time by their length, and windows that many items share name all of them."""
+    r = random.Random(12)
+    words = [prose(r, 1) for _ in range(500)]
+    begin = "which of the following statements"
+    items = [(str(i), f"{begin} {' '.join(r.choice(words) for _ in range(12))}") for i in range(20_000)]
+    m = decontamination.Matcher(items, 10)
+    text = " ".join(f"{begin} {' '.join(r.choice(words) for _ in range(3))}" for _ in range(1250))
+    m.find(begin.encode().split())
+    began = time.time()
+    spans, found = m.find(decontamination.words_of(text))
+    assert time.time() - began < 2 and not found and not spans
+    hit = f"x {items[7][1]} y {begin}"
+    assert m.find(decontamination.words_of(hit)) == ([(1, 18)], {"7"})
+    # Against the plain version: few words, so that blocks have many places, at all offsets and at the ends of items.
+    items = [(str(i), " ".join(r.choice("ab") for _ in range(r.randint(1, 16)))) for i in range(400)] + [(f"s{i}", "a b a b") for i in range(30)] + [("x", "a " * 90)]
+    rows = [(i, " ".join(r.choice("abbac") for _ in range(r.randint(0, 50)))) for i in range(60)] + [(60, "a " * 300)]
+    m = decontamination.Matcher(items, 6)
+    assert max(len(p) for p in m.places) > 2 * decontamination.FEW
+    for i, want in brute.contaminated(rows, items, 6).items():
+        spans, found = m.find(decontamination.words_of(rows[i][1]))
+        assert (sum(b - a for a, b in spans), len(found), brute.sha(",".join(sorted(found)))) == want[1:4]
+
+
 def test_quality_rules(spark, docs, empty, odd):
     rows = [(d, t, "en") for d, t in corpus()]
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in quality_rules.judge(docs).collect()}
@@ -314,6 +338,11 @@ def test_jaccard_join(spark, docs, empty, odd):
     assert table(jaccard_join.join(docs, width=4, percent=85, block_bytes=40_000)) == want
     assert table(jaccard_join.join(docs)) == brute.components(corpus(), 5, 80)
     assert jaccard_join.join(empty).count() == 0
+    for percent in (49, 101):
+        with pytest.raises(ValueError, match="percent"):
+            jaccard_join.join(empty, percent=percent)
+    nulls = spark.createDataFrame([("a b c d e f g", None), (None, "a b c d e f g"), ("z", "a b c d e f g h")], "doc_id string, text string")
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in jaccard_join.join(nulls, width=2).collect()) == [("None", "z"), ("a b c d e f g", "a b c d e f g"), ("z", "z")]
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.join(odd).collect()) == [(-1, 1, -1), (1, 0, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
     w = prose(random.Random(4), 60).split()
     chain = [(1, " ".join(w)), (None, " ".join([*w[1:], "x"])), (2, " ".join([*w[4:], *"xyzuv"]))]
@@ -475,5 +504,9 @@ def test_pipeline_judges_rows_of_one_id_apart(spark, tmp_path):
     assert left == sorted([(False, 1, a), (False, 1, a), (False, 2, a), (False, 1, b), (True, None, c)])
     left = sorted((x.doc_id is None, x.text) for x in corpus_pipeline.near_duplicates(spark, d, "").where(few).collect() if x.text and x.text != bad)
     assert left == sorted([(False, a), (False, b), (True, c)])
+    # Columns named as the pipeline's own, and rows that differ only in which column is null.
+    odd = spark.createDataFrame([(1, a, None, "s", "r"), (1, a, "s", None, "r"), (2, b, "s", "s", "q")], "doc_id bigint, text string, lang string, source string, _row string")
+    kept = corpus_pipeline.near_duplicates(spark, odd, "")
+    assert kept.columns == odd.columns and sorted((x.doc_id, x._row) for x in kept.collect()) == [(1, "r"), (2, "q")]
     left = [x.text for x in corpus_pipeline.decontaminate(spark, d, str(tmp_path)).where(few).collect()]
     assert sorted(map(str, left)) == sorted(map(str, [a, a, a, bad, c, None]))

@@ -490,10 +490,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block_bytes: int = 16 << 20) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id. Sets link when 100 * intersection >= percent * union."""
+    """One row per input row: doc_id, n_shingles, component_id. Sets link when 100 * intersection >= percent * union; percent is 50 to 100, so that linked sets are at most one class of size apart."""
+    if not 50 <= percent <= 100:
+        raise ValueError(f"percent must be from 50 to 100, not {percent}")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col, F.col(id_col).isNull(), F.col(text_col).isNull()).alias("key"), F.col(text_col).alias("text"))
     schema = T.StructType([id_field(d, "doc_id"), *_SET])
     named = stored(d.mapInArrow(_sets(width, schema), schema), "named")
     frequent = spark.sparkContext.broadcast(np.packbits(frequent_cells(histogram.total(named))).tobytes())
@@ -510,7 +512,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     members = sets.join(clusters.withColumnRenamed("v", "node"), "node").select("name", "key", "n", "label")
     texts = d.mapInArrow(_packed, "key bigint, size bigint, z binary").join(members, "key").select("name", "n", "label", "size", "z")
     texts = stored(texts, "texts")
-    discard(clusters)
+    for done in (clusters, sets):
+        discard(done)
     sizes = texts.groupBy("label").agg(F.ceil(F.sum(F.col("n") * 24) / block_bytes).cast("int").alias("blocks"))
     mixed = lambda k: F.xxhash64("name", F.lit(k))
     hubs = texts.groupBy("label").agg(F.sum("n").alias("s"), F.array(*[F.min(F.struct(mixed(k).alias("h"), "name"))["name"] for k in range(HUBS)]).alias("hubs"))
@@ -526,15 +529,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     cut = texts.join(sizes.where("blocks > 1"), "label").join(found.select(F.col("v").alias("name"), F.col("label").alias("comp")), "name", "left")
     cut = cut.select("label", "name", "size", "z", "blocks", F.coalesce("comp", "name").alias("comp"), F.pmod(mixed(-1), F.col("blocks")).cast("int").alias("i"))
     main = cut.groupBy("label", "comp").count().groupBy("label").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count("*").alias("apart")).where("apart > 1")
-    cut = stored(cut.join(main, "label"), "cut")
-    if not cut.isEmpty():
-        guests = cut.where("comp <> main")
+    apart = stored(cut.join(main, "label"), "cut")
+    if not apart.isEmpty():
+        guests = apart.where("comp <> main")
         rooms = guests.groupBy("label").agg(F.ceil(F.sum("size") * 4 / block_bytes).cast("int").alias("rooms"))
-        cut = cut.join(rooms, "label")
+        cut = apart.join(rooms, "label")
         hosts = cut.select("label", "i", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("j"), "name", "size", "z", "comp", F.lit(False).alias("guest"))
         guests = cut.where("comp <> main").select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(mixed(-2), F.col("rooms")).cast("int").alias("j"), "name", "size", "z", "comp", F.lit(True).alias("guest"))
         discard(found)
         found = components(edges.unionByName(gather(hosts.unionByName(guests))))
+    for done in (texts, edges, apart):
+        discard(done)
 
     labelled = named.join(found.withColumnRenamed("v", "name"), "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "name").alias("label"))
     least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
