@@ -1,11 +1,13 @@
 """A training-data pipeline over documents, made of operators of tidewrack.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written to
-the shared folder and read again. All but the last return the columns of
-documents. Rows are judged by themselves, whatever their ids: a row is told from
-others by a hash of all its columns, so of rows with one id, or with none, some
-can stay and others go. Wholly equal rows are judged alike; near_duplicates
-leaves one of them. Null, empty and very short texts fail the quality rules.
+the shared folder and read again; the stage before it is then removed. All but
+the last return the columns of documents, whatever their names. Rows are judged
+by themselves, whatever their ids: a row is told from others by a hash of all
+its columns, of 128 bits and with nulls marked, so of rows with one id, or with
+none, some can stay and others go. Wholly equal rows are judged alike;
+near_duplicates leaves one of them. Null, empty and very short texts fail the
+quality rules.
 """
 
 from __future__ import annotations
@@ -15,17 +17,16 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm import bpe, decontamination, jaccard_join, quality_rules, secrets
 from tidewrack.llm.queries import word_bpe
-from tidewrack.llm.shared import stored, table
+from tidewrack.llm.shared import discard, stored, table
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows with _row, a hash of all columns."""
-    return docs.withColumn("_row", F.xxhash64(*docs.columns))
-
-
-def _kept(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of keyed whose _row is in the first column of rows."""
-    return keyed.join(rows.toDF("_row").distinct(), "_row", "left_semi")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a hash of all columns, and the name of that column, which docs doesn't have."""
+    name = "_row"
+    while name.lower() in {x.lower() for x in docs.columns}:
+        name += "_"
+    cells = [c for x in docs.columns for c in (F.col(f"`{x}`").isNull(), F.col(f"`{x}`"))]
+    return docs.withColumn(name, F.struct(*[F.xxhash64(F.lit(k), *cells).alias(f"h{k}") for k in range(2)])), name
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +36,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group, the document with the least id stays; one without id only where none has one."""
-    keyed = _keyed(docs)
-    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("_id"), "text")
-    first = jaccard_join.join(named, id_col="_id").where("doc_id = component_id").select("doc_id._row")
-    return _kept(keyed, first).dropDuplicates(["_row"]).drop("_row")
+    keyed, row = _keyed(docs)
+    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")).alias("_id"), "text")
+    first = jaccard_join.join(named, id_col="_id").where("doc_id = component_id").select(F.col("doc_id.row").alias(row))
+    return keyed.join(first.distinct(), row, "left_semi").dropDuplicates([row]).drop(row)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
