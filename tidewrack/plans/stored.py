@@ -223,8 +223,10 @@ def feed_pages(spark, d):
     feed = Feed(spark, shared_folder(spark, "feed"), "at", "event_id")
     feed.write(events, 16)
     order = [F.desc_nulls_last("at"), F.asc("event_id")]
-    behind = lambda n: tuple(events.orderBy(*order).offset(n - 1).limit(1).select("at", "event_id").first())
-    cursors = {0: None, 1: feed.cursor(feed.page()), 30: behind(30 * 24), 98: behind(events.count() - 10)}
+    back = [F.asc_nulls_first("at"), F.desc("event_id")]
+    behind = lambda n, *by: feed.cursor(events.orderBy(*by).offset(n).limit(1))
+    # What is near the end is looked for from there: an offset from the top would send all rows before it to the driver.
+    cursors = {0: None, 1: feed.cursor(feed.page()), 30: behind(30 * 24 - 1, *order) or behind(0, *back), 98: behind(10, *back)}
     out = None
     for k, after in cursors.items():
         rows = feed.page(after).select(F.lit(k).alias("page"), "event_id")
