@@ -54,6 +54,15 @@ def test_one_first_word_for_all_names_is_spread(spark):
     assert sizes[-1] <= 10 * sizes[len(sizes) // 2]
 
 
+def test_numbered_names_meet_few_others(spark):
+    """Four times the names under one first word make about four times the pairs to verify, not sixteen times."""
+    met = []
+    for n in (1500, 6000):
+        keys = spark.range(n).select(F.concat(F.lit("customer "), F.lpad(F.col("id").cast("string"), 9, "0")).alias("k"))
+        met.append(resolve._met_pairs(keys.withColumnRenamed("k", "key"), keys, 0.9).distinct().count())
+    assert met[1] <= 6 * met[0] and met[1] <= 40 * 6000
+
+
 def test_empty_names(spark):
     none = spark.createDataFrame([], "key string")
     assert resolve.fuzzy_pairs(none, none.toDF("k")).count() == 0 and resolve.prefix_pairs(none, none.toDF("k")).count() == 0
