@@ -232,3 +232,18 @@ def test_sums_follow_random_changes(spark, tmp_path):
             want[g, h] = (n + 1, s + (v or 0))
         for _ in range(1 + step % 2):  # a repeated refresh adds nothing
             assert {(x.g, x.h): (x.n, x.sum_v) for x in aggregates.refresh(store, "t", "sums", ["g", "h"], ["v"], 4).collect()} == want
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    """A table of two buckets with much more than Spark's advisory size goes to many tasks, and reads back whole."""
+    store = Store(spark, str(tmp_path))
+    rows = spark.range(0, 200_000, 1, 16).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    kept = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        store.write("t", rows, ["id"], 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", kept)
+    files = store.read("t").inputFiles()
+    assert len(files) >= 8 and len({f.rsplit("/", 1)[0] for f in files}) == 2
+    assert store.read("t").count() == 200_000 and store.read("t").exceptAll(rows).count() == 0

@@ -216,11 +216,14 @@ class Store:
     def _load(self, schema: T.StructType, paths: Iterable[str]) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[p if "://" in p or p.startswith(("/", "file:")) else f"{self.folder}/{p}" for p in paths])
 
-    def _write(self, name: str, df: DataFrame, keys: list[str], buckets: int, expected: int, scratch: str | None = None, order: Iterable[str] = (), options: dict[str, str] | None = None) -> dict[str, str]:
-        """Write rows to a new folder: the path of each bucket that has some, within the store's folder or whole in a scratch one."""
+    def _write(self, name: str, df: DataFrame, keys: list[str], buckets: int, scratch: str | None = None, order: Iterable[str] = (), options: dict[str, str] | None = None) -> dict[str, str]:
+        """Write rows to a new folder: the path of each bucket that has some, within the store's folder or whole in a scratch one.
+
+        Rows are dealt by bucket and a bucket of more than Spark's advisory size to several tasks, so a task gets no more as a table grows; such a bucket has several files.
+        """
         folder = f"{scratch or 'data'}/{name}/{uuid.uuid4().hex}"
         place = folder if scratch else f"{self.folder}/{folder}"
-        writer = (df.withColumn(BUCKET, bucket_of(keys, buckets)).repartition(expected, BUCKET).sortWithinPartitions(BUCKET, *keys, *order) if keys else df).write.options(**(options or {}))
+        writer = (df.withColumn(BUCKET, bucket_of(keys, buckets)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *keys, *order) if keys else df).write.options(**(options or {}))
         for k in keys:
             if df.schema[k].dataType.typeName() in ("string", "integer", "long", "binary"):
                 writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
@@ -276,7 +279,7 @@ class Transaction:
     def put(self, name: str, df: DataFrame) -> None:
         """Make df the whole table."""
         t = self.state["tables"][name]
-        t["files"] = self.store._write(name, self._fit(name, df), t["keys"], t["buckets"], t["buckets"], self._scratch, t["order"], t["options"])
+        t["files"] = self.store._write(name, self._fit(name, df), t["keys"], t["buckets"], self._scratch, t["order"], t["options"])
         self._changed.add(name)
 
     def merge(self, name: str, changes: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
@@ -285,12 +288,11 @@ class Transaction:
         if not t["keys"]:
             raise ValueError(f"{name} has no keys to merge by")
         changes = self._fit(name, changes, changes.columns)
-        parts = max(1, min(t["buckets"], int(self.store.spark.conf.get("spark.sql.shuffle.partitions"))))
-        landed = self.store._write(f"{name}-changes", changes, t["keys"], t["buckets"], parts, self._scratch)
+        landed = self.store._write(f"{name}-changes", changes, t["keys"], t["buckets"], self._scratch)
         if not landed:
             return
         merged = self._fit(name, how(self.store._frame(self.state, name, landed), self.store._load(changes.schema, landed.values())))
-        made = self.store._write(name, merged, t["keys"], t["buckets"], len(landed), self._scratch, t["order"], t["options"])
+        made = self.store._write(name, merged, t["keys"], t["buckets"], self._scratch, t["order"], t["options"])
         if more := set(made) - set(landed):
             raise ValueError(f"a merge of {name} gave rows in buckets without changes: {sorted(more)[:5]}")
         t["files"] = {b: p for b, p in t["files"].items() if b not in landed} | made
@@ -298,7 +300,7 @@ class Transaction:
 
     def stage(self, name: str, df: DataFrame) -> DataFrame:
         """df written once and read back, for what several tables are made of; no manifest names it."""
-        return self.store._load(df.schema, self.store._write(f"{name}-staged", df, [], 1, 1, self._scratch).values())
+        return self.store._load(df.schema, self.store._write(f"{name}-staged", df, [], 1, self._scratch).values())
 
     def close(self) -> None:
         """Remove the files of a dry transaction."""
