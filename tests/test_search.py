@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewrack.operators import tables
-from tidewrack.operators.search import Index, literal_runs
+from tidewrack.operators.search import Index, _pieces, literal_runs
 from tidewrack.operators.store import Store
 
 WORDS = ["the", "Drone", "über", "x1", "jammer", "日本", "contract", "don't", "a_b", "100%", "C:\\d", "😀"]
@@ -126,3 +126,52 @@ def test_an_empty_index(spark, tmp_path):
     index.refresh(tx, frame(spark, {}).limit(0))
     tx.publish()
     assert index.search("drone").count() == 0 and index.match("drone").count() == 0 and index.search("").count() == 0
+
+
+def test_a_term_is_sent_and_written_once_for_many_documents(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    docs = spark.range(400).select(F.concat(F.lit("u"), "id").alias("url"), F.concat(F.lit("one two two three four x"), F.col("id") % 7).alias("text"))
+    indexes = [Index(store, k, "url", k, 4, 2) for k in ("words", "grams")]
+    tx = store.begin()
+    for index in indexes:
+        index.refresh(tx, docs)
+    tx.publish()
+    said = "one two two three four x0"
+    runs = len({said[i : i + 3] for i in range(len(said) - 2)})
+    for index in indexes:
+        rows = store.read(f"{index.name}.postings.1")
+        assert rows.count() <= 2 * (33 + 1) < 400  # 33 runs of three at most, and the list of all documents, in two parts
+        got = index._live(store.manifest(store.head()), None)
+        assert got.groupBy("url").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"), F.max("length").alias("length")).select("n", "tf", "length").distinct().collect() == [(5, 6, 6) if index.counted else (runs, runs, runs)]
+    assert {r.url for r in indexes[0].match("two x3").collect()} == {f"u{i}" for i in range(400) if i % 7 == 3} == {r.url for r in indexes[1].match("four x3").collect()}
+    tx = store.begin()
+    with pytest.raises(ValueError, match="aren't by its keys"):
+        tx.merge("words.postings.1", store.read("words.postings.1"), lambda old, new: old)
+
+
+def test_batches_are_cut_and_joined_to_pieces():
+    import pyarrow as pa
+
+    r = random.Random(4)
+    rows = ["x" * r.choice([0, 1, 3, 50]) for _ in range(500)]
+    batches = [pa.RecordBatch.from_pydict({"t": rows[a : a + 37]}) for a in range(0, 500, 37)]
+    found = [p["t"].to_pylist() for p in _pieces(iter(batches), "t", 60, 9)]
+    assert [x for p in found for x in p] == rows
+    assert all(0 < len(p) <= 9 and sum(map(len, p[:-1])) < 60 for p in found) and all(len(p) == 9 or sum(map(len, p)) >= 60 for p in found[:-1])
+    assert [len(p) for p in _pieces(iter(batches), None, rows=200)] == [200, 200, 100]
+
+
+def test_runs_beyond_the_basic_plane(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    docs = {"a": "x😀y😀z", "b": "😀y", "c": "İSTANBUL 𝔘𝔫𝔦", "d": ""}
+    index = Index(store, "i", "url", "grams", 2, 2)
+    tx = store.begin()
+    tx.create("docs", "url string, text string", ["url"], 2)
+    tx.put("docs", frame(spark, docs).where("url IS NOT NULL").select("url", "text"))
+    index.refresh(tx, frame(spark, docs).where("url IS NOT NULL"))
+    tx.publish()
+    asked = {"%😀y😀%": {"a"}, "%😀y%": {"a", "b"}, "%stanbul%": {"c"}, "%𝔘𝔫𝔦": {"c"}, "%y😀z%": {"a"}}
+    for p, want in asked.items():
+        assert {r.url for r in index.ilike(p, "docs").collect()} == want, p
+    assert {r.url for r in index.match("X😀Y").collect()} == {"a"}
+    assert {r.url: r.length for r in store.read("i.lengths").collect()} == {"a": 3, "b": 0, "c": 11, "d": 0}

@@ -216,14 +216,17 @@ class Store:
     def _load(self, schema: T.StructType, paths: Iterable[str]) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[p if "://" in p or p.startswith(("/", "file:")) else f"{self.folder}/{p}" for p in paths])
 
-    def _write(self, name: str, df: DataFrame, keys: list[str], buckets: int, scratch: str | None = None, order: Iterable[str] = (), options: dict[str, str] | None = None) -> dict[str, str]:
+    def _write(self, name: str, df: DataFrame, keys: list[str], buckets: int, scratch: str | None = None, order: Iterable[str] = (), options: dict[str, str] | None = None, dealt: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, str]:
         """Write rows to a new folder: the path of each bucket that has some, within the store's folder or whole in a scratch one.
 
-        Rows are dealt by bucket and a bucket of more than Spark's advisory size to several tasks, so a task gets no more as a table grows; such a bucket has several files.
+        Rows are dealt by bucket and a bucket of more than Spark's advisory size to several tasks, so a task gets no more as a table grows; such a bucket has several files. dealt: as put().
         """
         folder = f"{scratch or 'data'}/{name}/{uuid.uuid4().hex}"
         place = folder if scratch else f"{self.folder}/{folder}"
-        writer = (df.withColumn(BUCKET, bucket_of(keys, buckets)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *keys, *order) if keys else df).write.options(**(options or {}))
+        if keys:
+            df = (df if dealt else df.withColumn(BUCKET, bucket_of(keys, buckets))).hint("rebalance", BUCKET)
+            df = (dealt(df) if dealt else df).sortWithinPartitions(BUCKET, *keys, *order)
+        writer = df.write.options(**(options or {}))
         for k in keys:
             if df.schema[k].dataType.typeName() in ("string", "integer", "long", "binary"):
                 writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
@@ -276,10 +279,14 @@ class Transaction:
         kinds = {f.name: f.dataType for f in T.StructType.fromJson(self.state["tables"][name]["schema"])}
         return df.select(*[F.col(c).cast(kinds[c]) if c in kinds else F.col(c) for c in columns or list(kinds)])
 
-    def put(self, name: str, df: DataFrame) -> None:
-        """Make df the whole table."""
+    def put(self, name: str, df: DataFrame, dealt: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Make df the whole table.
+
+        With dealt, df has rows of any kind with a bucket of the caller's own; dealt makes the table's rows and their bucket of them behind the shuffle. Such a table can't be merged into.
+        """
         t = self.state["tables"][name]
-        t["files"] = self.store._write(name, self._fit(name, df), t["keys"], t["buckets"], self._scratch, t["order"], t["options"])
+        t["files"] = self.store._write(name, df if dealt else self._fit(name, df), t["keys"], t["buckets"], self._scratch, t["order"], t["options"], dealt)
+        t["dealt"] = dealt is not None
         self._changed.add(name)
 
     def merge(self, name: str, changes: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
@@ -287,6 +294,8 @@ class Transaction:
         t = self.state["tables"][name]
         if not t["keys"]:
             raise ValueError(f"{name} has no keys to merge by")
+        if t.get("dealt"):
+            raise ValueError(f"{name} has buckets that aren't by its keys")
         changes = self._fit(name, changes, changes.columns)
         landed = self.store._write(f"{name}-changes", changes, t["keys"], t["buckets"], self._scratch)
         if not landed:
