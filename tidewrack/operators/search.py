@@ -93,23 +93,36 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
     return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
 
 
-def _word_codes(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """Of each word its number and its document's, the words by number, and the number of words of each document."""
-    lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+def _word_postings(words: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words by number; by word, then document, each posting's word, document and count; the number of words of each document."""
+    n, lengths = len(words), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = words.flatten().dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(words)), lengths), coded.dictionary, lengths
-
-
-def _gram_codes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.Array, None]:
-    """Of each run of three characters its number and its document's, and the runs by number."""
-    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
-    c = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    at, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), lengths), return_counts=True)
+    code, doc = np.divmod(at, n)
+    return coded.dictionary, code, doc, tf, lengths
+
+
+def _gram_postings(texts: pa.StringArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As _word_postings, of runs of three characters, each counted once in a document."""
+    n, sizes = len(texts), pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+    c = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+    letters = np.flatnonzero(np.bincount(c, minlength=1))
+    width = len(letters)
+    number = np.zeros(int(c.max(initial=0)) + 1, np.int64)
+    number[letters] = np.arange(width)
+    x, doc = number[c], np.repeat(np.arange(n), sizes)
+    runs = (x[:-2] * width + x[1:-1]) * width + x[2:]
     own = doc[: 1 - GRAM] == doc[GRAM - 1 :]
-    found, codes = np.unique((c[:-2] << 42 | c[1:-1] << 21 | c[2:])[own], return_inverse=True)
-    low = (1 << 21) - 1
-    said = np.stack([found >> 42, found >> 21 & low, found & low], 1).astype("<u4").tobytes().decode("utf-32-le")
-    return codes, doc[: 1 - GRAM][own], pa.array([said[i : i + GRAM] for i in range(0, len(said), GRAM)], pa.string()), None
+    if width**3 * n < 1 << 63:
+        at = np.sort((runs * n + doc[: 1 - GRAM])[own])
+        code, doc = np.divmod(at[_begins(at)], n)
+        starts = _begins(code)
+        found, code = code[starts], np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(code))))
+    else:
+        found, code = np.unique(runs[own], return_inverse=True)
+        code, doc = np.divmod(np.unique(code * n + doc[: 1 - GRAM][own]), n)
+    said = letters[np.stack([found // width**2, found // width % width, found % width], 1)].astype("<u4").tobytes().decode("utf-32-le") if len(found) else ""
+    return pa.array([said[i : i + GRAM] for i in range(0, len(said), GRAM)], pa.string()), code, doc, np.ones(len(code), np.int64), np.bincount(doc, minlength=n)
 
 
 def _begins(x: np.ndarray) -> np.ndarray:
@@ -151,7 +164,8 @@ def _joined(blocks: pa.Table) -> pa.Table:
     blocks = blocks.take(order)
     lists = [_one(blocks[c]) for c in ("keys", "tfs", "lengths")]
     ends = np.cumsum(np.append(0, pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False)))
-    return _blocks(ends[starts], _one(blocks["term"]).take(pa.array(starts)), part[order[starts]], *[x.flatten() for x in lists])
+    joined = _blocks(ends[starts], _one(blocks["term"]).take(pa.array(starts)), part[order[starts]], *[x.flatten() for x in lists])
+    return joined.append_column(BUCKET, _one(blocks[BUCKET]).take(pa.array(starts)))
 
 
 class Index:
@@ -183,12 +197,9 @@ class Index:
             for piece in _pieces(batches, "said"):
                 piece = piece.take(np.argsort(piece["part"].to_numpy(), kind="stable"))  # a term's documents in order lie by part
                 n, part, key = len(piece), piece["part"].to_numpy(), _one(piece["key"])
-                codes, doc, names, lengths = (_word_codes if counted else _gram_codes)(_one(piece["said"]))
-                at, tf = np.unique(codes * n + doc, return_counts=True)
-                code, doc = np.divmod(at, n)
-                lengths = np.bincount(doc, minlength=n) if lengths is None else lengths
+                names, code, doc, tf, lengths = (_word_postings if counted else _gram_postings)(_one(piece["said"]))
                 starts, own = _begins(code * parts + part[doc]), _begins(part)
-                found = _blocks(starts, names.take(pa.array(code[starts])), part[doc[starts]], key.take(pa.array(doc)), pa.array(tf if counted else np.ones_like(tf), pa.int32()), pa.array(lengths[doc], pa.int32()))
+                found = _blocks(starts, names.take(pa.array(code[starts])), part[doc[starts]], key.take(pa.array(doc)), pa.array(tf, pa.int32()), pa.array(lengths[doc], pa.int32()))
                 every = _blocks(own, pa.nulls(len(own)), part[own], key, pa.array(np.zeros(n), pa.int32()), pa.array(lengths, pa.int32()))
                 yield _sent(pa.concat_tables([found, every]).combine_chunks(), buckets)
 
@@ -211,7 +222,7 @@ class Index:
 
     def _received(self, sent: DataFrame, schema: T.StructType) -> DataFrame:
         """The blocks that were sent, with their bucket; blocks of one term are joined as far as a task holds them together."""
-        schema, buckets = T.StructType([*schema, T.StructField(BUCKET, T.IntegerType())]), self.buckets
+        schema = T.StructType([*schema, T.StructField(BUCKET, T.IntegerType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_schema
@@ -221,13 +232,12 @@ class Index:
             def joined() -> Iterator[pa.RecordBatch]:
                 t = _joined(pa.concat_tables(held).combine_chunks())
                 for a in range(0, len(t), PIECE_ROWS):
-                    x = t.slice(a, PIECE_ROWS)
-                    at = [_bucket(k, p, buckets) for k, p in zip(x["term"].to_pylist(), x["part"].to_pylist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([_one(c).cast(k.type) for c, k in zip([*x.columns, pa.chunked_array([pa.array(at, pa.int32())])], to, strict=True)], schema=to)
+                    yield pa.RecordBatch.from_arrays([_one(c).cast(k.type) for c, k in zip(t.slice(a, PIECE_ROWS).columns, to, strict=True)], schema=to)
 
             for batch in batches:
-                for stream in batch.column("sent"):
-                    held.append(pa.ipc.open_stream(stream.as_buffer()).read_all())
+                for bucket, stream in zip(batch.column(BUCKET), batch.column("sent"), strict=True):
+                    blocks = pa.ipc.open_stream(stream.as_buffer()).read_all()
+                    held.append(blocks.append_column(BUCKET, pa.array(np.full(len(blocks), bucket.as_py()), pa.int32())))
                     size += pc.sum(pc.list_value_length(held[-1]["keys"])).as_py()
                     if size >= PIECE:
                         yield from joined()
