@@ -175,3 +175,24 @@ def test_runs_beyond_the_basic_plane(spark, tmp_path):
         assert {r.url for r in index.ilike(p, "docs").collect()} == want, p
     assert {r.url for r in index.match("X😀Y").collect()} == {"a"}
     assert {r.url: r.length for r in store.read("i.lengths").collect()} == {"a": 3, "b": 0, "c": 11, "d": 0}
+
+
+def test_blocks_are_short_however_many_documents_have_a_term(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    docs = spark.range(3000).select("id", F.concat(F.lit("same words "), F.col("id") % 7).alias("text"))
+    indexes = [Index(store, k, "id", k, 2, 2) for k in ("words", "grams")]
+    tx = store.begin()
+    for index in indexes:
+        index.refresh(tx, docs)
+    tx.publish()
+    for index, asked in zip(indexes, ("same 3", "words 3"), strict=True):
+        rows = store.read(f"{index.name}.postings.1")
+        assert rows.agg(F.max(F.size("keys"))).first()[0] <= 256  # Spark reads 4096 rows with their lists at once
+        assert rows.where("term IS NULL").agg(F.sum(F.size("keys"))).first()[0] == 3000
+        assert sorted(r.id for r in index.match(asked).collect()) == list(range(3, 3000, 7))
+    tx = store.begin()
+    indexes[0].refresh(tx, docs.where("id = 10"))
+    indexes[0].compact(tx)
+    tx.publish()
+    assert store.read("words.postings.3").agg(F.max(F.size("keys"))).first()[0] <= 256
+    assert sorted(r.id for r in indexes[0].match("same 3").collect()) == list(range(3, 3000, 7))

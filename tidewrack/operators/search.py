@@ -3,7 +3,8 @@
 An index is a table of blocks of postings (term, part, keys, tfs, lengths) in
 buckets by term and part. A task makes blocks of some megabytes of texts at a
 time and sends those of a bucket together, as one compressed Arrow stream; behind
-the shuffle blocks of one term are joined. In a file blocks are sorted by term, in
+the shuffle blocks of one term are joined to some of 256 postings at most, as Spark
+reads 4096 rows of lists at a time. In a file blocks are sorted by term, in
 Parquet's second format, so keys of a block are packed as deltas and terms by
 their common beginnings. A search reads the buckets
 of its terms and nothing else. part is a hash of the key, so that the postings of
@@ -39,6 +40,7 @@ WORD_BREAK = r"[^\p{L}\p{N}]+"
 GRAM = 3
 K1, B = 1.2, 0.75
 PIECE, PIECE_ROWS = 4 << 20, 1 << 16
+BLOCK = 256
 _PACKED = {"parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
 
 
@@ -111,10 +113,18 @@ def _gram_postings(texts: pa.StringArray) -> tuple[pa.Array, np.ndarray, np.ndar
     number = np.zeros(int(c.max(initial=0)) + 1, np.int64)
     number[letters] = np.arange(width)
     x, doc = number[c], np.repeat(np.arange(n), sizes)
-    runs = (x[:-2] * width + x[1:-1]) * width + x[2:]
+    runs = x[:-2] * width  # in place from here on, as each of these arrays is twice the text as UTF-32
+    runs += x[1:-1]
+    runs *= width
+    runs += x[2:]
+    del c, x
     own = doc[: 1 - GRAM] == doc[GRAM - 1 :]
     if width**3 * n < 1 << 63:
-        at = np.sort((runs * n + doc[: 1 - GRAM])[own])
+        runs *= n
+        runs += doc[: 1 - GRAM]
+        at = runs[own]
+        del runs, own, doc
+        at.sort()
         code, doc = np.divmod(at[_begins(at)], n)
         starts = _begins(code)
         found, code = code[starts], np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(code))))
@@ -156,7 +166,7 @@ def _sent(blocks: pa.Table, buckets: int) -> pa.RecordBatch:
 
 
 def _joined(blocks: pa.Table) -> pa.Table:
-    """Blocks of one term and part as one."""
+    """Blocks of one term and part as one, or as several of BLOCK postings at most."""
     coded, part = _one(blocks["term"]).dictionary_encode(), blocks["part"].to_numpy().astype(np.int64)
     at = (pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1) * (part.max() + 1) + part
     order = np.argsort(at, kind="stable")
@@ -164,7 +174,10 @@ def _joined(blocks: pa.Table) -> pa.Table:
     blocks = blocks.take(order)
     lists = [_one(blocks[c]) for c in ("keys", "tfs", "lengths")]
     ends = np.cumsum(np.append(0, pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False)))
-    joined = _blocks(ends[starts], _one(blocks["term"]).take(pa.array(starts)), part[order[starts]], *[x.flatten() for x in lists])
+    cuts = -(-np.diff(np.append(ends[starts], ends[-1])) // BLOCK)
+    nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    starts = np.repeat(starts, cuts)
+    joined = _blocks(ends[starts] + nth * BLOCK, _one(blocks["term"]).take(pa.array(starts)), part[order[starts]], *[x.flatten() for x in lists])
     return joined.append_column(BUCKET, _one(blocks[BUCKET]).take(pa.array(starts)))
 
 
@@ -230,7 +243,10 @@ class Index:
             to, held, size = to_arrow_schema(schema), [], 0
 
             def joined() -> Iterator[pa.RecordBatch]:
-                t = _joined(pa.concat_tables(held).combine_chunks())
+                every = pa.concat_tables(held)
+                held.clear()
+                t = _joined(every)
+                del every
                 for a in range(0, len(t), PIECE_ROWS):
                     yield pa.RecordBatch.from_arrays([_one(c).cast(k.type) for c, k in zip(t.slice(a, PIECE_ROWS).columns, to, strict=True)], schema=to)
 
@@ -241,7 +257,6 @@ class Index:
                     size += pc.sum(pc.list_value_length(held[-1]["keys"])).as_py()
                     if size >= PIECE:
                         yield from joined()
-                        held.clear()
                         size = 0
             if held:
                 yield from joined()
