@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -247,3 +248,28 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
     files = store.read("t").inputFiles()
     assert len(files) >= 8 and len({f.rsplit("/", 1)[0] for f in files}) == 2
     assert store.read("t").count() == 200_000 and store.read("t").exceptAll(rows).count() == 0
+
+
+def test_a_digest_sends_all_new_items_in_as_many_letters_as_they_take(spark, tmp_path):
+    store = jobs.setup(spark, str(tmp_path), 2)
+    fields = [x.split()[0] for x in jobs.ARTICLES.split(", ")]
+
+    def add(numbers):
+        rows = [(f"u{i}", ["ukraine"] if i % 2 else [], None if i == 7 else NOW - dt.timedelta(seconds=40 * i), NOW) for i in numbers]
+        d = spark.createDataFrame(rows, "url string, tags array<string>, published_at timestamp, scraped_at timestamp")
+        tx = store.begin()
+        tx.merge("articles", d, lambda old, new: old.unionByName(new, allowMissingColumns=True).select(*fields))
+        tx.publish()
+
+    add(range(8))
+    to = spark.createDataFrame([("all@example.com", []), ("some@example.com", ["ukraine"]), ("none@example.com", ["maritime"])], "email string, tags array<string>")
+    assert store.run("digest", "1", lambda tx: jobs.digest(tx, to, NOW + dt.timedelta(hours=1), most=3)) == 5
+    sent = store.read("outbox").orderBy("email", F.desc("n"), "subject").collect()
+    urls = [re.findall(r'href="(u\d)"', r.html) for r in sent]
+    assert [(r.email, r.n, len(u)) for r, u in zip(sent, urls, strict=True)] == [("all@example.com", 3, 3), ("all@example.com", 3, 3), ("all@example.com", 2, 2), ("some@example.com", 3, 3), ("some@example.com", 1, 1)]
+    assert [sorted(u) for u in urls] == [["u0", "u1", "u2"], ["u3", "u4", "u5"], ["u6", "u7"], ["u1", "u3", "u5"], ["u7"]]
+    assert len({r.id for r in sent}) == 5 and [r.subject for r in sent[:3]] == ["Daily digest — 3 new items", "Daily digest — 3 new items (2)", "Daily digest — 2 new items (3)"]
+    # Another run of the day has one more item, which moves all others on: nobody gets a second letter.
+    add([9])
+    assert store.run("digest", "2", lambda tx: jobs.digest(tx, to, NOW + dt.timedelta(hours=1), most=3)) == 0
+    assert store.read("outbox").count() == 5

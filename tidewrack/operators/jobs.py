@@ -141,11 +141,16 @@ def resolve(tx: Transaction, verdicts: DataFrame, now: dt.datetime, most: int =
 
 
 def digest(tx: Transaction, recipients: DataFrame, now: dt.datetime, period: str = "day", most: int = 600, subject: str | None = None) -> int:
-    """Put a letter for each recipient (email, tags) that has new articles into the outbox, whose ids keep a letter from being sent twice. The number of letters there are for this run."""
-    items = serving.since(tx.read("articles"), now, {"day": 24, "week": 24 * 7}[period], most)
+    """Put letters for each recipient (email, tags) that has new articles into the outbox, whose ids keep a letter from being sent twice. The number of letters there are for this run.
+
+    All new articles go out: most are in a letter, the newest in the first. Who has a letter of the day gets no further ones.
+    """
+    items = serving.since(tx.read("articles"), now, {"day": 24, "week": 24 * 7}[period], None)
     wanted = recipients.select("email", F.coalesce("tags", F.array().cast("array<string>")).alias("wanted"))
-    letters = serving.digest_html(serving.for_recipients(items, recipients).join(wanted, "email"), period, ["email"])
-    rows = serving.outbox(letters, subject or {"day": "Daily digest", "week": "Weekly roundup"}[period], now.date()).withColumn("created_at", _at(now))
+    subject = subject or {"day": "Daily digest", "week": "Weekly roundup"}[period]
     before = tx.read("outbox").select("id")
+    unsent = recipients.join(before, serving.letter_id(subject, now.date()) == before["id"], "left_anti")
+    letters = serving.digest_html(serving.in_letters(serving.for_recipients(items, unsent), most).join(wanted, "email"), period, ["email", "part"])
+    rows = serving.outbox(letters, subject, now.date()).withColumn("created_at", _at(now))
     _insert(tx, "outbox", rows)
     return tx.read("outbox").join(before, "id", "left_anti").count()

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vocab
@@ -40,8 +41,10 @@ def full_text_terms(title: Column, summary: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", title, summary)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
-def since(articles: DataFrame, now: dt.datetime, hours: int, limit: int = 600, time: str = "scraped_at", order: list[Column] | None = None) -> DataFrame:
-    return articles.where(F.col(time) >= F.lit(now - dt.timedelta(hours=hours))).orderBy(*(order or newest())).limit(limit)
+def since(articles: DataFrame, now: dt.datetime, hours: int, limit: int | None = 600, time: str = "scraped_at", order: list[Column] | None = None) -> DataFrame:
+    """The newest items of the last hours; without a limit all of them, in no order."""
+    d = articles.where(F.col(time) >= F.lit(now - dt.timedelta(hours=hours)))
+    return d if limit is None else d.orderBy(*(order or newest())).limit(limit)
 
 
 def fresh(items: DataFrame, now: dt.datetime, days: int = 14) -> DataFrame:
@@ -68,6 +71,19 @@ def for_recipients(items: DataFrame, recipients: DataFrame, key: str = "url", bl
     return some.unionByName(what.join(who, ["_b", "_s"]).select("email", key)).join(items, key)
 
 
+def in_letters(items: DataFrame, most: int = 600) -> DataFrame:
+    """Items of recipients with the number (part) of the letter that each goes into: newest first, so many in a letter.
+
+    An item's place is counted from how many newer minutes have and its place in its own, so no task ranks all items of a recipient.
+    """
+    undated = F.lit(-(1 << 53))
+    d = items.withColumn("_minute", F.coalesce(F.floor(F.unix_micros(F.col("published_at").cast("timestamp")) / 60_000_000).cast("bigint"), undated))
+    newer = Window.partitionBy("email").orderBy(F.desc("_minute")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = d.groupBy("email", "_minute").agg(F.count("*").alias("_n")).select("email", "_minute", F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_ahead"))
+    placed = d.withColumn("_r", F.row_number().over(Window.partitionBy("email", "_minute").orderBy(*newest()))).join(ahead, ["email", "_minute"])
+    return placed.withColumn("part", F.floor((F.col("_ahead") + F.col("_r") - 1) / most).cast("int") + 1).drop("_minute", "_r", "_ahead")
+
+
 def digest(items: DataFrame, by: list[str] | None = None, order: list[str] | None = None, key: str = "url") -> DataFrame:
     """Themes with their items, each item in its first theme: theme, label, place, n, urls (newest first); for each value of by."""
     by = by or []
@@ -138,9 +154,16 @@ def digest_html(items: DataFrame, period: str = "day", by: list[str] | None = No
     return whole.select(*by, F.concat("head", "sections", note, leave).alias("html"), "n")
 
 
+def letter_id(subject: str, day: dt.date, part: Column | None = None) -> Column:
+    """The id of a recipient's letter of a day, the first or, with part, one of several."""
+    return F.sha2(F.concat_ws("\n", "email", F.lit(str(day)), F.lit(subject), F.lit(None).cast("string") if part is None else F.when(part > 1, part.cast("string"))), 256)
+
+
 def outbox(letters: DataFrame, subject: str, day: dt.date) -> DataFrame:
-    """What a mailer takes: id, email, subject, html, n. The id follows from recipient, day and subject, so a repeated run sends nothing twice."""
-    return letters.where("n > 0").select(F.sha2(F.concat_ws("\n", "email", F.lit(str(day)), F.lit(subject)), 256).alias("id"), "email", F.concat(F.lit(f"{subject} — "), F.col("n").cast("string"), F.lit(" new item"), F.when(F.col("n") == 1, "").otherwise("s")).alias("subject"), "html", "n")
+    """What a mailer takes: id, email, subject, html, n. The id follows from recipient, day, subject and part, if there is one, so a repeated run sends nothing twice."""
+    part = F.col("part") if "part" in letters.columns else F.lit(1)
+    number = F.when(part > 1, F.concat(F.lit(" ("), part.cast("string"), F.lit(")"))).otherwise("")
+    return letters.where("n > 0").select(letter_id(subject, day, part).alias("id"), "email", F.concat(F.lit(f"{subject} — "), F.col("n").cast("string"), F.lit(" new item"), F.when(F.col("n") == 1, "").otherwise("s"), number).alias("subject"), "html", "n")
 
 
 def feed_json(items: DataFrame, most: int = 120) -> DataFrame:
